@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
+from gleanwork.llm.place_mapping import map_places
 from gleanwork.llm.tokenize import encode_corpus
 from gleanwork.session import table
 
@@ -21,12 +22,16 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return format_duplicate_groups(table(spark, sf, "search_log"), "seq", "query").withColumnRenamed("first_id", "first_seq")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return map_places(table(spark, sf, "collect_requests"), table(spark, sf, "geo_list"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p7_ids)}
 
 
 _P1_WORDS = r"""words AS (
