@@ -23,3 +23,16 @@ def join_group_facts(rows: DataFrame, groups: DataFrame, key: str, count: str, t
     warm = marked.filter("_hot is not null").select(*rows.columns, "_hot.*")
     cold = marked.filter("_hot is null").drop("_hot").join(groups.filter(F.col(count) < least), key)
     return warm.unionByName(cold.select(*rows.columns, *facts))
+
+
+def join_salted(rows: DataFrame, facts: DataFrame, key: str, sizes: DataFrame, size: str, total: int, most: int = 20_000) -> DataFrame:
+    """Inner join of ``rows`` with any number of ``facts`` per ``key``, hot keys cut into slices.
+
+    ``sizes`` has the number of ``rows`` of each key. A key with at least ``HOT_SHARE`` of the
+    ``total`` rows is cut into slices of about ``most`` rows, and its facts are repeated for each;
+    there can be no more than ``1 / HOT_SHARE`` such keys, so their list is broadcast.
+    """
+    hot = sizes.filter(F.col(size) >= max(1000.0, total * HOT_SHARE)).select(key, F.ceil(F.col(size) / most).cast("int").alias("_slices"))
+    sliced = rows.join(F.broadcast(hot), key, "left").withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_slices", F.lit(1))).cast("int")).drop("_slices")
+    spread = facts.join(F.broadcast(hot), key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
+    return sliced.join(spread, [key, "_slice"]).drop("_slice")
