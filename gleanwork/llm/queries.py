@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanwork.llm.address_matching import same_building
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
+from gleanwork.llm.name_variants import variant_links
 from gleanwork.llm.place_mapping import map_places
 from gleanwork.llm.tokenize import encode_corpus
 from gleanwork.session import table
@@ -26,12 +28,20 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_places(table(spark, sf, "collect_requests"), table(spark, sf, "geo_list"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_links(table(spark, sf, "places"), table(spark, sf, "extracted"), table(spark, sf, "geo_list"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_building(table(spark, sf, "places"), table(spark, sf, "extracted"), table(spark, sf, "geo_list"), "place_key", "extract_id")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p7_ids)}
 
 
 _P1_WORDS = r"""words AS (
