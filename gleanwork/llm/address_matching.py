@@ -1,15 +1,15 @@
 """Records whose addresses denote the same building, matched level by level.
 
 Region and city come from the gazetteer; an address without a city inherits the candidates of
-its postcode, or else of its region. Within a locality records are linked by house number, kind
-and direction of the street, and by street names at most one typing error a side apart. Possible
+its postcode, or else of its region. Within a city records are linked by house number, kind and
+direction of the street, and by street names at most one typing error a side apart. The possible
 places of a city name stay a set until both addresses are compared.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from gleanwork.llm.names import sound
 from gleanwork.operators.skew import join_salted
 from gleanwork.session import cut
 
-PARTS = ["city", "places", "region", "postcode", "number", "street", "kind", "direction"]
+PARTS = ["city", "places", "region", "parents", "postcode", "number", "street", "kind", "direction"]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -31,12 +31,29 @@ def _same_street(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(sound(x), sound(y), 2 if min(len(x), len(y)) > 6 else 1) for x, y in zip(a, b)])
 
 
-def _localities(at: DataFrame) -> DataFrame:
-    """``at`` with ``keys``: the localities under which an address is compared."""
-    city = F.when(F.col("city").isNotNull(), F.concat(F.lit("c:"), "city"))
-    code = F.when(F.col("postcode").isNotNull(), F.concat(F.lit("p:"), "postcode"))
-    region = F.transform(F.when(F.col("city").isNull() & F.col("postcode").isNull(), F.col("region")).otherwise(F.col("places")), lambda r: F.concat(F.lit("r:"), r.cast("string")))
-    return at.withColumn("keys", F.array_compact(F.concat(F.array(city, code), F.when(F.col("city").isNull() & F.col("postcode").isNull(), region).otherwise(F.array()))))
+def _inherit(known: DataFrame, lacking: DataFrame, key_known: Column, key_lacking: Column) -> DataFrame:
+    """The cities that ``lacking`` addresses (place, ...) may inherit from ``known`` ones of one key."""
+    side = lambda df, key, s: df.select(F.explode(key).alias("key"), "number", "kind", "direction", F.explode(_variants("street")).alias("variant"), F.struct("place", "city", "places", "street").alias(s))
+    met = side(known, key_known, "k").join(side(lacking, key_lacking, "l"), ["key", "number", "kind", "direction", "variant"]).select("k", "l").distinct()
+    return met.filter(_same_street("k.street", "l.street")).groupBy(F.col("l.place").alias("place")).agg(F.collect_set(F.struct("k.city", "k.places")).alias("cities"))
+
+
+def _with_cities(at: DataFrame, everything: DataFrame) -> DataFrame:
+    """Distinct addresses with the city they name or inherit; several candidates give several rows.
+
+    A missing city comes from addresses with the same postcode, or else, if that leaves one city
+    only, from those in the region named.
+    """
+    known, lacking = everything.filter("city is not null"), at.filter("city is null")
+    code = F.array_compact(F.array("postcode"))
+    by_code = _inherit(known, lacking, code, code)
+    by_region = _inherit(known, lacking.filter("size(region) > 0"), F.col("parents"), F.col("region"))
+    cities = lacking.select("place").join(by_code, "place", "left").join(by_region.withColumnRenamed("cities", "near"), "place", "left")
+    one = F.when(F.size(F.array_distinct(F.transform("near", lambda c: c.city))) == 1, F.col("near"))
+    cities = cities.select("place", F.explode(F.coalesce("cities", one)).alias("c")).select("place", "c.city", F.col("c.places").alias("places"))
+    filled = lacking.drop("city", "places").join(cities, "place")
+    named = at.filter("city is not null")
+    return named.unionByName(filled.select(named.columns))
 
 
 def same_building(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: str, right_id: str, text_col: str = "address") -> DataFrame:
@@ -56,12 +73,15 @@ def same_building(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: st
     a, b = parsed(left, left_id), parsed(right, right_id)
     distinct = lambda df: df.groupBy("place").agg(*[F.first(p).alias(p) for p in PARTS], F.count("*").alias("n"))
     pa, pb = cut(distinct(a)), cut(distinct(b))
-    side = lambda df, s: _localities(df).select(F.explode("keys").alias("key"), "number", "kind", "direction", F.explode(_variants("street")).alias("variant"), F.struct("place", "city", "places", "region", "postcode", "street").alias(s))
-    met = side(pa, "l").join(side(pb, "r"), ["key", "number", "kind", "direction", "variant"]).select("l", "r").distinct()
-    # a city on both sides must be the same one; else the postcode must agree, or the region if there is none
-    both = F.col("l.city").isNotNull() & F.col("r.city").isNotNull()
-    met = met.filter(F.when(both, (F.col("l.city") == F.col("r.city")) & F.arrays_overlap("l.places", "r.places")).otherwise(F.coalesce(F.col("l.postcode") == F.col("r.postcode"), F.lit(True))))
-    pairs = met.filter(_same_street("l.street", "r.street")).select(F.col("l.place").alias("pl"), F.col("r.place").alias("pr"))
+    everything = pa.unionByName(pb)
+    side = lambda df, s: cut(_with_cities(df, everything)).select("city", "number", "kind", "direction", F.explode(_variants("street")).alias("variant"), F.struct("place", "places", "street").alias(s))
+    met = side(pa, "l").join(side(pb, "r"), ["city", "number", "kind", "direction", "variant"]).select("l", "r").distinct()
+    met = met.filter(F.arrays_overlap("l.places", "r.places") & _same_street("l.street", "r.street"))
+    # without a city to inherit, two addresses with one postcode still are one building
+    bare = lambda df, s: df.filter("city is null and postcode is not null").select("postcode", "number", "kind", "direction", F.explode(_variants("street")).alias("variant"), F.struct("place", "street").alias(s))
+    coded = bare(pa, "l").join(bare(pb, "r"), ["postcode", "number", "kind", "direction", "variant"]).select("l", "r").distinct().filter(_same_street("l.street", "r.street"))
+    ends = [F.col("l.place").alias("pl"), F.col("r.place").alias("pr")]
+    pairs = cut(met.select(*ends).unionByName(coded.select(*ends)).distinct())
     first = join_salted(a.select(F.col("place").alias("pl"), F.col("id").alias(left_id)), pairs, "pl", pa.select(F.col("place").alias("pl"), "n"), "n", a.count())
     members = b.select(F.col("place").alias("pr"), F.col("id").alias(right_id))
     out = join_salted(members, first.select("pr", left_id), "pr", pb.select(F.col("place").alias("pr"), "n"), "n", b.count())

@@ -26,7 +26,7 @@ _PREFIX = re.compile(r"\b(?:no|nr|bldg|building|plot|house)\b\.?\s*(?=\d)")
 _NUMBER = re.compile(r"\d{1,4}[a-z]?$")
 #: The gazetteer goes to every task, so its size is checked.
 MOST_PLACES = 100_000
-FIELDS = "city string, places array<long>, region array<long>, postcode string, number string, street string, kind string, direction string, unit string"
+FIELDS = "city string, places array<long>, region array<long>, parents array<long>, postcode string, number string, street string, kind string, direction string, unit string"
 
 
 @lru_cache(1 << 14)
@@ -99,8 +99,8 @@ class Gazetteer:
         found = {n for form in shortened(key) for n in self.off.get(form, ()) if near(key, n, 1)}
         return found.pop() if len(found) == 1 else None
 
-    def locate(self, pieces: list[list[str]]) -> tuple[str | None, list[int], list[int]]:
-        """City, its possible ids and the ids of the regions named, from words around the street."""
+    def locate(self, pieces: list[list[str]]) -> tuple[str | None, list[int], list[int], list[int]]:
+        """City, its possible ids, ids of the regions named, ids of the regions around the city."""
         city, regions, rest = None, [], []
         for words in pieces:
             free = [True] * len(words)
@@ -133,7 +133,8 @@ class Gazetteer:
         for hit in regions:
             ids = [i for i in ids if any(self.within[i][0] == c and (s is None or self.within[i][1] == s) for c, s in hit)] or ids
         named = sorted({self.id_of[h] for hit in regions for h in hit if h in self.id_of})
-        return city, ids, named
+        parents = sorted({self.id_of[h] for i in ids for h in (self.within[i], (self.within[i][0], None)) if h in self.id_of})
+        return city, ids, named, parents
 
 
 def parse(text: str | None, gazetteer: Gazetteer) -> tuple:
@@ -178,8 +179,8 @@ def parse(text: str | None, gazetteer: Gazetteer) -> tuple:
             now = []
         elif not w.isdigit():
             now.append(w)
-    city, ids, regions = gazetteer.locate(pieces)
-    return city, ids, regions, postcode, number, street, kind, direction, unit
+    city, ids, regions, parents = gazetteer.locate(pieces)
+    return city, ids, regions, parents, postcode, number, street, kind, direction, unit
 
 
 def gazetteer_rows(geo: DataFrame) -> list[tuple]:

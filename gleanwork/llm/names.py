@@ -81,8 +81,10 @@ def soft_similarity(a: list[str], b: list[str], weight_a: list[float], weight_b:
     for swapped, (p, q, wp, wq) in enumerate(((a, b, weight_a, weight_b), (b, a, weight_b, weight_a))):
         for i in range(len(p) - 1):
             torn = p[i] + p[i + 1]
+            if min(len(p[i]), len(p[i + 1])) < 2 or len(torn) < 5:
+                continue
             for j, y in enumerate(q):
-                if len(torn) >= 5 and (s := alike(torn, y)):
+                if not alike(p[i], y) and not alike(p[i + 1], y) and (s := alike(torn, y)):
                     x = (s * (2 * wq[j] + wp[i] + wp[i + 1]) * 0.999, (i, i + 1), (j,))
                     options.append(x if not swapped else (x[0], x[2], x[1]))
     used_a, used_b, got = set(), set(), 0.0
@@ -97,7 +99,7 @@ def soft_similarity(a: list[str], b: list[str], weight_a: list[float], weight_b:
                 whole = parts[0] if len(i) == 1 else parts[1]
                 total_a += whole - parts[0]
                 total_b += whole - parts[1]
-                value = value and whole * 2 * (1.0 if value else 0.0) * 0.97
+                value = whole * 2 * 0.97
             got += value
     return got / max(total_a + total_b, 1e-9)
 
@@ -123,6 +125,18 @@ def weigh(names: DataFrame) -> DataFrame:
     return weighed.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weight"))), lambda x: x.weight).alias("weights")).select("name.*", "weights")
 
 
+def word_blocks(names: DataFrame, overlap: float = 0.6) -> DataFrame:
+    """``names`` (words, ...) once for each of their rarest words, as ``block``.
+
+    Two names that overlap by ``overlap`` (Jaccard over words) share a block.
+    """
+    distinct = names.filter("size(words) > 0").select(F.lit("").alias("block"), "words").distinct()
+    ordered = F.array_sort(F.arrays_zip(F.transform("weights", lambda w: -w).alias("w"), F.col("words").alias("word")))
+    few = weigh(distinct).select("words", ordered.alias("o"))
+    blocks = few.select("words", F.explode(F.array_distinct(F.slice("o", 1, (F.size("o") - F.ceil(overlap * F.size("o")) + 1).cast("int")))).alias("o")).select("words", F.col("o.word").alias("block"))
+    return names.join(blocks.distinct(), "words")
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float, overlap: float = 0.35) -> DataFrame:
     """(block, left, right, score) for the distinct names of one block that score ``least`` or more.
 
