@@ -142,13 +142,14 @@ def similar_names(left: DataFrame, right: DataFrame, least: float, overlap: floa
 
     ``left`` and ``right`` have (block, words). Names of one block are compared if they share one
     of their rarest 3-letter pieces: with pieces in order of frequency, two sets that overlap by
-    ``overlap`` (Jaccard) share one among the first |x| - ceil(overlap |x|) + 1. Names without
-    words and null blocks match nothing.
+    ``overlap`` (Jaccard) share one among the first |x| - ceil(overlap |x|) + 1. Pairs that do
+    overlap are verified by ``soft_similarity``. Names without words and null blocks match nothing.
     """
     sides = left.select("block", "words", F.lit(True).alias("is_left")).unionByName(right.select("block", "words", F.lit(False).alias("is_left")))
     sides = cut(sides.filter("block is not null and size(words) > 0").groupBy("block", "words").agg(F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right")))
-    names = cut(weigh(sides.select("block", "words")).withColumn("nr", F.xxhash64("block", "words")).join(sides, ["block", "words"]))
-    pieces = names.select("nr", "block", "in_left", "in_right", F.explode(_grams(F.col("words"))).alias("gram"))
+    weighed = weigh(sides.select("block", "words")).withColumn("nr", F.xxhash64("block", "words")).join(sides, ["block", "words"])
+    names = cut(weighed.withColumn("grams", F.transform(_grams(F.col("words")), lambda g: F.hash(g))))
+    pieces = names.select("nr", "block", "in_left", "in_right", F.explode("grams").alias("gram"))
     counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
     ranked = join_group_facts(pieces, counts, "gram", "n", pieces.count())
     own = ranked.groupBy("nr", "block", "in_left", "in_right").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
@@ -156,6 +157,8 @@ def similar_names(left: DataFrame, right: DataFrame, least: float, overlap: floa
     a = first.filter("in_left").select("block", "gram", F.col("nr").alias("l"))
     b = first.filter("in_right").select("block", "gram", F.col("nr").alias("r"))
     pairs = a.join(b, ["block", "gram"]).select("l", "r").distinct()
-    of = lambda side: names.select(F.col("nr").alias(side[0]), "block", F.col("words").alias(side), F.col("weights").alias(f"{side}_weights"))
+    of = lambda side: names.select(F.col("nr").alias(side[0]), "block", F.col("words").alias(side), F.col("weights").alias(f"{side}_weights"), F.col("grams").alias(f"{side}_grams"))
     full = pairs.join(of("left"), "l").join(of("right").drop("block"), "r")
-    return full.withColumn("score", _similarity("left", "right", "left_weights", "right_weights")).filter(F.col("score") >= least).select("block", "left", "right", "score")
+    common = F.size(F.array_intersect("left_grams", "right_grams"))
+    full = full.filter(common >= overlap * (F.size("left_grams") + F.size("right_grams") - common)).drop("left_grams", "right_grams")
+    return cut(full.withColumn("score", _similarity("left", "right", "left_weights", "right_weights")).filter(F.col("score") >= least).select("block", "left", "right", "score"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanwork.llm.address_matching import same_building
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
+from gleanwork.llm.leakage import leaked_items
 from gleanwork.llm.name_variants import variant_links
 from gleanwork.llm.place_mapping import map_places
+from gleanwork.llm.subjects import subject_posteriors, subjects_of
 from gleanwork.llm.tokenize import encode_corpus
 from gleanwork.session import table
 
@@ -40,8 +42,20 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects_of(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "benchmark"))
+
+
+def p9_posteriors(spark: SparkSession, sf: str) -> DataFrame:
+    return subject_posteriors(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_posteriors)}
 
 
 _P1_WORDS = r"""words AS (

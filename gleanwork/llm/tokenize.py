@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.session import spread_rows
+
 VOCABULARIES = "/opt/tokenizers"
 #: Fixed value: the pre-tokenisation pattern of the byte_bpe vocabularies.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -138,6 +140,6 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     coder.follows.clear()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread_rows(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
