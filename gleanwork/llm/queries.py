@@ -12,6 +12,7 @@ from gleanwork.llm.leakage import leaked_items
 from gleanwork.llm.name_variants import variant_links
 from gleanwork.llm.place_mapping import map_places
 from gleanwork.llm.subjects import subject_posteriors, subjects_of
+from gleanwork.llm.survivors import fused_values, surviving_values
 from gleanwork.llm.tokenize import encode_corpus
 from gleanwork.session import table
 
@@ -26,6 +27,14 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return format_duplicate_groups(table(spark, sf, "search_log"), "seq", "query").withColumnRenamed("first_id", "first_seq")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return surviving_values(table(spark, sf, "extracted"), table(spark, sf, "page_origins"), table(spark, sf, "geo_list"))
+
+
+def p3_fused(spark: SparkSession, sf: str) -> DataFrame:
+    return fused_values(table(spark, sf, "extracted"), table(spark, sf, "page_origins"), table(spark, sf, "geo_list"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_places(table(spark, sf, "collect_requests"), table(spark, sf, "geo_list"))
 
@@ -55,7 +64,7 @@ def p9_posteriors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_posteriors)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_fused, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_posteriors)}
 
 
 _P1_WORDS = r"""words AS (
