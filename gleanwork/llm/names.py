@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,12 +41,21 @@ def sound(word: str) -> str:
     return word.replace("ck", "k").replace("ks", "x").replace("ph", "f").translate(str.maketrans("yw", "iv"))
 
 
+@lru_cache(1 << 16)
+def _spelled_out(word: str) -> str:
+    """The full form of a short one, also of a short one mistyped."""
+    full = WORD_FORMS.get(word) or GIVEN_NAMES.get(word)
+    if not full and 4 <= len(word) <= 6 and word not in IGNORED:
+        close = {WORD_FORMS[k] for k in WORD_FORMS if len(k) >= 4 and near(word, k, 1)}
+        full = close.pop() if len(close) == 1 else None
+    return full or word
+
+
 def words_of(name: str | None) -> list[str]:
     """The canonical words of a name in their order, without tag line, legal form and courtesy title."""
     s = _TAG_LINE.split(plain((name or "").strip()), maxsplit=1)[0]
     s = re.sub(r"(?<=[a-z])[-‐‑](?=[a-z])", "", re.sub(r"[.'’`/]", "", s))
-    words = (WORD_FORMS.get(w) or GIVEN_NAMES.get(w, w) for w in re.findall(r"[a-z0-9]+", s))
-    return [sound(w) for w in words if w not in IGNORED]
+    return [sound(w) for w in map(_spelled_out, re.findall(r"[a-z0-9]+", s)) if w not in IGNORED]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

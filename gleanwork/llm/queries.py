@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanwork.llm.address_matching import same_building
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
 from gleanwork.llm.leakage import leaked_items
+from gleanwork.llm.linkage import link_businesses
 from gleanwork.llm.name_variants import variant_links
 from gleanwork.llm.place_mapping import map_places
 from gleanwork.llm.subjects import subject_posteriors, subjects_of
@@ -27,6 +28,14 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return format_duplicate_groups(table(spark, sf, "search_log"), "seq", "query").withColumnRenamed("first_id", "first_seq")
 
 
+def p2_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return link_businesses(table(spark, sf, "places"), table(spark, sf, "partner_places"), table(spark, sf, "geo_list"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_confidence(spark, sf).select("place_key", "listing_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return surviving_values(table(spark, sf, "extracted"), table(spark, sf, "page_origins"), table(spark, sf, "geo_list"))
 
@@ -64,7 +73,7 @@ def p9_posteriors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_fused, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_posteriors)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_confidence, p3_found, p3_fused, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_posteriors)}
 
 
 _P1_WORDS = r"""words AS (
