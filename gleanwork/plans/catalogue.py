@@ -1,23 +1,213 @@
-"""The engine's own queries over the test tables, by name, and the SQL that checks them."""
+"""The engine's own queries over the test tables, by name, and the SQL that checks them.
+
+The tables deliver some rows twice; SQL and queries count a key once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gleanwork.functions import constants as C
+from gleanwork.functions import rules
+from gleanwork.functions import text as X
+from gleanwork.operators import dedup, ledger, planner, summary
+from gleanwork.plans import records as R
 from gleanwork.session import table
+from gleanwork.sources import search
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, run: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+def log(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "search_log").filter("seq is not null").dropDuplicates(["seq"])
+
+
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "places").filter("place_key is not null").dropDuplicates(["place_key"])
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "extracted").filter("extract_id is not null").dropDuplicates(["extract_id"])
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "places")
+    return R.records(table(spark, sf, "places"), table(spark, sf, "search_log"))
+
+
+_LOG = "log AS (SELECT DISTINCT * FROM search_log WHERE seq IS NOT NULL)"
+_PLACES = "pl AS (SELECT DISTINCT * FROM places WHERE place_key IS NOT NULL)"
+_PAGES = "pg AS (SELECT DISTINCT extract_id, url, crawled_at, origin, name, address, services FROM extracted WHERE extract_id IS NOT NULL)"
+_HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(CASE WHEN contains({0}, '://') THEN {0} ELSE 'http://' || {0} END, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)), '^.*@', ''), ':.*$', ''), '^www\\.', '')"
+_LABELS = "list_filter(string_split({0}, '.'), lambda x: x <> '')"
+
+
+def _host(col: str) -> str:
+    return _HOST.format(f"coalesce({col}, '')")
+
+
+def _root(domain: str) -> str:
+    second = ", ".join(f"'{w}'" for w in C.SECOND_LEVEL)
+    parts = _LABELS.format(domain)
+    return f"CASE WHEN len({parts}) >= 3 AND list_contains([{second}], ({parts})[-2]) AND length(({parts})[-1]) = 2 THEN array_to_string(({parts})[-3:], '.') WHEN len({parts}) >= 2 THEN array_to_string(({parts})[-2:], '.') ELSE {domain} END"
+
+
+def _name(col: str) -> str:
+    n = f"regexp_replace(regexp_replace(lower(coalesce({col}, '')), '{C.LEGAL_SUFFIXES}', ' ', 'gi'), '[^a-z0-9]+', '', 'g')"
+    return f"CASE WHEN length({n}) >= 4 THEN {n} ELSE '' END"
+
+
+def _phone(col: str) -> str:
+    d = f"regexp_replace(coalesce({col}, ''), '\\D', '', 'g')"
+    return f"CASE WHEN length({d}) >= 8 THEN right({d}, 10) ELSE '' END"
+
+
+def _clean(col: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(coalesce({col}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '[\\s\\x{{00A0}}\\x{{2003}}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+
+
+_STEM = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9&+#]+'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END)"
+
+
+def _canon(phrase: str) -> str:
+    stems = _STEM.format(phrase)
+    words = ", ".join(f"'{w}'" for w in [*C.FILLER_WORDS, *C.BUSINESS_NOUNS])
+    kept = f"list_filter({stems}, lambda v: NOT list_contains([{words}], v))"
+    return f"array_to_string(list_sort(list_distinct(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {stems} END)), ' ')"
+
+
+_Q = "trim(regexp_replace(lower(coalesce(query, '')), '[\\s\\x{00A0}\\x{2003}]+', ' ', 'g'))"
+_SPLIT = f"spl AS (SELECT *, CASE WHEN regexp_matches({_Q}, '^.* in .*$') THEN regexp_extract({_Q}, '^(.*) in (.*)$', 1) ELSE {_Q} END AS ph, CASE WHEN regexp_matches({_Q}, '^.* in .*$') THEN regexp_extract({_Q}, '^(.*) in (.*)$', 2) ELSE '' END AS ge FROM log)"
+_KEYED = f"{_LOG}, {_SPLIT}, keyed AS (SELECT *, {_canon('ph')} AS phrase, array_to_string(regexp_extract_all(lower(ge), '[a-z0-9]+'), ' ') AS place FROM spl)"
+_LKEY = "coalesce(kind, '') || '|' || phrase || '@' || place || '|p' || CASE WHEN coalesce(page, 0) = 0 THEN 1 ELSE page END"
+_SKIP = ", ".join(f"'{d}'" for d in C.SKIP_DOMAINS)
+_AGG = ", ".join(f"'{d}'" for d in C.AGGREGATOR_DOMAINS)
+
+
+def _skip(root: str) -> str:
+    return f"({root} = '' OR {root} IN ({_SKIP}) OR regexp_matches({root}, '\\.(gov|edu|mil)$|\\.(gov|edu|ac)\\.') OR regexp_matches(regexp_replace({root}, '\\.[^.]*$', ''), '{C.MEDIA_DOMAIN}', 'i'))"
+
+
+# URLs, names, contacts
+_query("url_domains", lambda s, d: places(s, d).select("place_key", X.norm_domain(F.col("website")).alias("domain"), X.root_domain(F.col("website")).alias("root"), X.is_skip_domain(F.col("website")).alias("skip"), X.is_aggregator(F.col("website")).alias("aggregator")),
+       f"WITH {_PLACES}, h AS (SELECT place_key, {_host('website')} AS domain FROM pl), r AS (SELECT *, {_root('domain')} AS root FROM h) SELECT place_key, domain, root, {_skip('root')} AS skip, root IN ({_AGG}) AS aggregator FROM r")
+_query("url_crawl_keys", lambda s, d: pages(s, d).select("extract_id", X.crawl_key(F.col("url")).alias("crawl_key"), X.site_url(F.col("url")).alias("site"), X.url_block_reason(F.col("url")).alias("blocked")))
+_query("name_keys", lambda s, d: places(s, d).select("place_key", X.norm_name(F.col("title")).alias("name_key"), X.norm_phone(F.col("phonenumber")).alias("phone_key")),
+       f"WITH {_PLACES} SELECT place_key, {_name('title')} AS name_key, {_phone('phonenumber')} AS phone_key FROM pl")
+_query("contact_keys", lambda s, d: pages(s, d).select("extract_id", F.explode(F.concat(F.transform(F.coalesce("email", F.array().cast("array<string>")), X.norm_email), F.transform(F.coalesce("phone", F.array().cast("array<string>")), X.norm_phone))).alias("contact")).filter("contact != ''").distinct(),
+       f"WITH c AS (SELECT extract_id, lower(trim(unnest(email))) AS contact FROM extracted WHERE extract_id IS NOT NULL UNION SELECT extract_id, {_phone('p')} FROM (SELECT extract_id, unnest(phone) AS p FROM extracted WHERE extract_id IS NOT NULL)) SELECT DISTINCT extract_id, contact FROM c WHERE contact <> ''")
+_query("cell_safe_text", lambda s, d: places(s, d).select("place_key", X.cell_safe(F.col("title")).alias("title"), X.cell_safe(F.col("phonenumber")).alias("phone")),
+       f"WITH {_PLACES}, t AS (SELECT place_key, {_clean('title')} AS a, {_clean('phonenumber')} AS b FROM pl) SELECT place_key, left(CASE WHEN regexp_matches(a, '^[=+@]') THEN ' ' || a ELSE a END, 32000) AS title, left(CASE WHEN regexp_matches(b, '^[=+@]') THEN ' ' || b ELSE b END, 32000) AS phone FROM t")
+_query("page_titles", lambda s, d: places(s, d).select("place_key", X.clean_title(F.col("title")).alias("headline")))
+_query("split_addresses", lambda s, d: places(s, d).select("place_key", X.split_address(F.col("address"), F.lit("")).alias("a")).select("place_key", "a.city", "a.state", "a.country"))
+_query("document_contacts", lambda s, d: table(s, d, "documents").select("doc_id", X.find_emails(F.col("text")).alias("emails"), X.find_phones(F.col("text")).alias("phones")).filter("size(emails) > 0 or size(phones) > 0"))
+_query("valid_phones", lambda s, d: pages(s, d).select("extract_id", F.explode("phone").alias("phone")).distinct().select("extract_id", "phone", X.valid_phone(F.col("phone")).alias("valid")),
+       "WITH p AS (SELECT DISTINCT extract_id, unnest(phone) AS phone FROM extracted WHERE extract_id IS NOT NULL), g AS (SELECT *, trim(coalesce(phone, '')) AS c, regexp_replace(coalesce(phone, ''), '\\D', '', 'g') AS g FROM p) "
+       f"SELECT extract_id, phone, length(g) BETWEEN 8 AND 15 AND len(list_distinct(string_split(g, ''))) > 2 AND NOT regexp_matches(c, '{C.DATE_LIKE}') AND NOT regexp_matches(c, '{C.YEAR_RANGE}') AS valid FROM g")
+_query("query_keys", lambda s, d: log(s, d).select("seq", X.ledger_key(F.col("kind"), F.col("query"), F.col("page")).alias("key")), f"WITH {_KEYED} SELECT seq, {_LKEY} AS key FROM keyed")
+_query("client_folders", lambda s, d: log(s, d).filter("client is not null").select("client").distinct().select("client", X.client_folder(F.col("client")).alias("folder")), "SELECT DISTINCT client, left(sha256(client), 32) AS folder FROM search_log WHERE client IS NOT NULL AND seq IS NOT NULL")
+_query("slugs", lambda s, d: table(s, d, "collect_requests").filter("trim(custom_category) != ''").select("custom_category").distinct().select("custom_category", X.slug(F.col("custom_category")).alias("slug")),
+       "SELECT DISTINCT custom_category, 'Custom_' || left(regexp_replace(regexp_replace(custom_category, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS slug FROM collect_requests WHERE trim(custom_category, ' ') <> ''")
+
+# rules
+_REASON = ("CASE WHEN length(coalesce(title, '')) < 3 OR " + _name("title") + f" = '' THEN 'no plausible company name' WHEN regexp_matches(coalesce(title, ''), '{C.MEDIA_NAME}', 'i') OR regexp_matches(coalesce(title, ''), '{C.JUNK_NAME}', 'i') THEN 'name looks like publisher or article' "
+           "WHEN coalesce(website, '') <> '' AND skip THEN 'website is a directory, social or media domain' WHEN coalesce(website, '') = '' AND coalesce(cid, '') = '' THEN 'no official website and not a listing' WHEN coalesce(phonenumber, '') = '' AND coalesce(address, '') = '' AND coalesce(website, '') = '' THEN 'no useful business attribute' ELSE '' END")
+_query("validation", lambda s, d: places(s, d).select("place_key", rules.rejection(F.col("title"), F.col("website"), F.lit(""), F.col("phonenumber"), F.col("address"), X.text(F.col("cid")) != "").alias("reason")),
+       f"WITH {_PLACES}, h AS (SELECT *, {_host('website')} AS domain FROM pl), r AS (SELECT *, {_root('domain')} AS root FROM h), k AS (SELECT *, {_skip('root')} AS skip FROM r) SELECT place_key, {_REASON} AS reason FROM k")
+_query("confidence", lambda s, d: places(s, d).select("place_key", rules.confidence(F.col("title"), F.col("website"), F.lit(""), F.col("phonenumber"), F.col("address"), rules.relevant(F.array(F.lit("tax"), F.lit("law")), F.col("title"))).alias("score")),
+       f"WITH {_PLACES} SELECT place_key, least(100, (coalesce(website, '') <> '')::INT * 25 + (coalesce(phonenumber, '') <> '')::INT * 20 + (coalesce(address, '') <> '')::INT * 15 + (coalesce(title, '') <> '' AND coalesce(title, '') <> coalesce(website, '') AND contains(trim(coalesce(title, ''), ' '), ' '))::INT * 10 + (contains(lower(coalesce(title, '')), 'tax') OR contains(lower(coalesce(title, '')), 'law'))::INT * 10) AS score FROM pl")
+_query("blocked_pages", lambda s, d: table(s, d, "documents").select("doc_id", rules.blocked_title(F.substring(X.text(F.col("text")), 1, 80)).alias("blocked")), f"SELECT doc_id, regexp_matches(left(coalesce(text, ''), 80), '{C.BLOCKED_TITLE}', 'i') AS blocked FROM documents")
+
+# reading results
+_query("listings_by_request", lambda s, d: search.distinct_listings(places(s, d), ["seq"], "place_key").select("seq", "place_key"),
+       f"WITH {_PLACES}, k AS (SELECT *, CASE WHEN coalesce(cid, '') <> '' THEN 'cid:' || cid WHEN coalesce(placeid, '') <> '' THEN 'placeid:' || placeid WHEN coalesce(title, '') <> '' THEN 'title:' || title ELSE '' END AS ident FROM pl) SELECT seq, min(place_key) AS place_key FROM k GROUP BY seq, ident")
+_query("full_pages", lambda s, d: search.full_pages(log(s, d).filter("client is not null and results is not null").select("client", "seq", "results"), "client", "seq", "results").select("client", "seq"),
+       f"WITH {_LOG}, w AS (SELECT client, seq, min(results) OVER (PARTITION BY client ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM log WHERE client IS NOT NULL AND results IS NOT NULL) SELECT client, seq FROM w WHERE least >= 10 OR least IS NULL")
+
+# joins
+_query("unknown_sites", lambda s, d: dedup.without_known(pages(s, d).select("extract_id", X.norm_domain(F.col("url")).alias("domain")), places(s, d).select(X.norm_domain(F.col("website")).alias("domain")).filter("domain != ''"), "domain"),
+       f"WITH {_PLACES}, {_PAGES}, h AS (SELECT extract_id, {_host('url')} AS domain FROM pg) SELECT extract_id, domain FROM h WHERE domain NOT IN (SELECT {_host('website')} FROM pl WHERE {_host('website')} <> '')")
+_query("request_sources", lambda s, d: ledger.request_source(log(s, d), "2025-12-01 00:00:00"),
+       f"WITH {_KEYED}, l AS (SELECT {_LKEY} AS key, max(ts) AS last, sum(coalesce(credits, 0)) AS credits FROM keyed WHERE source = 'api' GROUP BY 1) SELECT key, CASE WHEN last > TIMESTAMP '2025-12-01 00:00:00' - INTERVAL 7 DAY THEN 'cache' WHEN last > TIMESTAMP '2025-12-01 00:00:00' - INTERVAL 30 DAY AND credits > 0 THEN 'executed' ELSE 'api' END AS source FROM l")
+_query("attributed_listings", lambda s, d: log(s, d).select("seq", X.ledger_key(F.col("kind"), F.col("query"), F.col("page")).alias("key")).join(places(s, d).filter("seq is not null").groupBy("seq").agg(F.count("*").alias("n")), "seq").groupBy("key").agg(F.sum("n").alias("valid")),
+       f"WITH {_KEYED}, {_PLACES}, p AS (SELECT seq, count(*) AS n FROM pl WHERE seq IS NOT NULL GROUP BY seq) SELECT {_LKEY} AS key, sum(n)::BIGINT AS valid FROM keyed JOIN p USING (seq) GROUP BY 1")
+_query("places_with_pages", lambda s, d: places(s, d).select("place_key", X.norm_domain(F.col("website")).alias("domain")).filter("domain != ''").join(pages(s, d).groupBy(X.norm_domain(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"), F.min("extract_id").alias("first_page")), "domain", "left").select("place_key", F.coalesce("pages", F.lit(0)).alias("pages"), "first_page"),
+       f"WITH {_PLACES}, {_PAGES}, h AS (SELECT {_host('url')} AS domain, count(*) AS pages, min(extract_id) AS first_page FROM pg GROUP BY 1) SELECT place_key, coalesce(pages, 0) AS pages, first_page FROM (SELECT place_key, {_host('website')} AS domain FROM pl) p LEFT JOIN h USING (domain) WHERE domain <> ''")
+_query("state_lookup", lambda s, d: table(s, d, "geo_list").filter("state is not null and city is null").select(F.lower("state").alias("state"), "country", "geo_id").join(table(s, d, "collect_requests").filter("trim(state) != ''").select("request_id", F.lower(F.trim("state")).alias("state")).distinct(), "state").groupBy("request_id").agg(F.min_by("country", "geo_id").alias("country")),
+       "SELECT request_id, arg_min(country, geo_id) AS country FROM (SELECT DISTINCT request_id, lower(trim(state, ' ')) AS s FROM collect_requests WHERE trim(state, ' ') <> '') r JOIN geo_list g ON lower(g.state) = r.s AND g.city IS NULL GROUP BY request_id")
+_query("file_diff", lambda s, d: summary.signature_diff(places(s, d).select("website", "phonenumber").filter("website is not null").groupBy("website").agg(F.max("phonenumber").alias("sign")), table(s, d, "partner_places").filter("website is not null").groupBy("website").agg(F.max("phonenumber").alias("sign")), "website", "sign"),
+       f"WITH {_PLACES}, a AS (SELECT website, max(phonenumber) AS a FROM pl WHERE website IS NOT NULL GROUP BY 1), b AS (SELECT website, max(phonenumber) AS b FROM partner_places WHERE website IS NOT NULL GROUP BY 1) SELECT website, CASE WHEN a IS NULL THEN 'delete' ELSE 'upsert' END AS action FROM a FULL JOIN b USING (website) WHERE a IS NULL OR b IS NULL OR a <> b")
+
+# aggregates
+_query("ledger_entries", lambda s, d: ledger.entries(log(s, d)),
+       f"WITH {_KEYED} SELECT {_LKEY} AS key, count(*) FILTER (WHERE source = 'api') AS requests, coalesce(sum(coalesce(credits, 0)) FILTER (WHERE source = 'api'), 0)::BIGINT AS credits, coalesce(sum(coalesce(results, 0)) FILTER (WHERE source = 'api'), 0)::BIGINT AS results, coalesce(sum(coalesce(new_results, 0)) FILTER (WHERE source = 'api'), 0)::BIGINT AS new_results, "
+       "coalesce(sum(greatest(0, coalesce(results, 0) - coalesce(new_results, 0))) FILTER (WHERE source = 'api'), 0)::BIGINT AS duplicates, count(*) FILTER (WHERE source = 'cache') AS cache_hits, sum(coalesce(timeouts, 0))::BIGINT AS timeouts, (max({'ts': ts, 'seq': seq}) FILTER (WHERE source = 'api')).seq AS last_seq FROM keyed GROUP BY 1")
+_query("ledger_totals", lambda s, d: ledger.totals(log(s, d)),
+       f"WITH {_LOG} SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS requests, sum(credits)::BIGINT AS credits, sum(results)::BIGINT AS results, sum(new_results)::BIGINT AS new_results, round(sum(new_results) / nullif(sum(credits), 0), 2) AS new_per_credit, round(100.0 * (sum(results) - sum(new_results)) / nullif(sum(results), 0), 1) AS repeat_percent FROM log WHERE source = 'api' AND kind IS NOT NULL GROUP BY ROLLUP (kind)")
+for _name_, _best_, _dir_ in (("best_queries", True, "DESC"), ("worst_queries", False, "ASC")):
+    _query(_name_, lambda s, d, b=_best_: ledger.ranked_queries(log(s, d), 10, b),
+           f"WITH {_KEYED}, q AS (SELECT phrase || '@' || place AS key, sum(credits) AS credits, sum(new_results) AS new_results, min(seq) AS first_seq FROM keyed WHERE source = 'api' AND query IS NOT NULL GROUP BY 1) SELECT key, round(new_results / credits, 4) AS rate, new_results::BIGINT AS new_results, first_seq FROM q WHERE credits > 0 ORDER BY rate {_dir_}, new_results {_dir_}, first_seq {'ASC' if _best_ else 'DESC'} LIMIT 10")
+_query("category_stats", lambda s, d: summary.category_stats(places(s, d)), f"WITH {_PLACES} SELECT category, count(*) AS records, count(*) FILTER (WHERE coalesce(website, '') <> '') AS websites, count(*) FILTER (WHERE coalesce(phonenumber, '') <> '') AS phones, count(*) FILTER (WHERE coalesce(address, '') <> '') AS addresses FROM pl GROUP BY category")
+_query("category_summary", lambda s, d: summary.summary_with_total(places(s, d)), f"WITH {_PLACES}, c AS (SELECT *, coalesce(category, '') AS cat FROM pl) SELECT CASE WHEN grouping(cat) = 1 THEN 'TOTAL' ELSE cat END AS category, count(*) AS records, count(*) FILTER (WHERE coalesce(website, '') <> '') AS websites, count(*) FILTER (WHERE coalesce(phonenumber, '') <> '') AS phones FROM c GROUP BY ROLLUP (cat)")
+_query("category_shares", lambda s, d: summary.share_of_total(places(s, d)), f"WITH {_PLACES} SELECT coalesce(category, '') AS category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM pl GROUP BY 1")
+_query("record_audit", lambda s, d: summary.audit(places(s, d)), f"WITH {_PLACES}, x AS (SELECT {_host('website')} AS dm, {_name('title')} AS nm FROM pl) SELECT count(*) AS records, count(*) FILTER (WHERE dm <> '') - count(DISTINCT dm) FILTER (WHERE dm <> '') AS duplicate_domains, count(*) FILTER (WHERE nm <> '') - count(DISTINCT nm) FILTER (WHERE nm <> '') AS duplicate_names, count(DISTINCT dm) AS domains FROM x")
+_query("state_request_counts", lambda s, d: summary.dimension_counts(table(s, d, "geo_list").filter("state is not null and city is null").select("geo_id", F.col("state")), table(s, d, "collect_requests").select("request_id", "state").distinct(), "state").select("geo_id", "n"),
+       "SELECT g.geo_id, count(r.request_id) AS n FROM geo_list g LEFT JOIN (SELECT DISTINCT request_id, state FROM collect_requests) r ON r.state = g.state WHERE g.state IS NOT NULL AND g.city IS NULL GROUP BY g.geo_id")
+_query("results_percentiles", lambda s, d: ledger.positional_percentile(log(s, d).filter("client is not null"), "client", "results", 0.95).withColumnRenamed("at", "p95"),
+       f"WITH {_LOG} SELECT client, count(*) AS n, list_sort(list(results))[(floor(0.95 * (count(*) - 1)) + 1)::INT] AS p95 FROM log WHERE client IS NOT NULL AND results IS NOT NULL GROUP BY client")
+_query("rolling_credits", lambda s, d: ledger.rolling_credits(log(s, d)),
+       f"WITH {_LOG} SELECT seq, client, sum(coalesce(credits, 0)) OVER (PARTITION BY client ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)::BIGINT AS spent FROM (SELECT *, date_trunc('second', ts) AS t2 FROM log) WHERE source = 'api' AND client IS NOT NULL".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
+_query("place_averages", lambda s, d: planner.place_freshness(log(s, d)).select("place", F.floor(F.col("freshness") * 1000 + 0.51).alias("freshness")),
+       f"WITH {_KEYED}, r AS (SELECT place, seq, new_results / results AS v FROM keyed WHERE source = 'api' AND query IS NOT NULL AND results > 0), b AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY seq DESC) - 1 AS back, count(*) OVER (PARTITION BY place) AS n FROM r WHERE v IS NOT NULL) SELECT place, floor(1000 * 0.75 * sum(CASE WHEN back = n - 1 THEN v * pow(0.5, n - 1) ELSE v * pow(0.5, back + 1) END) + 0.51)::BIGINT AS freshness FROM b GROUP BY place")
+_query("planner_cells", lambda s, d: planner.cells(log(s, d)),
+       f"WITH {_KEYED} SELECT phrase, place, sum(coalesce(credits, 0))::BIGINT AS credits, sum(results)::BIGINT AS results, sum(new_results)::BIGINT AS new_results, max(page) AS last_page, arg_max(results, {{'page': page, 'seq': seq}}) AS last_size FROM keyed WHERE source = 'api' AND query IS NOT NULL GROUP BY phrase, place")
+_query("phrase_quality", lambda s, d: planner.phrase_quality(log(s, d)).select("phrase", F.round("quality", 6).alias("quality")), f"WITH {_KEYED} SELECT phrase, round((sum(new_results) + 2.1) / (sum(results) + 3), 6) AS quality FROM keyed WHERE source = 'api' AND query IS NOT NULL GROUP BY phrase")
+_query("next_cells", lambda s, d: planner.next_cells(log(s, d)))
+_query("follow_up_pages", lambda s, d: planner.follow_ups(log(s, d)), f"WITH {_LOG} SELECT seq, page + 1 AS page FROM log WHERE kind = 'places' AND source = 'api' AND page < 3 AND results >= 8 AND new_results >= 0.5 * results")
+
+# windows, ranks, sets
+_query("failure_streaks", lambda s, d: ledger.failure_streaks(log(s, d)),
+       f"WITH {_LOG}, o AS (SELECT *, CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS ok FROM log WHERE client IS NOT NULL), i AS (SELECT *, sum(ok) OVER (PARTITION BY client ORDER BY seq) AS island FROM o), k AS (SELECT seq, sum(1 - ok) OVER (PARTITION BY client, island ORDER BY seq)::BIGINT AS streak FROM i) SELECT seq, streak, CASE WHEN streak >= 3 THEN least(30.0, 2 * pow(2.0, least(8, floor((streak - 3) / 2)))) ELSE 0.0 END::DOUBLE AS pause FROM k")
+_query("stalls", lambda s, d: ledger.stalls(log(s, d)), f"WITH {_LOG}, g AS (SELECT seq, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY client ORDER BY ts, seq) AS idle FROM log WHERE client IS NOT NULL AND ts IS NOT NULL) SELECT seq, idle FROM g WHERE idle > 300")
+_query("dry_spells", lambda s, d: ledger.dry_spells(log(s, d)), f"WITH {_LOG}, g AS (SELECT seq, sum(coalesce(new_results, 0)) OVER w AS s, count(*) OVER w AS n FROM log WHERE client IS NOT NULL WINDOW w AS (PARTITION BY client ORDER BY seq ROWS 9 PRECEDING)) SELECT seq FROM g WHERE s = 0 AND n >= 5")
+_query("last_requests", lambda s, d: ledger.last_rows(log(s, d).filter("client is not null"), "client", "seq", 5).select("client", "seq", "rank", "total"), f"WITH {_LOG}, r AS (SELECT client, seq, row_number() OVER (PARTITION BY client ORDER BY seq DESC) AS rank, count(*) OVER (PARTITION BY client) AS total FROM log WHERE client IS NOT NULL) SELECT * FROM r WHERE rank <= 5")
+_query("rate_pressure", lambda s, d: ledger.rate_pressure(log(s, d), 3600),
+       f"WITH {_LOG}, m AS (SELECT client, floor(floor(epoch(ts)) / 3600)::BIGINT AS minute, count(*) AS hits FROM log WHERE client IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) SELECT client, minute, hits, hits + CASE WHEN minute - lag(minute) OVER w = 1 THEN lag(hits) OVER w * 0.5 ELSE 0.0 END::DOUBLE AS pressure FROM m WINDOW w AS (PARTITION BY client ORDER BY minute)")
+_query("evicted_log", lambda s, d: ledger.evict_oldest(log(s, d).filter("ts is not null").select("ts", "seq"), ["ts", "seq"], 500, 4).select("seq"), f"WITH {_LOG}, r AS (SELECT seq, row_number() OVER (ORDER BY ts, seq) AS rank, count(*) OVER () AS n FROM log WHERE ts IS NOT NULL) SELECT seq FROM r WHERE n <= 500 OR rank > n // 4")
+_query("target_cap", lambda s, d: dedup.up_to_target(places(s, d).filter("category is not null").select("category", "place_key"), ["category"], "place_key", 25), f"WITH {_PLACES}, r AS (SELECT category, place_key, row_number() OVER (PARTITION BY category ORDER BY place_key) AS n FROM pl WHERE category IS NOT NULL) SELECT category, place_key FROM r WHERE n <= 25")
+_query("ordered_union", lambda s, d: summary.ordered_union([places(s, d).filter("category is not null").select("category", F.lit("places").alias("source")).distinct(), table(s, d, "collect_requests").filter("category is not null").select("category", F.lit("requests").alias("source")).distinct()], "category").select(F.lower("category").alias("category"), "source"),
+       f"WITH {_PLACES}, u AS (SELECT lower(category) AS category, 0 AS p FROM pl WHERE category IS NOT NULL UNION ALL SELECT lower(category), 1 FROM collect_requests WHERE category IS NOT NULL) SELECT category, CASE WHEN min(p) = 0 THEN 'places' ELSE 'requests' END AS source FROM u GROUP BY category")
+_query("access_minutes", lambda s, d: table(s, d, "events").groupBy(F.date_trunc("minute", "ts").alias("minute"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 0).alias("negative")), "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n, count(*) FILTER (WHERE value < 0) AS negative FROM events GROUP BY 1, 2")
+
+# duplicates and the whole pipeline
+_query("first_listing_by_phone", lambda s, d: dedup.first_wins(places(s, d).withColumn("k", X.norm_phone(F.col("phonenumber"))).filter("k != ''").select("k", "place_key", "title"), ["k"], ["place_key"]), f"WITH {_PLACES}, k AS (SELECT {_phone('phonenumber')} AS k, place_key, title FROM pl) SELECT k, min(place_key) AS place_key, arg_min(title, place_key) AS title FROM k WHERE k <> '' GROUP BY k")
+
+
+def _unique(spark: SparkSession, sf: str) -> DataFrame:
+    keys = dedup.record_keys(F.col("website"), F.col("cid"), F.col("title"), F.array().cast("array<string>"), F.array("phonenumber"))
+    return dedup.greedy_unique(places(spark, sf).withColumn("keys", keys), "place_key", "keys").select(F.col("seq").alias("place_key"), "accepted")
+
+
+_query("unique_records", _unique,
+       f"WITH RECURSIVE {_PLACES}, k AS (SELECT row_number() OVER (ORDER BY place_key) AS i, place_key, list_filter([CASE WHEN {_host('website')} <> '' THEN 'd' || {_host('website')} WHEN coalesce(cid, '') <> '' THEN 'dcid:' || cid ELSE '' END, CASE WHEN {_name('title')} <> '' THEN 'n' || {_name('title')} ELSE '' END, CASE WHEN {_phone('phonenumber')} <> '' THEN 'p' || {_phone('phonenumber')} ELSE '' END], lambda x: x <> '') AS keys FROM pl), "
+       "f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS place_key, false AS accepted, []::VARCHAR[] AS acc UNION ALL SELECT k.i, k.place_key, NOT list_has_any(f.acc, k.keys), CASE WHEN list_has_any(f.acc, k.keys) THEN f.acc ELSE list_concat(f.acc, k.keys) END FROM f JOIN k ON k.i = f.i + 1) SELECT place_key, accepted FROM f WHERE i > 0")
+_query("company_records", flagship)
+_query("rejected_candidates", lambda s, d: R.judged(R.candidates(table(s, d, "places"), table(s, d, "search_log"))).groupBy("reason").agg(F.count("*").alias("n"), F.avg("score").alias("score")))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
