@@ -12,6 +12,7 @@ from gleanwork.llm.leakage import leaked_items
 from gleanwork.llm.linkage import link_businesses
 from gleanwork.llm.name_variants import variant_links
 from gleanwork.llm.place_mapping import map_places
+from gleanwork.llm.place_oracle import SQL as PLACES_SQL
 from gleanwork.llm.subjects import subject_posteriors, subjects_of
 from gleanwork.llm.survivors import fused_values, surviving_values
 from gleanwork.llm.tokenize import encode_corpus
@@ -87,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_P1_WORDS}, firsts AS (SELECT words, min(seq) AS first_seq FROM words WHERE words <> '' GROUP BY words) SELECT first_seq, seq FROM words JOIN firsts USING (words) WHERE seq <> first_seq",
         "p1_groups": f"WITH {_P1_WORDS} SELECT min(seq) AS first_seq, count(*) AS copies FROM words WHERE words <> '' GROUP BY words",
+        "p4_found": PLACES_SQL,
     }
