@@ -132,3 +132,36 @@ def evict_oldest(df: DataFrame, order: list[str], most: int, part: int) -> DataF
     drop = total // part
     oldest = df.select(F.struct(*order).alias("_o")).orderBy("_o").limit(drop).agg(F.max("_o").alias("edge"))
     return df.join(F.broadcast(oldest), F.struct(*order) > F.col("edge")).drop("edge")
+
+
+def run_metrics(log: DataFrame) -> DataFrame:
+    """(client, ...): what a client's run cost and saved: paid, cached and skipped requests, ratios, timeouts."""
+    new = F.sum(F.coalesce("new_results", F.lit(0)))
+    return log.filter("client is not null").groupBy("client").agg(
+        F.count("*").alias("requests"), F.count_if(paid()).alias("paid"), F.count_if(F.col("source") == "cache").alias("cached"), F.count_if(F.col("source") == "executed").alias("skipped"),
+        _sum_if(paid(), "credits").alias("credits"), new.cast("long").alias("new_results"), _sum_if(F.lit(True), "timeouts").alias("timeouts"), F.count_if(F.col("status") != "ok").alias("failed"),
+    ).withColumn("new_per_credit", F.round(F.try_divide("new_results", "credits"), 2))
+
+
+def merge_cache(held: DataFrame, loaded: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """Cache entries (key, ts, value) that are not older than ``days``; of one key what is held goes first."""
+    fresh = lambda df, rank: df.filter(F.col("ts").cast("timestamp") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")).select("key", F.lit(rank).alias("rank"), "ts", "value")
+    both = fresh(held, 0).unionByName(fresh(loaded, 1))
+    return both.groupBy("key").agg(F.min_by(F.struct("ts", "value"), F.struct("rank", F.unix_micros(F.col("ts").cast("timestamp")) * -1)).alias("v")).select("key", "v.ts", "v.value")
+
+
+def startable(queue: DataFrame, running: DataFrame, slots: int) -> DataFrame:
+    """The queued jobs (seq, client, category) to start: first come, first served, over blocked ones.
+
+    A job waits while one of its client and category runs or is queued before it; of the others
+    as many start as there are free slots.
+    """
+    free = queue.join(running.select("client", "category").distinct(), ["client", "category"], "left_anti")
+    first = free.groupBy("client", "category").agg(F.min("seq").alias("seq"))
+    return first.orderBy("seq").limit(max(0, slots - running.count())).select("seq", "client", "category")
+
+
+def fairness(log: DataFrame, group: str = "category", ahead: int = 2) -> DataFrame:
+    """(group, rounds, wait): searches of each category; those more than ``ahead`` over the slowest wait."""
+    n = log.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("rounds"))
+    return n.withColumn("wait", F.col("rounds") - F.min("rounds").over(W.partitionBy()) > ahead)

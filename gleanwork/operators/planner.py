@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gleanwork.functions import text as X
 from gleanwork.operators.ledger import moving_average
@@ -49,3 +50,21 @@ def follow_ups(log: DataFrame) -> DataFrame:
     """(seq, page): next pages worth asking for: full pages of listings of which half was new."""
     ok = (F.col("kind") == "places") & (F.col("source") == "api") & (F.col("page") < 3) & (F.col("results") >= FOLLOW_RESULTS) & (F.col("new_results") >= FOLLOW_NEW * F.col("results"))
     return log.filter(ok).select("seq", (F.col("page") + 1).alias("page"))
+
+
+def expand_places(geo: DataFrame, country: str, state: str = "", city: str = "") -> DataFrame:
+    """(rank, place): where to search for a request, the country or state first, then its cities.
+
+    A city stands alone. The cities of a country come in rounds, the first of each state, then the
+    second of each, so that early searches are spread.
+    """
+    spark = geo.sparkSession
+    if city:
+        return spark.createDataFrame([(1, ", ".join(x for x in (city, state or country) if x))], "rank int, place string")
+    inside = geo.filter((F.lower("country") == country.lower()) & F.col("city").isNotNull())
+    if state:
+        inside = inside.filter((F.lower("state") == state.lower()) | (F.lower("state_code") == state.lower()))
+    depth = F.row_number().over(W.partitionBy("state").orderBy("geo_id"))
+    cities = inside.select(F.concat_ws(", ", "city", "state").alias("place"), depth.alias("depth"), "geo_id").dropDuplicates(["place"])
+    top = spark.createDataFrame([(", ".join(x for x in (state, country) if x), 0, -1)], "place string, depth int, geo_id long")
+    return top.unionByName(cities).select(F.row_number().over(W.orderBy("depth", "geo_id")).alias("rank"), "place")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gleanwork.functions import constants as C
 from gleanwork.functions import rules
 from gleanwork.functions import text as X
-from gleanwork.operators import dedup, ledger, planner, summary
+from gleanwork.operators import dedup, folds, ledger, planner, summary
 from gleanwork.plans import records as R
 from gleanwork.session import table
 from gleanwork.sources import search
@@ -175,6 +175,16 @@ _query("phrase_quality", lambda s, d: planner.phrase_quality(log(s, d)).select("
 _query("next_cells", lambda s, d: planner.next_cells(log(s, d)))
 _query("follow_up_pages", lambda s, d: planner.follow_ups(log(s, d)), f"WITH {_LOG} SELECT seq, page + 1 AS page FROM log WHERE kind = 'places' AND source = 'api' AND page < 3 AND results >= 8 AND new_results >= 0.5 * results")
 
+_query("run_metrics", lambda s, d: ledger.run_metrics(log(s, d)),
+       f"WITH {_LOG}, m AS (SELECT client, count(*) AS requests, count(*) FILTER (WHERE source = 'api') AS paid, count(*) FILTER (WHERE source = 'cache') AS cached, count(*) FILTER (WHERE source = 'executed') AS skipped, coalesce(sum(credits) FILTER (WHERE source = 'api'), 0)::BIGINT AS credits, sum(coalesce(new_results, 0))::BIGINT AS new_results, sum(coalesce(timeouts, 0))::BIGINT AS timeouts, count(*) FILTER (WHERE status <> 'ok') AS failed FROM log WHERE client IS NOT NULL GROUP BY client) SELECT *, round(new_results / nullif(credits, 0), 2) AS new_per_credit FROM m")
+_query("startable_jobs", lambda s, d: ledger.startable(table(s, d, "collect_requests").filter("client is not null and category is not null and ts is not null").select(F.col("request_id").alias("seq"), "client", "category").distinct(), log(s, d).filter("client is not null and category is not null").orderBy("seq").limit(3).select("client", "category"), 20),
+       f"WITH {_LOG}, busy AS (SELECT client, category FROM log WHERE client IS NOT NULL AND category IS NOT NULL ORDER BY seq LIMIT 3), f AS (SELECT client, category, min(request_id) AS seq FROM collect_requests q WHERE client IS NOT NULL AND category IS NOT NULL AND ts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.client = q.client AND b.category = q.category) GROUP BY 1, 2) SELECT seq, client, category FROM f ORDER BY seq LIMIT 17")
+_query("fair_categories", lambda s, d: ledger.fairness(log(s, d)), f"WITH {_LOG}, n AS (SELECT category, count(*) AS rounds FROM log WHERE category IS NOT NULL GROUP BY category) SELECT category, rounds, rounds - min(rounds) OVER () > 2 AS wait FROM n")
+_query("search_places", lambda s, d: planner.expand_places(table(s, d, "geo_list"), "Quellia"),
+       "WITH c AS (SELECT city || ', ' || state AS place, row_number() OVER (PARTITION BY state ORDER BY geo_id) AS depth, geo_id FROM geo_list WHERE country = 'Quellia' AND city IS NOT NULL UNION ALL SELECT 'Quellia', 0, -1) SELECT (row_number() OVER (ORDER BY depth, geo_id))::INT AS rank, place FROM c")
+_query("rate_limited", lambda s, d: folds.rate_limited(log(s, d).filter("client is not null and ts is not null").select("client", "seq", F.col("ts").cast("timestamp").cast("double").alias("at")), 3, 3600).select("seq", "allowed"))
+_query("adaptive_rates", lambda s, d: folds.adaptive_rate(log(s, d).filter("source is not null").select("source", "seq", F.coalesce("status", F.lit("")).alias("status"))).select("seq", "rate"))
+
 # windows, ranks, sets
 _query("failure_streaks", lambda s, d: ledger.failure_streaks(log(s, d)),
        f"WITH {_LOG}, o AS (SELECT *, CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS ok FROM log WHERE client IS NOT NULL), i AS (SELECT *, sum(ok) OVER (PARTITION BY client ORDER BY seq) AS island FROM o), k AS (SELECT seq, sum(1 - ok) OVER (PARTITION BY client, island ORDER BY seq)::BIGINT AS streak FROM i) SELECT seq, streak, CASE WHEN streak >= 3 THEN least(30.0, 2 * pow(2.0, least(8, floor((streak - 3) / 2)))) ELSE 0.0 END::DOUBLE AS pause FROM k")
