@@ -37,8 +37,14 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
 
 
+#: Words above this length are no names; they are compared for equality only.
+LONGEST_WORD = 64
+
+
 def shortened(word: str) -> set[str]:
     """The word and all forms with one letter left out; words one edit or swap apart share a form."""
+    if len(word) > LONGEST_WORD:
+        return {word}
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
@@ -46,7 +52,7 @@ def near(a: str, b: str, most: int) -> bool:
     """Whether at most ``most`` insertions, deletions, changes or swaps of neighbours part a and b."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or len(a) > LONGEST_WORD:
         return False
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

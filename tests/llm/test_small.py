@@ -96,6 +96,13 @@ def test_near():
     assert near("abcd", "abdc", 1) and near("abcd", "abd", 1) and not near("abcd", "badc", 1) and near("abcd", "badc", 2)
 
 
+def test_endless_words_are_no_names():
+    word = "x" * 200_000
+    assert near(word, word, 1) and not near(word, "y" + word, 1)
+    assert parse(f"12 {word} Street, {word}", Gazetteer(GEO))[5] == "12"
+    assert names.alike(word, word + "x") == 0
+
+
 def test_parse():
     g = Gazetteer(GEO)
     for text in ("Unit 5, 12B North Foo Street, Sendevam, WS", "Foo St. N. 12B #5 | 1001234 Sendevam", "NO 12B N FOO STR SENDEVVAM"):
