@@ -30,11 +30,11 @@ ACCENTS = ("áàâäãåéèêëíìîïóòôöõøúùûüñçýÿ", "aaaaaaee
 
 
 def _words(text: str) -> str:
-    """SQL: the words of a typed or listed name, abbreviations expanded, noise removed."""
+    """SQL: the words of a typed or listed name, each with abbreviations expanded and as it is written, noise removed."""
     forms = ", ".join(f"'{k}', '{v}'" for k, v in WORD_FORMS.items())
     noise = ", ".join(f"'{w}'" for w in NOISE)
-    return f"""filter(transform(regexp_extract_all({text}, '([a-z0-9]+)', 1), w -> coalesce(try_element_at(map({forms}), w), w)),
-        w -> not array_contains(array({noise}), w) AND NOT w RLIKE '^[0-9]+$')"""
+    return f"""filter(transform(regexp_extract_all({text}, '([a-z0-9]+)', 1), w -> struct(coalesce(try_element_at(map({forms}), w), w) AS full, w AS plain)),
+        w -> not array_contains(array({noise}), w.full) AND NOT w.full RLIKE '^[0-9]+$')"""
 
 
 def _clean(text: str) -> str:
@@ -43,7 +43,12 @@ def _clean(text: str) -> str:
 
 def _fold(words: str) -> str:
     """SQL: one string for spellings that sound alike."""
-    return f"replace(replace(replace(translate(array_join({words}, ''), 'yw', 'iv'), 'ck', 'k'), 'ks', 'x'), 'ph', 'f')"
+    return f"replace(replace(replace(translate(array_join(transform({words}, w -> w.full), ''), 'yw', 'iv'), 'ck', 'k'), 'ks', 'x'), 'ph', 'f')"
+
+
+def _plain(words: str) -> str:
+    """SQL: the words as they are written, in one string."""
+    return f"array_join(transform({words}, w -> w.plain), '')"
 
 
 _FORMS = f"""
@@ -54,12 +59,14 @@ WITH listed AS (
 named AS (SELECT *, {_words(_clean("coalesce(city, state, country)"))} AS words FROM listed),
 forms AS (
   SELECT geo_id, level, country, state, {_fold("words")} AS form, true AS fuzzy FROM named
-  UNION SELECT geo_id, level, country, state, {_fold(f"filter(words, w -> not array_contains(array({', '.join(repr(t) for t in TITLES)}), w))")}, true FROM named WHERE level < 3
+  UNION SELECT geo_id, level, country, state, {_plain("words")}, true FROM named
+  UNION SELECT geo_id, level, country, state, {_fold(f"filter(words, w -> not array_contains(array({', '.join(repr(t) for t in TITLES)}), w.full))")}, true FROM named WHERE level < 3
   UNION SELECT geo_id, level, country, state, lower(CASE level WHEN 1 THEN country_code ELSE state_code END), false FROM named WHERE level < 3)
 SELECT form, fuzzy, collect_list(struct(geo_id, level, country, state)) AS entries FROM forms WHERE form <> '' GROUP BY form, fuzzy
 """
 
-# A span is a whole piece of a typed value (split_at 0) or one of the two sides of a cut of it.
+# A span is a whole piece of a typed value (cut 0) or one of the two sides of a cut of it, with words
+# spelled out and folded by sound, and as they are written.
 _SPANS = f"""
 WITH pieces AS (
   SELECT value, piece, {_words("text")} AS words FROM (
@@ -69,7 +76,7 @@ sides AS (
   SELECT value, piece, cut, 0 AS side, words FROM cuts WHERE cut = 0
   UNION ALL SELECT value, piece, cut, 1, slice(words, 1, cut) FROM cuts WHERE cut > 0
   UNION ALL SELECT value, piece, cut, 2, slice(words, cut + 1, size(words)) FROM cuts WHERE cut > 0)
-SELECT value, piece, cut, side, {_fold("words")} AS text, array_join(words, '') AS plain FROM sides
+SELECT value, piece, cut, side, explode(array_distinct(array({_fold("words")}, {_plain("words")}))) AS text, {_plain("words")} AS plain FROM sides
 """
 
 def _cut_at(nr: str, whole: str) -> str:
@@ -106,7 +113,8 @@ SELECT text, edits, array_distinct(flatten(collect_list(entries))) AS entries FR
 # The mentions of a value: of each piece its whole if that is listed, else its best cut. A value
 # whose first piece names nothing ('Nowhere, Listed State') has none.
 _READINGS = """
-WITH found AS (SELECT value, piece, cut, side, struct(edits, entries) AS mention FROM {spans} JOIN {matches} USING (text)),
+WITH found AS (
+  SELECT value, piece, cut, side, min_by(struct(edits, entries), struct(edits, text)) AS mention FROM {spans} JOIN {matches} USING (text) GROUP BY value, piece, cut, side),
 covers AS (
   SELECT value, piece, cut, collect_list(mention) AS mentions, sum(mention.edits) AS edits FROM found
   GROUP BY value, piece, cut HAVING count(*) = CASE WHEN cut = 0 THEN 1 ELSE 2 END),
