@@ -147,28 +147,32 @@ def word_blocks(names: DataFrame, overlap: float = 0.6) -> DataFrame:
     return names.join(blocks.distinct(), "words")
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float, overlap: float = 0.35) -> DataFrame:
+def similar_names(left: DataFrame, right: DataFrame, least: float, overlap: float = 0.25) -> DataFrame:
     """(block, left, right, score) for the distinct names of one block that score ``least`` or more.
 
-    ``left`` and ``right`` have (block, words). Names of one block are compared if they share one
-    of their rarest 3-letter pieces: with pieces in order of frequency, two sets that overlap by
-    ``overlap`` (Jaccard) share one among the first |x| - ceil(overlap |x|) + 1. Pairs that do
-    overlap are verified by ``soft_similarity``. Names without words and null blocks match nothing.
+    ``left`` and ``right`` have (block, words). Names are sets of 3-letter pieces, each weighted by
+    its rarity. Of a block, names are compared if they share one of the pieces of their prefix: the
+    rarest ones up to all but ``overlap`` of the weight, so that no pair with a weighted Jaccard
+    overlap of ``overlap`` is missed. Pairs that do overlap are verified by ``soft_similarity``.
+    Names without words and null blocks match nothing.
     """
     sides = left.select("block", "words", F.lit(True).alias("is_left")).unionByName(right.select("block", "words", F.lit(False).alias("is_left")))
     sides = cut(sides.filter("block is not null and size(words) > 0").groupBy("block", "words").agg(F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right")))
-    weighed = weigh(sides.select("block", "words")).withColumn("nr", F.xxhash64("block", "words")).join(sides, ["block", "words"])
-    names = cut(weighed.withColumn("grams", F.transform(_grams(F.col("words")), lambda g: F.hash(g))))
-    pieces = names.select("nr", "block", "in_left", "in_right", F.explode("grams").alias("gram"))
+    names = cut(weigh(sides.select("block", "words")).withColumn("nr", F.xxhash64("block", "words")).join(sides, ["block", "words"]))
+    pieces = names.select("nr", "block", "in_left", "in_right", F.explode(F.transform(_grams(F.col("words")), lambda g: F.hash(g))).alias("gram"))
     counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = join_group_facts(pieces, counts, "gram", "n", pieces.count())
-    own = ranked.groupBy("nr", "block", "in_left", "in_right").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    first = own.select("nr", "block", "in_left", "in_right", F.explode(F.slice("g", 1, (F.size("g") - F.ceil(overlap * F.size("g")) + 1).cast("int"))).alias("g")).select("nr", "block", "in_left", "in_right", "g.gram")
+    weighed = join_group_facts(pieces, counts, "gram", "n", pieces.count()).withColumn("w", F.log(1 + F.lit(float(max(1, names.count()))) / F.col("n")).cast("float"))
+    own = weighed.groupBy("nr", "block", "in_left", "in_right").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "w"))).alias("g"), F.sum("w").alias("total"))
+    sum_of = lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x.w)
+    before = F.transform("g", lambda x, i: F.struct(x.gram.alias("gram"), sum_of(F.slice("g", 1, i)).alias("before")))
+    own = cut(own.withColumn("prefix", F.transform(F.filter(before, lambda x: x.before <= (1 - overlap) * F.col("total") + 1e-6), lambda x: x.gram)).withColumn("g", F.transform("g", lambda x: F.struct(x.gram.alias("gram"), x.w.alias("w")))))
+    first = own.select("nr", "block", "in_left", "in_right", F.explode("prefix").alias("gram"))
     a = first.filter("in_left").select("block", "gram", F.col("nr").alias("l"))
     b = first.filter("in_right").select("block", "gram", F.col("nr").alias("r"))
     pairs = a.join(b, ["block", "gram"]).select("l", "r").distinct()
-    of = lambda side: names.select(F.col("nr").alias(side[0]), "block", F.col("words").alias(side), F.col("weights").alias(f"{side}_weights"), F.col("grams").alias(f"{side}_grams"))
-    full = pairs.join(of("left"), "l").join(of("right").drop("block"), "r")
-    common = F.size(F.array_intersect("left_grams", "right_grams"))
-    full = full.filter(common >= overlap * (F.size("left_grams") + F.size("right_grams") - common)).drop("left_grams", "right_grams")
+    of = lambda side: own.select(F.col("nr").alias(side[0]), F.col("g").alias(f"{side}_g"), F.col("total").alias(f"{side}_total"))
+    common = sum_of(F.array_intersect("left_g", "right_g"))
+    alike_ = pairs.join(of("left"), "l").join(of("right"), "r").withColumn("common", common).filter(F.col("common") >= overlap * (F.col("left_total") + F.col("right_total") - F.col("common")) - 1e-6).select("l", "r")
+    name = lambda side: names.select(F.col("nr").alias(side[0]), "block", F.col("words").alias(side), F.col("weights").alias(f"{side}_weights"))
+    full = alike_.join(name("left"), "l").join(name("right").drop("block"), "r")
     return cut(full.withColumn("score", _similarity("left", "right", "left_weights", "right_weights")).filter(F.col("score") >= least).select("block", "left", "right", "score"))
