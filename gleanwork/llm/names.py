@@ -46,7 +46,7 @@ def _spelled_out(word: str) -> str:
     """The full form of a short one, also of a short one mistyped."""
     full = WORD_FORMS.get(word) or GIVEN_NAMES.get(word)
     if not full and 4 <= len(word) <= 6 and word not in IGNORED:
-        close = {WORD_FORMS[k] for k in WORD_FORMS if len(k) >= 4 and near(word, k, 1)}
+        close = {WORD_FORMS[k] for k in WORD_FORMS if len(k) >= 4 and word[0] == k[0] and (len(word) != len(k) or len(k) >= 6) and near(word, k, 1)}
         full = close.pop() if len(close) == 1 else None
     return full or word
 
