@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.llm.addresses import parse_addresses
-from gleanwork.llm.names import name_words, similar_names, word_blocks
+from gleanwork.llm.names import name_words, similar_names
 from gleanwork.operators.skew import join_salted
 from gleanwork.session import cut
 
@@ -55,11 +55,11 @@ def variant_links(places: DataFrame, extracted: DataFrame, geo: DataFrame) -> Da
     spelled = pages.filter("size(words) > 0").select("site", "words").distinct()
     sites = cut(spelled.join(cities, "site"))
     to_site = cut(_places_of_sites(mine, sites))
-    # a site without a city: a name that is found in one city only, at no site there
+    # a site without a city: a name that is found in one city only, at no site there; all are compared in one block
     adrift = spelled.join(cities, "site", "left_anti")
     open_places = mine.join(to_site, "place_key", "left_anti")
-    blocks = cut(word_blocks(adrift.select("words").unionByName(open_places.select("words")).distinct()))
-    at_large = cut(_places_of_sites(cut(open_places.withColumnRenamed("block", "city").join(blocks, "words")), cut(adrift.join(blocks, "words"))))
+    everywhere = F.lit("").alias("block")
+    at_large = cut(_places_of_sites(cut(open_places.select("place_key", "words", everywhere)), cut(adrift.select("site", "words", everywhere))))
     where = at_large.join(open_places.select("place_key", F.col("block").alias("city")), "place_key")
     one_city = where.groupBy("site").agg(F.countDistinct("city").alias("cities")).filter("cities = 1").select("site")
     to_site = cut(to_site.unionByName(at_large.join(one_city, "site", "left_semi")).distinct())

@@ -139,6 +139,13 @@ def test_variant_links(spark, geo):
     assert pairs(variant_links(a, b, geo)) == [(1, 11), (1, 12), (2, 11), (2, 12)]
 
 
+def test_variants_of_mistyped_names_without_city(spark, geo):
+    places = [(1, "Grugarult Solicitors", None, None, "Sendevam"), (2, "Pildambilt Render Works", None, None, "Sendevam"), *[(10 + i, f"{n} Solicitors", None, None, "Sendevam") for i, n in enumerate(("Dombuk", "Haldubund", "Tevaxil", "Crestevax"))]]
+    pages = [(21, "http://a.example", "Grugaru lt Solicitors", None), (22, "http://b.example", "Grugrault Solicitors", None), (23, "http://c.example", "Pildambitl Redner Works", None), (24, "http://d.example", "Ostrefal Solicitors", None)]
+    a, b = spark.createDataFrame(places, PLACES), spark.createDataFrame(pages, "extract_id long, url string, name string, address string")
+    assert pairs(variant_links(a, b, geo)) == [(1, 21), (1, 22), (2, 23)]
+
+
 def test_linkage(spark, geo):
     places = [(1, "Crestevax Language School", "http://cres.example", "555 123 4567", "12 Foobar St, Sendevam"), (2, "Crestevax Language School", "http://cres.example", "555 123 4567", "9 Other Rd, Port Trekallix, VDR"), (3, "Dombukil Haulage", None, None, "Sendevam"), (4, None, None, None, None)]
     listings = [(11, "The Crestevax Lang. School Ltd", None, "+1 555 123 4567", "Foobar Street 12, Sendevam"), (12, "Crestevax Roofing", None, None, "Sendevam"), (13, "Dombukil Haulage LLC", None, None, "Sendevam"), (14, "", None, None, "Sendevam"), (13, "Dombukil Haulage LLC", None, None, "Sendevam")]
