@@ -2,8 +2,8 @@
 
 Region and city come from the gazetteer; an address without a city inherits the candidates of
 its postcode, or else of its region. Within a city records are linked by house number, kind and
-direction of the street, and by street names at most one typing error a side apart. The possible
-places of a city name stay a set until both addresses are compared.
+direction of the street, and by street names at most two typing errors apart, one if a name is
+short. The possible places of a city name stay a set until both addresses are compared.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanwork.llm.addresses import near, parse_addresses, shortened
+from gleanwork.llm.addresses import near, parse_addresses
 from gleanwork.llm.names import sound
 from gleanwork.operators.skew import join_salted
 from gleanwork.session import cut
@@ -21,21 +21,28 @@ from gleanwork.session import cut
 PARTS = ["city", "places", "region", "parents", "postcode", "number", "street", "kind", "direction"]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _variants(streets: pd.Series) -> pd.Series:
-    return streets.map(lambda s: sorted(shortened(sound(s))) if s else [])
-
-
 @F.pandas_udf(T.BooleanType())
 def _same_street(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(sound(x), sound(y), 2 if min(len(x), len(y)) > 6 else 1) for x, y in zip(a, b)])
 
 
+def _sound(street: Column) -> Column:
+    """``sound`` as a column."""
+    for a, b in (("ck", "k"), ("ks", "x"), ("ph", "f")):
+        street = F.replace(street, F.lit(a), F.lit(b))
+    return F.translate(street, "yw", "iv")
+
+
+def _streets_meet(a: Column, b: Column) -> Column:
+    """Whether ``a`` and ``b`` (street, sound) are the same street; two swaps are four edits at most, which the JVM tells first."""
+    return (F.levenshtein(a["sound"], b["sound"], 4) >= 0) & _same_street(a["street"], b["street"])
+
+
 def _inherit(known: DataFrame, lacking: DataFrame, key_known: Column, key_lacking: Column) -> DataFrame:
     """The cities that ``lacking`` addresses (place, ...) may inherit from ``known`` ones of one key."""
-    side = lambda df, key, s: df.select(F.explode(key).alias("key"), "number", "kind", "direction", F.explode(_variants("street")).alias("variant"), F.struct("place", "city", "places", "street").alias(s))
-    met = side(known, key_known, "k").join(side(lacking, key_lacking, "l"), ["key", "number", "kind", "direction", "variant"]).select("k", "l").distinct()
-    return met.filter(_same_street("k.street", "l.street")).groupBy(F.col("l.place").alias("place")).agg(F.collect_set(F.struct("k.city", "k.places")).alias("cities"))
+    side = lambda df, key, s: df.select(F.explode(key).alias("key"), "number", "kind", "direction", F.struct("place", "city", "places", "street", _sound(F.col("street")).alias("sound")).alias(s))
+    met = side(known, key_known, "k").join(side(lacking, key_lacking, "l"), ["key", "number", "kind", "direction"]).select("k", "l")
+    return met.filter(_streets_meet(F.col("k"), F.col("l"))).groupBy(F.col("l.place").alias("place")).agg(F.collect_set(F.struct("k.city", "k.places")).alias("cities"))
 
 
 def _with_cities(at: DataFrame, everything: DataFrame) -> DataFrame:
@@ -74,12 +81,12 @@ def same_building(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: st
     distinct = lambda df: df.groupBy("place").agg(*[F.first(p).alias(p) for p in PARTS], F.count("*").alias("n"))
     pa, pb = cut(distinct(a)), cut(distinct(b))
     everything = pa.unionByName(pb)
-    side = lambda df, s: cut(_with_cities(df, everything)).select("city", "number", "kind", "direction", F.explode(_variants("street")).alias("variant"), F.struct("place", "places", "street").alias(s))
-    met = side(pa, "l").join(side(pb, "r"), ["city", "number", "kind", "direction", "variant"]).select("l", "r").distinct()
-    met = met.filter(F.arrays_overlap("l.places", "r.places") & _same_street("l.street", "r.street"))
+    side = lambda df, s: cut(_with_cities(df, everything)).select("city", "number", "kind", "direction", F.struct("place", "places", "street", _sound(F.col("street")).alias("sound")).alias(s))
+    met = side(pa, "l").join(side(pb, "r"), ["city", "number", "kind", "direction"]).select("l", "r")
+    met = met.filter(F.arrays_overlap("l.places", "r.places") & _streets_meet(F.col("l"), F.col("r")))
     # without a city to inherit, two addresses with one postcode still are one building
-    bare = lambda df, s: df.filter("city is null and postcode is not null").select("postcode", "number", "kind", "direction", F.explode(_variants("street")).alias("variant"), F.struct("place", "street").alias(s))
-    coded = bare(pa, "l").join(bare(pb, "r"), ["postcode", "number", "kind", "direction", "variant"]).select("l", "r").distinct().filter(_same_street("l.street", "r.street"))
+    bare = lambda df, s: df.filter("city is null and postcode is not null").select("postcode", "number", "kind", "direction", F.struct("place", "street", _sound(F.col("street")).alias("sound")).alias(s))
+    coded = bare(pa, "l").join(bare(pb, "r"), ["postcode", "number", "kind", "direction"]).select("l", "r").filter(_streets_meet(F.col("l"), F.col("r")))
     ends = [F.col("l.place").alias("pl"), F.col("r.place").alias("pr")]
     pairs = cut(met.select(*ends).unionByName(coded.select(*ends)).distinct())
     first = join_salted(a.select(F.col("place").alias("pl"), F.col("id").alias(left_id)), pairs, "pl", pa.select(F.col("place").alias("pl"), "n"), "n", a.count())

@@ -120,6 +120,13 @@ def test_same_building(spark, geo):
     assert pairs(same_building(a.limit(0), b, geo, "place_key", "extract_id")) == []
 
 
+def test_streets_two_errors_apart(spark, geo):
+    left = [(1, "381 Vrntellond Terrace, Sendevam"), (2, "381 Vrntellond Terrace, 1009999"), (3, "7 Vrntellond Terrace, 2009999"), (4, "381 Vrntallond Terrace, Sendevam")]
+    right = [(11, "381 Ventelond Terrace, Sendevam 1009999"), (12, "7 Ventelond Terrace, 2009999"), (13, "381 Foo Terrace, Sendevam")]
+    a, b = spark.createDataFrame(left, "place_key long, address string"), spark.createDataFrame(right, "extract_id long, address string")
+    assert pairs(same_building(a, b, geo, "place_key", "extract_id")) == [(1, 11), (2, 11), (3, 12)]
+
+
 # names
 def test_words_and_similarity():
     assert names.words_of("The Dr. Liz Hald-ubund Health Svcs Pvt Ltd | Sleep studies") == ["elizabeth", "haldubund", "health", "services"]
