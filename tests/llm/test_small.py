@@ -191,6 +191,15 @@ def test_survivors(spark, geo):
     assert survivors.surviving_values(recs.limit(0), origins, geo).count() == 0 and survivors.fused_values(recs.limit(0), origins, geo).count() == 0
 
 
+def test_no_origin_is_dropped(spark, geo, monkeypatch):
+    monkeypatch.setattr(survivors, "MOST_ORIGINS", 1)
+    rows = [(k, "http://a.example", None, f"o{k}", "n", [f"m{k}@a.example"], [f"555 123 456{k}"], "5 Foobar St, Sendevam", "tax") for k in range(1, 7)]
+    recs, origins = spark.createDataFrame(rows, REC), spark.createDataFrame([(f"o{k}", k) for k in range(1, 7)], "origin string, trust int")
+    assert {r.extract_id for r in survivors.surviving_values(recs, origins, geo).collect()} == {6}
+    with pytest.raises(ValueError):
+        survivors.fused_values(recs, origins, geo)
+
+
 def test_copies_are_found():
     assert survivors.dependence(0.7, 0.7, 40, 30, 5) > 0.95 > 0.2 > survivors.dependence(0.7, 0.7, 50, 0, 50)
 
