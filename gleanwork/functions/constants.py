@@ -45,5 +45,23 @@ COUNTRIES = [
 POSTCODE = r"\b\d{4,7}(?:[-\s]\d{3,4})?\b"
 FILLER_WORDS = "in the a an of for and near me top best leading trusted boutique independent professional specialist local rated reputable affordable list &".split()
 BUSINESS_NOUNS = "company firm agency service provider studio business office group solution specialist expert shop".split()
-CONTACT_LINK = r"contact|about|reach|connect|impressum|get-in-touch"
+CONTACT_LINK = r"contact|about|reach-?us|get-?in-?touch|locations?|offices?|find-?us|visit-?us"
+SEQUENTIAL_DIGITS = ["1234567890", "0123456789", "9876543210"]
+PHONE_CONTEXT = r"tel|phone|call|mob|whatsapp|contact|ph\b|dial|hotline|toll"
+ADDRESS_CLASS = r"(^|[\s_\-])(address|addr|location|office)([\s_\-]|$)"
+ADDRESS_WORD = (
+    r"\b(street|st\.|road|rd\.|avenue|ave\.?|suite|ste\.|floor|fl\.|building|bldg|blvd|boulevard|lane|ln\.|drive|dr\.|plaza|tower|towers|sector|nagar|"
+    r"park|way|square|centre|center|complex|house|block|estate|unit|level|po box|p\.o\. box|highway|hwy|court|ct\.|place|pl\.|marg|colony|"
+    r"industrial|business park|tech park)\b"
+)
+SERVICE_LINK = r"service|solution|practice|expertise|what-we-do|offering|capabilit|specialt|industr|product|portfolio"
+GENERIC_LINK_TEXT = [
+    "services", "our services", "solutions", "our solutions", "read more", "learn more", "view all", "more", "home", "about", "about us", "contact",
+    "contact us", "products", "industries", "view more", "see all", "explore", "get started", "click here", "here", "menu", "login", "sign in",
+]
 ORGANISATION_TYPES = "organization localbusiness corporation professionalservice legalservice financialservice medicalorganization medicalbusiness employmentagency accountingservice dentist physician hospital store attorney insuranceagency homeandconstructionbusiness healthandbeautybusiness".split()
+GENERIC_WORDS = "companies company firms firm agencies agency services service providers provider studios studio business businesses the of and in".split()
+EXPANSION_SUFFIXES = ["consultants", "contractors", "services company"]
+QUERY_MODIFIERS = ["top", "best", "leading", "trusted", "boutique", "independent", "professional", "specialist"]
+TITLE_SPLIT = r"\s+[\|\-–—:•·»«/]\s+|\s+[\|•·»«]\s*|\s*[\|•·»«]\s+"
+TITLE_EDGE = " -|:•·»"

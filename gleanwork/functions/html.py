@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import chain, islice
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
@@ -14,17 +16,21 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import constants as C
 
-SCHEMA = "name string, email array<string>, phone array<string>, address string, services string, title string, blocked boolean, contact_links array<string>, external_links array<string>"
+SCHEMA = "name string, email array<string>, phone array<string>, address string, services string, title string, blocked boolean, contact_links array<string>, external_links array<string>, listing boolean"
 #: Limits on what is kept of a page.
-SCAN, MOST_EMAILS, MOST_PHONES, MOST_LINKS, MOST_EXTERNAL, MOST_SERVICES = 200_000, 3, 2, 3, 60, 10
+SCAN, MOST_EMAILS, MOST_PHONES, MOST_EXTERNAL, MOST_SERVICES = 200_000, 3, 2, 60, 10
+#: Fixed value: links to other sites from which a page is a list of companies.
+LIST_LINKS = 12
 _SILENT = {"script", "style", "template", "noscript", "rt", "rp"}
 _BLOCK = {"p", "div", "br", "li", "tr", "td", "h1", "h2", "h3", "h4", "section", "article", "header", "footer", "address", "ul", "ol", "table", "title"}
 _LD_KEYS = ("@graph", "publisher", "mainEntity", "itemListElement", "item", "provider", "author")
 _EMAIL, _PHONE = re.compile(C.EMAIL), re.compile(C.PHONE)
-_SERVICE = re.compile(r"service|solution|practice|expertise|what-we-do|offering|capabilit|specialt|industr|product|portfolio", re.I)
-_CALL = re.compile(r"tel|phone|call|mob|whatsapp|contact|ph\b|dial|hotline|toll", re.I)
-_ADDRESS_WORD = re.compile(r"\b(street|st\.|road|rd\.|avenue|ave\.?|suite|floor|building|blvd|boulevard|lane|drive|plaza|tower|park|square|centre|center|house|highway|court|place)\b", re.I)
-_ADDRESS_CLASS = re.compile(r"(^|[\s_\-])(address|addr|location|office)([\s_\-]|$)", re.I)
+_SERVICE, _CALL, _CONTACT = (re.compile(p, re.I) for p in (C.SERVICE_LINK, C.PHONE_CONTEXT, C.CONTACT_LINK))
+_ADDRESS_WORD, _ADDRESS_CLASS = re.compile(C.ADDRESS_WORD, re.I), re.compile(C.ADDRESS_CLASS, re.I)
+_FILE = re.compile(r"\.(pdf|jpg|png|zip|docx?)$", re.I)
+_MEDIA = re.compile(C.MEDIA_DOMAIN, re.I)
+_PUBLIC = re.compile(r"\.(gov|edu|mil)$|\.(gov|edu|ac)\.")
+_SKIPPED, _LISTS = frozenset(C.SKIP_DOMAINS), frozenset(C.AGGREGATOR_DOMAINS)
 
 
 def tidy(s: object) -> str:
@@ -151,16 +157,42 @@ def organisation(blocks: list[str]) -> dict[str, str]:
         where = node.get("address")
         where = where[0] if isinstance(where, list) and where else where
         if isinstance(where, dict):
-            where = ", ".join(tidy(where.get(k)) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry") if isinstance(where.get(k), str) and where.get(k))
-        found = {"name": node.get("name"), "email": re.sub("^mailto:", "", str(node.get("email") or "")), "phone": node.get("telephone"), "address": where if isinstance(where, str) else "", "description": node.get("description")}
+            named = (v.get("name") if isinstance(v := where.get(k), dict) else v for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"))
+            where = ", ".join(tidy(v) for v in named if v)
+        call = node.get("telephone")
+        found = {
+            "name": node.get("name") or node.get("legalName"), "email": str(node.get("email") or "").replace("mailto:", "").lower(), "phone": call[0] if isinstance(call, list) and call else call,
+            "address": where if isinstance(where, str) else "", "description": node.get("description"),
+        }
         for k, v in found.items():
             out[k] = out[k] or (tidy(v) if isinstance(v, (str, int)) else "")
     return out
 
 
-def _host(url: str) -> str:
-    labels = [x for x in re.sub(r":.*$", "", urlsplit(url).netloc.lower().rpartition("@")[2]).split(".") if x]
-    return ".".join(labels[-2:])
+def root_of(url: str) -> str:
+    """``text.root_domain`` for one URL."""
+    full = url if "://" in url else f"http://{url}"
+    try:
+        host = re.sub(r"^www\.", "", re.sub(r":.*$", "", urlsplit(full).netloc.lower().rpartition("@")[2]))
+    except ValueError:
+        return ""
+    labels = [x for x in host.split(".") if x]
+    if len(labels) >= 3 and labels[-2] in C.SECOND_LEVEL and len(labels[-1]) == 2:
+        return ".".join(labels[-3:])
+    return ".".join(labels[-2:]) if len(labels) >= 2 else host
+
+
+@lru_cache(1 << 14)
+def skipped(root: str) -> bool:
+    """``text.is_skip_domain`` for one registrable domain."""
+    return root == "" or root in _SKIPPED or bool(_PUBLIC.search(root) or _MEDIA.search(re.sub(r"\.[^.]*$", "", root)))
+
+
+def _joined(base: str, href: str) -> str:
+    try:
+        return urljoin(base, href).partition("#")[0]
+    except ValueError:
+        return ""
 
 
 def _good_email(e: str) -> bool:
@@ -169,70 +201,220 @@ def _good_email(e: str) -> bool:
 
 def _good_phone(p: str) -> bool:
     d = re.sub(r"\D", "", p)
-    return 8 <= len(d) <= 15 and len(set(d)) > 2 and not re.match(C.DATE_LIKE, p) and not re.match(C.YEAR_RANGE, p)
+    return 8 <= len(d) <= 15 and len(set(d)) > 2 and not re.match(C.DATE_LIKE, p) and not re.match(C.YEAR_RANGE, p) and d not in C.SEQUENTIAL_DIGITS
+
+
+def emails_of(page: Page, html: str, text: str) -> list[str]:
+    """Addresses of mailto links, then of the text, then of the markup; the first MOST_EMAILS."""
+    links = (unquote(h[7:].partition("?")[0])[:500] for h, _ in page.anchors if h.lower().startswith("mailto:"))
+    found = chain(chain.from_iterable(map(_EMAIL.findall, links)), _EMAIL.findall(text), _EMAIL.findall(html))
+    tidied = (e.strip(".-_").lower() for e in found)
+    return list(islice(dict.fromkeys(e for e in tidied if _good_email(e)), MOST_EMAILS))
+
+
+def phones_of(page: Page, text: str) -> list[str]:
+    """Numbers of tel links, then those that look most like one; of equal digits the first one counts."""
+    links = ((10, unquote(h[4:]).replace("-", " ").strip()) for h, _ in page.anchors if h.lower().startswith("tel:"))
+    read = ((3 * bool(_CALL.search(text[max(0, m.start() - 30) : m.start()])) + 2 * m[0].strip().startswith("+") + ("(" in m[0]), m[0]) for m in _PHONE.finditer(text))
+    ranked: dict[str, tuple[int, str]] = {}
+    for score, said in chain(links, read):
+        if _good_phone(p := tidy(said)):
+            ranked.setdefault(re.sub(r"\D", "", p), (score, p))
+    return [p for _, p in sorted(ranked.values(), key=lambda x: -x[0])[:MOST_PHONES]]
+
+
+def address_of(page: Page, text: str) -> str:
+    """The first marked or comma-separated address of a page."""
+    sized = lambda t: 10 <= len(t) <= 250
+    number = lambda t: sized(t) and any(c.isdigit() for c in t)
+    worded = lambda t: number(t) and _ADDRESS_WORD.search(t)
+    lines = (tidy(x) for x in text.split("\n") if x.count(",") >= 2)
+    tries = ((page.regions["address"], sized), (page.regions["prop"], number), (page.regions["class"], lambda t: worded(t) and "@" not in t), (lines, lambda t: 15 <= len(t) <= 200 and worded(t)))
+    return next((t for texts, fits in tries for t in texts if fits(t)), "")
+
+
+def services_of(page: Page, about: str) -> str:
+    """The description and what the links to services, or else the headings, offer."""
+    generic = lambda t: t.lower() in C.GENERIC_LINK_TEXT
+    offers = list(islice(dict.fromkeys(t for h, t in page.anchors if _SERVICE.search(h) and 3 <= len(t) <= 45 and not generic(t)), MOST_SERVICES))
+    if len(offers) < 3:
+        offers = list(dict.fromkeys([*offers, *(h for h in page.heads if 3 <= len(h) <= 60 and not generic(h))]))[:8]
+    return " | ".join(x for x in (about, "Services: " + ", ".join(offers) if offers else "") if x)[:500]
+
+
+def contact_links(page: Page, base: str) -> list[str]:
+    """Links within the site to pages of contacts, those called so first."""
+    own, found = root_of(base), {}
+    for href, said in page.anchors:
+        href = href.strip()
+        if href.lower().startswith(("mailto:", "tel:", "javascript:", "#")) or not (_CONTACT.search(href) or _CONTACT.search(said)):
+            continue
+        link = _joined(base, href)
+        if link.lower().startswith("http") and root_of(link) == own and link.rstrip("/") != base.rstrip("/") and not _FILE.search(link):
+            found.setdefault(link)
+    return sorted(found, key=lambda u: "contact" not in u.lower())
 
 
-def extract(html: str | None, url: str | None) -> dict:
-    """The SCHEMA of a page; blank fields for what it does not say."""
+def external_links(page: Page, base: str) -> list[str]:
+    """The first link to each other site that may be a company's own, MOST_EXTERNAL at most."""
+    own, found = root_of(base), {}
+    for href, _ in page.anchors:
+        href = href.strip()
+        root = root_of(href) if href.lower().startswith(("http://", "https://")) else ""
+        if root and root != own and not skipped(root):
+            found.setdefault(root, href)
+    return list(islice(found.values(), MOST_EXTERNAL))
+
+
+def extract(html: str | None, url: str | None, scan: int | None = SCAN) -> dict:
+    """The SCHEMA of a page; blank fields for what it does not say.
+
+    Contacts are looked for in the first ``scan`` characters of the text and of the markup, in all if it is None.
+    """
     page, base = Page(html or ""), url or ""
-    text = "".join(page.text)
+    text = "".join(page.text)[:scan]
     org = organisation(page.ld)
-    emails: list[str] = []
-    hrefs = [h for h, _ in page.anchors]
-    mail = " ".join(unquote(h[7:507]) for h in hrefs if h.lower().startswith("mailto:"))
-    for source in (mail, text[:SCAN], (html or "")[:SCAN]):
-        for e in _EMAIL.findall(source):
-            e = e.strip(".-_").lower()
-            if _good_email(e) and e not in emails:
-                emails.append(e)
-    emails = ([org["email"].lower()] if org["email"] and org["email"].lower() not in emails[:MOST_EMAILS] else []) + emails[:MOST_EMAILS]
-    ranked: dict[str, tuple[int, int, str]] = {}
-    for n, h in enumerate(h for h in hrefs if h.lower().startswith("tel:")):
-        p = tidy(unquote(h[4:]))
-        if _good_phone(p):
-            ranked.setdefault(re.sub(r"\D", "", p), (-10, n, p))
-    for m in _PHONE.finditer(text[:SCAN]):
-        p = m[0].strip()
-        if _good_phone(p):
-            score = 3 * bool(_CALL.search(text[max(0, m.start() - 30) : m.start()])) + 2 * p.startswith("+") + ("(" in p)
-            ranked.setdefault(re.sub(r"\D", "", p), (-score, len(ranked) + 1000, p))
-    phones = [p for _, _, p in sorted(ranked.values())[:MOST_PHONES]]
-    phones = ([org["phone"]] if org["phone"] and org["phone"] not in phones else []) + phones
-    address = org["address"]
-    tries = [(page.regions["address"][:20], lambda t: 10 <= len(t) <= 250), (page.regions["prop"][:20], lambda t: 10 <= len(t) <= 250 and re.search(r"\d", t)), (page.regions["class"][:30], lambda t: 10 <= len(t) <= 250 and re.search(r"\d", t) and "@" not in t and _ADDRESS_WORD.search(t)), ([tidy(x) for x in text.split("\n")], lambda t: 15 <= len(t) <= 200 and t.count(",") >= 2 and re.search(r"\d", t) and _ADDRESS_WORD.search(t))]
-    for texts, fits in tries:
-        address = address or next((t for t in texts if fits(t)), "")
-    offers: list[str] = []
-    for h, t in page.anchors:
-        if _SERVICE.search(h) and 3 <= len(t) <= 45 and t.lower() not in C.TITLE_PARTS and t not in offers:
-            offers.append(t)
-    offers = offers[:MOST_SERVICES]
-    if len(offers) < 3:
-        offers = list(dict.fromkeys(offers + [h for h in page.heads if 3 <= len(h) <= 60]))[:8]
+    emails = emails_of(page, (html or "")[:scan], text)
+    if org["email"] and org["email"] not in emails:
+        emails.insert(0, org["email"])
+    phones = phones_of(page, text)
+    if org["phone"] and _good_phone(org["phone"]) and org["phone"] not in phones:
+        phones.insert(0, org["phone"])
     about = (org["description"] or page.said("description", "og:description"))[:220]
-    services = " | ".join(x for x in (about, "Services: " + ", ".join(offers) if offers else "") if x)[:500]
-    parts = [p.strip() for p in re.split(r"\s+[|\-–—:•·»«/]\s+|\s*[|•·»«]\s*", page.title)]
+    parts = [p.strip(C.TITLE_EDGE) for p in re.split(C.TITLE_SPLIT, page.title)]
     headline = next((p for p in parts if len(p) >= 2 and p.lower() not in C.TITLE_PARTS), "")[:120]
-    name = (org["name"] or page.said("og:site_name") or org["site"] or headline or re.sub(r"^www\.", "", urlsplit(base).netloc.lower()))[:150]
-    own, contact, external = _host(base), [], []
-    for n, (h, t) in enumerate(page.anchors):
-        link = urljoin(base, h).partition("#")[0] if not h.lower().startswith(("mailto:", "tel:", "javascript:")) else ""
-        if not link.startswith(("http://", "https://")):
+    try:
+        host = re.sub(r"^www\.", "", re.sub(r":.*$", "", urlsplit(full).netloc.lower().rpartition("@")[2]))
+    except ValueError:
+        return ""
+    labels = [x for x in host.split(".") if x]
+    if len(labels) >= 3 and labels[-2] in C.SECOND_LEVEL and len(labels[-1]) == 2:
+        return ".".join(labels[-3:])
+    return ".".join(labels[-2:]) if len(labels) >= 2 else host
+
+
+@lru_cache(1 << 14)
+def skipped(root: str) -> bool:
+    """``text.is_skip_domain`` for one registrable domain."""
+    return root == "" or root in _SKIPPED or bool(_PUBLIC.search(root) or _MEDIA.search(re.sub(r"\.[^.]*$", "", root)))
+
+
+def _joined(base: str, href: str) -> str:
+    try:
+        return urljoin(base, href).partition("#")[0]
+    except ValueError:
+        return ""
+
+
+def _good_email(e: str) -> bool:
+    return bool(e) and len(e) <= 80 and not any(b in e for b in C.BAD_EMAIL_PARTS)
+
+
+def _good_phone(p: str) -> bool:
+    d = re.sub(r"\D", "", p)
+    return 8 <= len(d) <= 15 and len(set(d)) > 2 and not re.match(C.DATE_LIKE, p) and not re.match(C.YEAR_RANGE, p) and d not in C.SEQUENTIAL_DIGITS
+
+
+def emails_of(page: Page, html: str, text: str) -> list[str]:
+    """Addresses of mailto links, then of the text, then of the markup; the first MOST_EMAILS."""
+    links = (unquote(h[7:].partition("?")[0])[:500] for h, _ in page.anchors if h.lower().startswith("mailto:"))
+    found = chain(chain.from_iterable(map(_EMAIL.findall, links)), _EMAIL.findall(text), _EMAIL.findall(html))
+    tidied = (e.strip(".-_").lower() for e in found)
+    return list(islice(dict.fromkeys(e for e in tidied if _good_email(e)), MOST_EMAILS))
+
+
+def phones_of(page: Page, text: str) -> list[str]:
+    """Numbers of tel links, then those that look most like one; of equal digits the first one counts."""
+    links = ((10, unquote(h[4:]).replace("-", " ").strip()) for h, _ in page.anchors if h.lower().startswith("tel:"))
+    read = ((3 * bool(_CALL.search(text[max(0, m.start() - 30) : m.start()])) + 2 * m[0].strip().startswith("+") + ("(" in m[0]), m[0]) for m in _PHONE.finditer(text))
+    ranked: dict[str, tuple[int, str]] = {}
+    for score, said in chain(links, read):
+        if _good_phone(p := tidy(said)):
+            ranked.setdefault(re.sub(r"\D", "", p), (score, p))
+    return [p for _, p in sorted(ranked.values(), key=lambda x: -x[0])[:MOST_PHONES]]
+
+
+def address_of(page: Page, text: str) -> str:
+    """The first marked or comma-separated address of a page."""
+    sized = lambda t: 10 <= len(t) <= 250
+    number = lambda t: sized(t) and any(c.isdigit() for c in t)
+    worded = lambda t: number(t) and _ADDRESS_WORD.search(t)
+    lines = (tidy(x) for x in text.split("\n") if x.count(",") >= 2)
+    tries = ((page.regions["address"], sized), (page.regions["prop"], number), (page.regions["class"], lambda t: worded(t) and "@" not in t), (lines, lambda t: 15 <= len(t) <= 200 and worded(t)))
+    return next((t for texts, fits in tries for t in texts if fits(t)), "")
+
+
+def services_of(page: Page, about: str) -> str:
+    """The description and what the links to services, or else the headings, offer."""
+    generic = lambda t: t.lower() in C.GENERIC_LINK_TEXT
+    offers = list(islice(dict.fromkeys(t for h, t in page.anchors if _SERVICE.search(h) and 3 <= len(t) <= 45 and not generic(t)), MOST_SERVICES))
+    if len(offers) < 3:
+        offers = list(dict.fromkeys([*offers, *(h for h in page.heads if 3 <= len(h) <= 60 and not generic(h))]))[:8]
+    return " | ".join(x for x in (about, "Services: " + ", ".join(offers) if offers else "") if x)[:500]
+
+
+def contact_links(page: Page, base: str) -> list[str]:
+    """Links within the site to pages of contacts, those called so first."""
+    own, found = root_of(base), {}
+    for href, said in page.anchors:
+        href = href.strip()
+        if href.lower().startswith(("mailto:", "tel:", "javascript:", "#")) or not (_CONTACT.search(href) or _CONTACT.search(said)):
             continue
-        if _host(link) == own:
-            if re.search(C.CONTACT_LINK, h + " " + t, re.I) and link.rstrip("/") != base.rstrip("/") and not re.search(r"\.(pdf|jpe?g|png|zip|docx?)$", link, re.I) and link not in [x for _, _, x in contact]:
-                contact.append(("contact" not in link.lower(), n, link))
-        elif _host(link) and _host(link) not in {_host(x) for x in external} and len(external) < MOST_EXTERNAL:
-            external.append(link)
-    return {"name": name, "email": emails, "phone": phones, "address": address, "services": services, "title": page.title, "blocked": bool(re.search(C.BLOCKED_TITLE, page.title, re.I)), "contact_links": [x for _, _, x in sorted(contact)[:MOST_LINKS]], "external_links": external}
+        link = _joined(base, href)
+        if link.lower().startswith("http") and root_of(link) == own and link.rstrip("/") != base.rstrip("/") and not _FILE.search(link):
+            found.setdefault(link)
+    return sorted(found, key=lambda u: "contact" not in u.lower())
+
+
+def external_links(page: Page, base: str) -> list[str]:
+    """The first link to each other site that may be a company's own, MOST_EXTERNAL at most."""
+    own, found = root_of(base), {}
+    for href, _ in page.anchors:
+        href = href.strip()
+        root = root_of(href) if href.lower().startswith(("http://", "https://")) else ""
+        if root and root != own and not skipped(root):
+            found.setdefault(root, href)
+    return list(islice(found.values(), MOST_EXTERNAL))
+
 
+def extract(html: str | None, url: str | None, scan: int | None = SCAN) -> dict:
+    """The SCHEMA of a page; blank fields for what it does not say.
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` (url, ...) with a column ``page`` of SCHEMA. No shuffle; null pages give blank fields."""
+    Contacts are looked for in the first ``scan`` characters of the text and of the markup, in all if it is None.
+    """
+    page, base = Page(html or ""), url or ""
+    text = "".join(page.text)[:scan]
+    org = organisation(page.ld)
+    emails = emails_of(page, (html or "")[:scan], text)
+    if org["email"] and org["email"] not in emails:
+        emails.insert(0, org["email"])
+    phones = phones_of(page, text)
+    if org["phone"] and _good_phone(org["phone"]) and org["phone"] not in phones:
+        phones.insert(0, org["phone"])
+    about = (org["description"] or page.said("description", "og:description"))[:220]
+    parts = [p.strip() for p in re.split(r"\s+[|\-–—:•·»«/]\s+|\s*[|•·»«]\s*", page.title)]
+    headline = next((p for p in parts if len(p) >= 2 and p.lower() not in C.TITLE_PARTS), "")[:120]
+    try:
+        host = re.sub(r"^www\.", "", re.sub(r":.*$", "", urlsplit(base if "://" in base else f"http://{base}").netloc.lower().rpartition("@")[2]))
+    except ValueError:
+        host = ""
+    name = (org["name"] or page.said("og:site_name") or org["site"] or headline or host)[:150]
+    external = external_links(page, base)
+    return {
+        "name": name, "email": emails, "phone": phones, "address": org["address"] or address_of(page, text), "services": services_of(page, about), "title": page.title,
+        "blocked": bool(re.search(C.BLOCKED_TITLE, page.title, re.I)), "contact_links": contact_links(page, base), "external_links": external, "listing": root_of(base) in _LISTS or len(external) >= LIST_LINKS,
+    }
+
+
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", scan: int | None = SCAN) -> DataFrame:
+    """``pages`` (url, ...) with a column ``page`` of SCHEMA. No shuffle; null pages give blank fields.
+
+    Contacts are looked for in the first ``scan`` characters of a page, in whole pages if it is None.
+    """
     columns = [f.split()[0] for f in SCHEMA.split(", ")]
 
     @F.pandas_udf(SCHEMA)
     def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(h, u) for h, u in zip(html, url)], columns=columns)
+        return pd.DataFrame([extract(h, u, scan) for h, u in zip(html, url)], columns=columns)
 
     return pages.withColumn("page", run(html_col, url_col))

@@ -9,6 +9,10 @@ from gleanwork.functions import constants as C
 from gleanwork.functions import text as X
 
 
+#: A line that begins with a blocked title.
+BLOCKED_LINE = r"""^[ \t>*#"'-]*(?:""" + C.BLOCKED_TITLE + ")"
+
+
 def has(col: Column) -> Column:
     return X.text(col) != ""
 
@@ -37,6 +41,11 @@ def blocked_title(title: Column) -> Column:
     return X.text(title).rlike("(?iU)" + C.BLOCKED_TITLE)
 
 
+def blocked_text(text: Column) -> Column:
+    """Whether a line of the text, however long the text, begins with what error and waiting pages are titled."""
+    return X.text(text).rlike("(?imd)" + BLOCKED_LINE)
+
+
 def confidence(name: Column, website: Column, email: Column, phone: Column, address: Column, relevance: Column) -> Column:
     """Points for what a record has, at most 100."""
     points = [(has(website), 25), (has(email), 20), (has(phone), 20), (has(address), 15), (has(name) & (X.text(name) != X.text(website)) & F.trim(X.text(name)).contains(" "), 10), (relevance, 10)]

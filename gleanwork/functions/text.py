@@ -108,8 +108,8 @@ def cell_safe(col: Column) -> Column:
 
 def clean_title(title: Column) -> Column:
     """The first part of a page title that says something, at most 120 characters."""
-    parts = F.split(clean_text(title), r"\s+[|\-–—:•·»«/]\s+|\s*[|•·»«]\s*")
-    said = F.filter(F.transform(parts, F.trim), lambda p: (F.length(p) >= 2) & ~F.lower(p).isin(C.TITLE_PARTS))
+    parts = F.transform(F.split(clean_text(title), C.TITLE_SPLIT), lambda p: F.btrim(p, F.lit(C.TITLE_EDGE)))
+    said = F.filter(parts, lambda p: (F.length(p) >= 2) & ~F.lower(p).isin(C.TITLE_PARTS))
     return F.substring(F.coalesce(F.get(said, 0), F.lit("")), 1, 120)
 
 
@@ -122,19 +122,19 @@ def find_emails(col: Column) -> Column:
 
 
 def valid_phone(candidate: Column) -> Column:
-    """8 to 15 digits, more than two distinct ones, neither a date nor a range of years."""
+    """8 to 15 digits, more than two distinct ones, neither a date, a range of years nor plain counting."""
     c = F.trim(text(candidate))
     digits = F.regexp_replace(c, r"(?U)\D", "")
     enough = F.length(digits).between(8, 15) & (F.size(F.array_distinct(F.split(digits, ""))) > 2)
-    return enough & ~c.rlike(C.DATE_LIKE) & ~c.rlike(C.YEAR_RANGE)
+    return enough & ~c.rlike(C.DATE_LIKE) & ~c.rlike(C.YEAR_RANGE) & ~digits.isin(C.SEQUENTIAL_DIGITS)
 
 
-def find_phones(col: Column, most: int = 2) -> Column:
-    """Phone numbers in a text, the first of each digit string, in order."""
+def find_phones(col: Column, most: int | None = None) -> Column:
+    """Phone numbers in a text, the first of each digit string, in order; all of them, or the first ``most``."""
     found = F.filter(F.regexp_extract_all(text(col), F.lit(f"({C.PHONE})"), F.lit(1)), valid_phone)
     keyed = F.transform(found, lambda p: F.struct(F.regexp_replace(p, r"\D", "").alias("digits"), F.trim(p).alias("shown")))
     first = F.filter(F.transform(keyed, lambda x, i: F.when(F.array_position(F.transform(keyed, lambda k: k.digits), x.digits) == i + 1, x.shown)), lambda p: p.isNotNull())
-    return F.slice(first, 1, most)
+    return first if most is None else F.slice(first, 1, most)
 
 
 def split_address(address: Column, hint: Column) -> Column:
@@ -199,7 +199,8 @@ def query_text(phrase: Column, place: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    return F.concat(F.lit("Custom_"), F.substring(F.regexp_replace(F.regexp_replace(text(name), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, 40))
+    kept = F.substring(F.regexp_replace(F.regexp_replace(text(name), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, 40)
+    return F.concat(F.lit("Custom_"), F.when(kept != "", kept).otherwise("Category"))
 
 
 def suggested_keywords(terms: Column) -> Column:
@@ -231,8 +232,10 @@ def url_block_reason(url: Column) -> Column:
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), r"^.*@", ""), r":\d+$", ""))
     port = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*:(\d+)(?:[/?#]|$)", 1)
     inner = host.rlike(r"^(127|10|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^2(2[4-9]|[3-5]\d)\.")
+    # a host of one number, or with octal or hexadecimal parts, is an address in disguise
+    odd = host.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+)){0,3}\.?$") & ~host.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
     six = host.rlike(r"^\[(::1?|f[cd].*|fe[89ab].*|ff.*|::ffff:.*)\]$")
     return (
         F.when(~scheme.isin("http", "https"), F.lit("scheme")).when(host == "", F.lit("host")).when((port != "") & ~port.isin("80", "443", "8080", "8443"), F.lit("port"))
-        .when(host.rlike(r"^localhost$|^metadata\.|\.(local|internal|localhost|lan|home|corp)$"), F.lit("name")).when(inner | six, F.lit("address")).otherwise(F.lit(""))
+        .when(host.rlike(r"^localhost$|^metadata\.|\.(local|internal|localhost|lan|home|corp)$"), F.lit("name")).when(inner | odd | six, F.lit("address")).otherwise(F.lit(""))
     )

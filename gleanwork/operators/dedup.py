@@ -18,9 +18,30 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[f"_first.{c}" for c in rest]).select(*df.columns)
 
 
-def without_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not known yet; null keys stay."""
-    return df.join(known.select(key).distinct(), key, "left_anti")
+def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key in the given order, as an upsert leaves it."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return best.select(*keys, *[f"_last.{c}" for c in rest]).select(*df.columns)
+
+
+def without_known(df: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    """Rows of which none of the keys is known yet; null keys stay."""
+    for key in keys:
+        df = df.join(known.filter(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+    return df
+
+
+def claimed(results: DataFrame, ident: str, order: str, *registries: DataFrame) -> DataFrame:
+    """The first row of each ident in the given order, of those idents that no registry (ident) holds."""
+    for known in registries:
+        results = results.join(known.select(ident).distinct(), ident, "left_anti")
+    return first_wins(results, [ident], [order])
+
+
+def purged(df: DataFrame, key: str, owner: str) -> DataFrame:
+    """Without the rows whose key belongs to ``owner``, as in 'owner|rest'."""
+    return df.filter(~F.coalesce(F.startswith(F.col(key), F.lit(f"{owner}|")), F.lit(False)))
 
 
 def record_keys(website: Column, cid: Column, name: Column, emails: Column, phones: Column) -> Column:

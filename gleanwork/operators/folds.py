@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of the adaptive rate: start, floor, ceiling, cut on a refusal, gain for ten successes.
-RATE, FLOOR, CEILING, CUT, GAIN = 5.0, 1.0, 20.0, 0.7, 0.5
+#: Fixed values of the adaptive rate: floor, ceiling (where it starts), cut on a refusal, gain for that many successes.
+FLOOR, CEILING, CUT, GAIN, STEADY = 1.0, 8.0, 0.7, 0.5, 10
 
 
 def fold(df: DataFrame, group: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], object], out: str, kind: str) -> DataFrame:
@@ -24,7 +24,7 @@ def fold(df: DataFrame, group: str, order: list[str], start: Callable[[], dict],
         key, state = object(), {}
         for batch in batches:
             said = []
-            for row in batch.to_dict("records"):
+            for row in (dict(zip(batch.columns, values)) for values in batch.itertuples(index=False, name=None)):
                 if row[group] != key:
                     key, state = row[group], start()
                 said.append(step(state, row))
@@ -49,16 +49,16 @@ def rate_limited(hits: DataFrame, limit: int, seconds: int = 60, group: str = "c
     return fold(hits, group, ["at", "seq"], lambda: {"bucket": -2, "before": 0, "now": 0}, step, "allowed", "boolean")
 
 
-def adaptive_rate(calls: DataFrame, group: str = "source") -> DataFrame:
-    """``calls`` (group, seq, status) with ``rate``: cut on refusals, raised after ten successes in a row."""
+def adaptive_rate(calls: DataFrame, group: str = "source", ceiling: float = CEILING) -> DataFrame:
+    """``calls`` (group, seq, status) with ``rate``: starts at the ceiling, cut on refusals, raised after ten successes in a row below it."""
 
     def step(s: dict, row: dict) -> float:
         if row["status"] == "ok":
             s["ok"] += 1
-            if s["ok"] % 10 == 0:
-                s["rate"] = min(CEILING, s["rate"] + GAIN)
+            if s["ok"] >= STEADY and s["rate"] < ceiling:
+                s["ok"], s["rate"] = 0, min(ceiling, s["rate"] + GAIN)
         else:
             s["ok"], s["rate"] = 0, max(FLOOR, s["rate"] * CUT)
         return s["rate"]
 
-    return fold(calls, group, ["seq"], lambda: {"ok": 0, "rate": RATE}, step, "rate", "double")
+    return fold(calls, group, ["seq"], lambda: {"ok": 0, "rate": ceiling}, step, "rate", "double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gleanwork.functions import text as X
+from gleanwork.operators.ranking import without_first
 
 
 def paid() -> Column:
@@ -30,22 +31,33 @@ def entries(log: DataFrame) -> DataFrame:
     )
 
 
-def totals(log: DataFrame) -> DataFrame:
-    """Totals for each kind and overall (kind 'all'), with ratios that are null without a denominator."""
-    api = log.filter(paid() & F.col("kind").isNotNull())
-    t = api.rollup("kind").agg(F.count("*").alias("requests"), F.sum("credits").alias("credits"), F.sum("results").alias("results"), F.sum("new_results").alias("new_results"), F.grouping("kind").alias("all_kinds"))
+def totals(log: DataFrame, valid: DataFrame) -> DataFrame:
+    """Totals for each kind and overall (kind 'all'), with ratios that are null without a denominator.
+
+    ``valid`` has (seq, valid), the records that searches led to.
+    """
+    found = valid.groupBy("seq").agg(F.sum("valid").alias("valid"))
+    api = log.filter(paid() & F.col("kind").isNotNull()).join(found, "seq", "left")
+    t = api.rollup("kind").agg(F.count("*").alias("requests"), F.sum("credits").alias("credits"), F.sum("results").alias("results"), F.sum("new_results").alias("new_results"), F.sum(F.coalesce("valid", F.lit(0))).alias("valid"), F.grouping("kind").alias("all_kinds"))
     return t.select(
-        F.when(F.col("all_kinds") == 1, "all").otherwise(F.col("kind")).alias("kind"), "requests", F.col("credits").cast("long").alias("credits"), "results", "new_results",
-        F.round(F.try_divide("new_results", F.col("credits")), 2).alias("new_per_credit"), F.round(F.try_divide(100 * (F.col("results") - F.col("new_results")), "results"), 1).alias("repeat_percent"),
+        F.when(F.col("all_kinds") == 1, "all").otherwise(F.col("kind")).alias("kind"), "requests", F.col("credits").cast("long").alias("credits"), "results", "new_results", (F.col("results") - F.col("new_results")).alias("duplicates"), "valid",
+        F.round(F.try_divide("new_results", F.col("credits")), 2).alias("new_per_credit"), F.round(F.try_divide("valid", F.col("credits")), 2).alias("valid_per_credit"), F.round(F.try_divide("credits", F.col("valid")), 3).alias("credits_per_valid"),
+        F.round(F.try_divide(100 * (F.col("results") - F.col("new_results")), "results"), 1).alias("repeat_percent"),
     )
 
 
-def ranked_queries(log: DataFrame, n: int = 10, best: bool = True) -> DataFrame:
-    """The n queries with most (or least) new results a credit; then new results, then first seen."""
-    q = log.filter(paid() & F.col("query").isNotNull()).withColumn("key", X.norm_query(F.col("query"))).groupBy("key").agg(F.sum("credits").alias("credits"), F.sum("new_results").alias("new_results"), F.min("seq").alias("first_seq"))
-    q = q.filter("credits > 0").select("key", F.round(F.col("new_results") / F.col("credits"), 4).alias("rate"), "new_results", "first_seq")
+def ranked_queries(log: DataFrame, valid: DataFrame, n: int = 10, best: bool = True) -> DataFrame:
+    """The n searches with most valid records a credit, then new results, then first seen; or the exact reverse.
+
+    ``valid`` has (seq, valid), the records that searches led to.
+    """
+    found = valid.groupBy("seq").agg(F.sum("valid").alias("valid"))
+    q = log.filter(paid() & F.col("query").isNotNull()).withColumn("key", X.ledger_key(F.col("kind"), F.col("query"), F.col("page"))).join(found, "seq", "left")
+    q = q.groupBy("key").agg(_sum_if(F.lit(True), "credits").alias("credits"), _sum_if(F.lit(True), "results").alias("results"), _sum_if(F.lit(True), "new_results").alias("new_results"), _sum_if(F.lit(True), "valid").alias("valid"), F.min("seq").alias("first_seq"))
+    q = q.filter("credits > 0").withColumn("rate", F.col("valid") / F.col("credits"))
     order = [F.desc("rate"), F.desc("new_results"), F.asc("first_seq")] if best else [F.asc("rate"), F.asc("new_results"), F.desc("first_seq")]
-    return q.orderBy(*order).limit(n)
+    shown = [F.round("rate", 2).alias("valid_per_credit"), F.round(100 * F.try_divide(F.col("results") - F.col("new_results"), "results"), 1).alias("duplicate_percent")]
+    return q.orderBy(*order).limit(n).select("key", "credits", "results", "new_results", "valid", "first_seq", *shown)
 
 
 def moving_average(log: DataFrame, group: str, order: str, value: Column) -> DataFrame:
@@ -103,17 +115,78 @@ def stalls(log: DataFrame, idle_seconds: int = 300) -> DataFrame:
     return x.filter(F.col("idle") > idle_seconds)
 
 
-def dry_spells(log: DataFrame, last: int = 10) -> DataFrame:
-    """(seq): requests at which the client's last ten brought nothing new, once there are five."""
+def dry_spells(log: DataFrame, last: int = 10, least: int = 5) -> DataFrame:
+    """(seq): requests at which the client's last ones brought nothing new, once there are ``least``."""
     w = W.partitionBy("client").orderBy("seq").rowsBetween(-(last - 1), 0)
     x = log.filter("client is not null").select("seq", F.sum(F.coalesce("new_results", F.lit(0))).over(w).alias("s"), F.count("*").over(w).alias("n"))
-    return x.filter("s = 0 and n >= 5").select("seq")
+    return x.filter((F.col("s") == 0) & (F.col("n") >= least)).select("seq")
 
 
 def last_rows(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """The last n rows of each group, newest first, with the group's size."""
-    w = W.partitionBy(group).orderBy(F.desc(order))
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("total", F.count("*").over(W.partitionBy(group))).filter(F.col("rank") <= n)
+    """The last n rows of each group, newest first, with the group's size, which is counted in parts."""
+    last = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc(order)))).filter(F.col("rank") <= n)
+    return last.join(df.groupBy(group).agg(F.count("*").alias("total")), group)
+
+
+def since(df: DataFrame, cursor: int, order: str = "seq", held: int = 300) -> DataFrame:
+    """Rows after ``cursor`` with ``reset``: of the ``held`` newest ones all, if the cursor is older than they are."""
+    newest = df.agg(F.max(order).alias("_newest"))
+    x = df.join(F.broadcast(newest)).withColumn("reset", F.lit(cursor) < F.col("_newest") - held)
+    return x.filter((F.col(order) > F.col("_newest") - held) & (F.col("reset") | (F.col(order) > cursor))).drop("_newest")
+
+
+def restarts_allowed(events: DataFrame, group: str, at: str, most: int = 5, seconds: int = 600) -> DataFrame:
+    """``events`` with ``recent``, those of the group in the last ``seconds``, and ``allowed``, whether they are few enough."""
+    w = W.partitionBy(group).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
+    return events.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
+
+
+def access_stats(events: DataFrame, group: str, value: str, failed: Column, throttled: Column, minutes: Column) -> DataFrame:
+    """(group, minute, n, p50, p95, errors, throttled): the n // 2-th and floor(0.95 n)-th sorted value of each minute.
+
+    Values are counted before they are ranked, so equal ones are one row; null values count as requests only.
+    """
+    x = events.withColumn("minute", minutes)
+    totals_ = x.groupBy(group, "minute").agg(F.count("*").alias("n"), F.count_if(failed).alias("errors"), F.count_if(throttled).alias("throttled"))
+    counts = x.filter(F.col(value).isNotNull()).groupBy(group, "minute", value).agg(F.count("*").alias("c"))
+    w = W.partitionBy(group, "minute")
+    run = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("m", F.sum("c").over(w))
+    at = lambda share: F.min(F.when(F.col("upto") > F.floor(share * F.col("m")), F.col(value)))
+    marks = run.groupBy(group, "minute").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return totals_.join(marks, [group, "minute"], "left")
+
+
+def timings(events: DataFrame, stage: str, millis: str) -> DataFrame:
+    """(stage, count, total, average) of durations."""
+    return events.filter(F.col(stage).isNotNull()).groupBy(stage).agg(F.count(millis).alias("count"), F.sum(millis).alias("total"), F.avg(millis).alias("average"))
+
+
+def slowest(events: DataFrame, millis: str, ident: str, n: int = 10) -> DataFrame:
+    """The n events that took longest, of equal ones the smaller id first."""
+    return events.filter(F.col(millis).isNotNull()).orderBy(F.desc(millis), ident).limit(n)
+
+
+def queue_summary(jobs: DataFrame) -> DataFrame:
+    """(state, jobs, clients) of the jobs of each state."""
+    return jobs.groupBy("state").agg(F.count("*").alias("jobs"), F.count_distinct("client").alias("clients"))
+
+
+def run_rates(log: DataFrame) -> DataFrame:
+    """(client, ...): requests and new results a minute between a client's first and last request, share of repeats and of successes."""
+    t = F.col("ts").cast("timestamp").cast("double")
+    x = log.filter("client is not null and ts is not null").groupBy("client").agg(
+        F.count("*").alias("requests"), F.sum(F.coalesce("results", F.lit(0))).cast("long").alias("results"), F.sum(F.coalesce("new_results", F.lit(0))).cast("long").alias("new_results"),
+        F.count_if(F.col("status") == "ok").alias("ok"), (F.max(t) - F.min(t)).alias("elapsed"),
+    )
+    minute = F.greatest(F.col("elapsed"), F.lit(0.001)) / 60
+    rates = [F.round(F.col(c) / minute, 1).alias(f"{c}_per_minute") for c in ("requests", "new_results")]
+    return x.select("client", "requests", "new_results", *rates, F.round(1 - F.try_divide("new_results", "results"), 3).alias("repeat_share"), F.round(F.col("ok") / F.col("requests"), 3).alias("success_share"))
+
+
+def newest_version(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
+    """The row of the highest version of each key, pre-aggregated before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("_r")).select(*keys, *[f"_r.{c}" for c in rest]).select(*df.columns)
 
 
 def rate_pressure(log: DataFrame, seconds: int = 60) -> DataFrame:
@@ -125,13 +198,9 @@ def rate_pressure(log: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def evict_oldest(df: DataFrame, order: list[str], most: int, part: int) -> DataFrame:
-    """Without the oldest 1/part of the rows, if there are more than ``most``; ranks without a global sort in one task."""
+    """Without the oldest 1/part of the rows, if there are more than ``most``; numbered by ranges, not in one task."""
     total = df.count()
-    if total <= most:
-        return df
-    drop = total // part
-    oldest = df.select(F.struct(*order).alias("_o")).orderBy("_o").limit(drop).agg(F.max("_o").alias("edge"))
-    return df.join(F.broadcast(oldest), F.struct(*order) > F.col("edge")).drop("edge")
+    return df if total <= most else without_first(df, [F.col(c) for c in order], total // part)
 
 
 def run_metrics(log: DataFrame) -> DataFrame:

@@ -11,14 +11,37 @@ from gleanwork.functions.rules import has
 
 
 def category_stats(records: DataFrame, group: str = "category") -> DataFrame:
-    return records.groupBy(group).agg(F.count("*").alias("records"), F.count_if(has(F.col("website"))).alias("websites"), F.count_if(has(F.col("phonenumber"))).alias("phones"), F.count_if(has(F.col("address"))).alias("addresses"))
-
-
-def summary_with_total(records: DataFrame, group: str = "category") -> DataFrame:
-    """A row for each category and one for all, named TOTAL; a null category is named as blank."""
-    x = records.withColumn(group, F.coalesce(group, F.lit("")))
-    r = x.rollup(group).agg(F.grouping(group).alias("g"), F.count("*").alias("records"), F.count_if(has(F.col("website"))).alias("websites"), F.count_if(has(F.col("phonenumber"))).alias("phones"))
-    return r.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(group)).alias(group), "records", "websites", "phones")
+    """Records of each category and those with e-mail, site, phone and address; ``records`` has them as strings."""
+    filled = lambda c: F.count_if(has(F.col(c)))
+    return records.groupBy(group).agg(F.count("*").alias("records"), filled("email").alias("emails"), filled("website").alias("websites"), filled("phonenumber").alias("phones"), filled("address").alias("addresses"))
+
+
+def summary_with_total(records: DataFrame, found: DataFrame, group: str = "category") -> DataFrame:
+    """A row for each category and one for all, named TOTAL; a null category is named as blank.
+
+    ``found`` has (category, discovered, duplicates, failed_urls), what a collection counted; a
+    category without such counts was found as often as it has records.
+    """
+    stats = category_stats(records.withColumn(group, F.coalesce(group, F.lit(""))), group)
+    counted = found.groupBy(F.coalesce(F.col(group), F.lit("")).alias(group)).agg(*[F.sum(c).alias(c) for c in ("discovered", "duplicates", "failed_urls")])
+    each = stats.join(counted, group, "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    each = each.select(group, F.coalesce("discovered", "records", F.lit(0)).alias("found"), *[zero(c) for c in ("records", "websites", "emails", "phones", "addresses", "duplicates", "failed_urls")])
+    measures = [c for c in each.columns if c != group]
+    r = each.rollup(group).agg(F.grouping(group).alias("g"), *[F.sum(c).cast("long").alias(c) for c in measures])
+    return r.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(group)).alias(group), *measures)
+
+
+def key_figures(records: DataFrame, log: DataFrame, target: int) -> DataFrame:
+    """(metric, value): the figures of a collection, one a row: records, share of the target, filled fields, sites, searches."""
+    n = F.count("*")
+    r = records.agg(
+        n.alias("records"), F.lit(target).cast("long").alias("target"), (n >= target).cast("long").alias("target_reached"), F.round(F.when(F.lit(target) > 0, 100.0 * n / target).otherwise(100.0), 2).alias("completion_percent"),
+        F.count_distinct("category").alias("categories"), *[F.count_if(has(F.col(c))).alias(f"with_{c}") for c in ("email", "phonenumber", "address", "services")], F.count_distinct(X.norm_domain(F.col("website"))).alias("domains"),
+    )
+    s = log.agg(F.count_distinct(X.norm_query(F.col("query"))).alias("queries"), F.count("*").alias("searches"), F.coalesce(F.sum("credits"), F.lit(0)).alias("credits"))
+    row = r.join(F.broadcast(s))
+    return row.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in row.columns]), F.array(*[F.col(c).cast("double") for c in row.columns]))).alias("metric", "value"))
 
 
 def dimension_counts(dimension: DataFrame, facts: DataFrame, key: str) -> DataFrame:

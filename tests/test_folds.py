@@ -9,9 +9,10 @@ def test_refused_hits_do_not_count(spark):
 
 
 def test_adaptive_rate(spark):
-    rows = [("s", i, "ok") for i in range(10)] + [("s", 10, "429")] + [("s", 11 + i, "429") for i in range(10)]
-    got = [r.rate for r in folds.adaptive_rate(spark.createDataFrame(rows, "source string, seq long, status string")).orderBy("seq").collect()]
-    assert got[9] == 5.5 and abs(got[10] - 3.85) < 1e-9 and got[-1] == folds.FLOOR
+    # starts at the ceiling, where successes leave it; two refusals, then ten successes raise it once
+    rows = [("s", i, "ok") for i in range(12)] + [("s", 12, "429"), ("s", 13, "429")] + [("s", 14 + i, "ok") for i in range(10)] + [("s", 30 + i, "429") for i in range(12)]
+    got = {r.seq: r.rate for r in folds.adaptive_rate(spark.createDataFrame(rows, "source string, seq long, status string")).collect()}
+    assert got[11] == 8 and abs(got[13] - 3.92) < 1e-9 and abs(got[23] - 4.42) < 1e-9 and got[41] == folds.FLOOR
 
 
 def test_startable(spark):

@@ -34,26 +34,26 @@ def test_skip_domains(spark):
 
 def test_names_and_contacts(spark):
     c = F.col("c0")
-    assert values(spark, [("Acme Talent Pvt. Ltd.",), ("IBM",), (None,), ("Été & Fils GmbH",)], X.norm_name(c)) == [("acmetalent",), ("",), ("",), ("tfils",)]
-    assert values(spark, [("+91 98765 43210",), ("1234567",), (None,)], X.norm_phone(c)) == [("9876543210",), ("",), ("",)]
+    assert values(spark, [("Brotlinde Pvt. Ltd.",), ("IBM",), (None,), ("Été & Fils GmbH",)], X.norm_name(c)) == [("brotlinde",), ("",), ("",), ("tfils",)]
+    assert values(spark, [("+27 21 555 0134",), ("1234567",), (None,)], X.norm_phone(c)) == [("7215550134",), ("",), ("",)]
     assert values(spark, [("  A@B.C \n",), (None,)], X.norm_email(c)) == [("a@b.c",), ("",)]
     assert values(spark, [("=1+1",), ("-5",), ("a \u0007 b",), (None,)], X.cell_safe(c)) == [(" =1+1",), ("-5",), ("a b",), ("",)]
 
 
-@pytest.mark.parametrize(("phone", "good"), [("+1 415 555 2671", True), ("2019 - 2024", False), ("12/05/2024", False), ("000 000 0000", False), ("123", False)])
+@pytest.mark.parametrize(("phone", "good"), [("+27 21 555 0134", True), ("123-456-7890", False), ("2019 - 2024", False), ("12/05/2024", False), ("000 000 0000", False), ("123", False)])
 def test_valid_phone(spark, phone, good):
     assert values(spark, [(phone,)], X.valid_phone(F.col("c0"))) == [(good,)]
 
 
 def test_contacts_in_text(spark):
-    row = values(spark, [("Mail: Info@Acme.io, x@example.com, info@acme.io. Call (415) 555-2671 or 415 555 2671",)], X.find_emails(F.col("c0")), X.find_phones(F.col("c0")))[0]
-    assert row[0] == ["info@acme.io"]
-    assert row[1] == ["(415) 555-2671"]
+    row = values(spark, [("Mail: Yard@Okapi.io, x@example.com, yard@okapi.io. Call (021) 555-0134 or 021 555 0134",)], X.find_emails(F.col("c0")), X.find_phones(F.col("c0")))[0]
+    assert row[0] == ["yard@okapi.io"]
+    assert row[1] == ["(021) 555-0134"]
 
 
 def test_titles(spark):
     c = F.col("c0")
-    assert values(spark, [("Home | Acme Talent Solutions",), ("Acme – Staffing",), ("Welcome",), (None,)], X.clean_title(c)) == [("Acme Talent Solutions",), ("Acme",), ("",), ("",)]
+    assert values(spark, [("Home | Brotlinde Mühle",), ("Okapi – Crates",), ("Welcome",), (None,), ("A|Bc",)], X.clean_title(c)) == [("Brotlinde Mühle",), ("Okapi",), ("",), ("",), ("A|Bc",)]
 
 
 def test_query_keys(spark):
@@ -75,7 +75,7 @@ def test_redirects(spark):
 
 
 def test_blocked_urls(spark):
-    bad = ["http://127.0.0.1/", "http://[::1]/", "http://169.254.169.254/x", "http://10.0.0.8", "http://192.168.1.1", "http://100.64.0.1", "file:///etc/passwd", "ftp://a.example", "http://a.example:22/", "http://printer.local", "http://x.internal/", "http://0.0.0.0/"]
+    bad = ["http://127.0.0.1/", "http://[::1]/", "http://169.254.169.254/x", "http://10.0.0.8", "http://192.168.1.1", "http://100.64.0.1", "file:///etc/passwd", "ftp://a.example", "http://a.example:22/", "http://printer.local", "http://x.internal/", "http://0.0.0.0/", "http://2130706433/", "http://0x7f.1/", "http://010.0.0.1/"]
     good = ["https://acme.example/", "http://acme.example:8080/x", "https://8.8.8.8/"]
     got = [r[0] for r in values(spark, [(u,) for u in bad + good], X.url_block_reason(F.col("c0")))]
     assert all(got[: len(bad)]) and not any(got[len(bad) :])

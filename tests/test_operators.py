@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleanwork.operators import dedup, ledger, skew, summary
+from gleanwork.operators import dedup, ledger, planner, ranking, skew, summary
 
 KEYS = "array<struct<rank:int,kind:string,key:string>>"
 
@@ -74,8 +74,47 @@ def test_merge_missing(spark):
 
 
 def test_summary_of_nothing(spark):
-    empty = spark.createDataFrame([], "category string, website string, phonenumber string")
-    assert [r.category for r in summary.summary_with_total(empty).collect()] in ([], ["TOTAL"])
+    empty = spark.createDataFrame([], "category string, email string, website string, phonenumber string, address string")
+    found = spark.createDataFrame([], "category string, discovered long, duplicates long, failed_urls long")
+    assert [r.category for r in summary.summary_with_total(empty, found).collect()] in ([], ["TOTAL"])
+
+
+def test_numbers_and_eviction(spark):
+    df = spark.createDataFrame([(i * 7919 % 101,) for i in range(101)], "v int").repartition(5)
+    assert sorted((r.v, r.rank) for r in ranking.numbered(df, [F.col("v")]).collect()) == [(i, i + 1) for i in range(101)]
+    assert ranking.numbered(df.limit(0), [F.col("v")]).count() == 0
+    assert sorted(r.v for r in ledger.evict_oldest(df, ["v"], 50, 4).collect()) == list(range(25, 101))
+    assert ledger.evict_oldest(df, ["v"], 200, 4).count() == 101
+
+
+def test_no_best_cell_is_missed(spark):
+    rng = random.Random(4)
+    rows = [(i, "places", f"p{rng.randrange(9)} in town{rng.randrange(7)}", 1, "api", 1, 10, rng.randrange(11)) for i in range(45)]
+    log = spark.createDataFrame(rows, "seq long, kind string, query string, page int, source string, credits int, results int, new_results int")
+    quality = {r.phrase: round(r.quality, 6) for r in planner.phrase_quality(log).collect()}
+    fresh = {r.place: round(r.freshness, 6) for r in planner.place_freshness(log).collect()} | {"never been": planner.UNTRIED}
+    tried = {tuple(X.split("@")) for X in (f"{q.split(' in ')[0]}@{q.split(' in ')[1]}" for _, _, q, *_ in rows)}
+    want = sorted(((-quality[p] * fresh[g], p, g) for p in quality for g in fresh if (p, g) not in tried and quality[p] * fresh[g] > planner.LEAST))[:12]
+    places = spark.createDataFrame([("never been",), ("town1",)], "place string")
+    assert [(r.phrase, r.place) for r in planner.next_cells(log, 12, None, places).collect()] == [(p, g) for _, p, g in want]
+
+
+def test_new_phrases_keep_their_order(spark):
+    phrases_ = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "phrase string, nr int")
+    got = planner.new_phrases(phrases_, spark.createDataFrame([("a",)], "phrase string"), spark.createDataFrame([("c", 1)], "phrase string, searches int"))
+    assert {r.phrase: round(r.quality, 4) for r in got.collect()} == {"b": 0.698, "c": 0.522}
+
+
+def test_retries(spark):
+    df = spark.sql("select 1 id, 0 attempt, timestamp'2026-01-01 00:00:00' failed_at union all select 2, 1, timestamp'2026-01-01 00:00:00' union all select 3, 2, timestamp'2026-01-01 00:00:00'")
+    assert {r.id: r.state for r in planner.retries(df, F.lit("2026-01-01 00:00:06").cast("timestamp")).collect()} == {1: "due", 2: "waiting", 3: "failed"}
+
+
+def test_claims_and_upserts(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "ident string, seq int")
+    assert sorted(r.seq for r in dedup.claimed(df, "ident", "seq", spark.createDataFrame([("b",)], "ident string")).collect()) == [1, 4]
+    assert sorted(r.seq for r in dedup.last_wins(df, ["ident"], ["seq"]).collect()) == [2, 3, 4]
+    assert sorted(r.seq for r in dedup.without_known(df, spark.createDataFrame([("a",), (None,)], "ident string"), "ident").collect()) == [3, 4]
 
 
 def test_ordered_union(spark):

@@ -7,30 +7,55 @@ from gleanwork.functions import html
 from gleanwork.sinks import files
 from gleanwork.sources import search
 
-PAGE = """<html><head><title>Acme Talent Solutions | Staffing agency</title><meta name="description" content="We place people."></head>
-<body><a href="mailto:hello@acmetalent.io?subject=x">Write</a> <a href="tel:+91%2098765%2043210">Call</a><a href="/contact">Contact us</a>
-<a href="/services/search">Executive search</a><a href="https://other.example/x">Partner</a><script>var a="x@y.zz"</script>
-<address>12 MG Road, Mumbai, Maharashtra, India</address></body></html>"""
-LD = """<script type="application/ld+json">{"@graph":[{"@type":"LocalBusiness","name":"Nimbus Hiring","telephone":"+1 415 555 2671","address":{"streetAddress":"1 Main St","addressLocality":"Austin"}}]}</script><title>404 Not found</title>"""
+BAKERY = """<!doctype html><title>Brotlinde Mühle – Bäckerei</title><meta property="og:description" content="Bread since 1907."><nav><a href="#menu">Menu</a>
+<a href="/visit-us">Plan a trip</a><a href="/team?x=1#top">Contact the crew</a><a href="/kontakt/contact.html">Mail</a><a href="/price.pdf">Contact sheet</a></nav>
+<p>Hotline (0341) 77 20 415, fax 0341 77 20 99, since 1907 - 2024, order 1234567890</p>
+<ul><li><a href="/products/rye">Rye loaves</a><li><a href="/products">Read more</a><li><a href="/solutions/catering">Catering</a></ul>
+<a href="https://www.instagram.com/brotlinde">Photos</a><a href="https://muehlenverband.test/a">Guild</a><a href="https://shop.muehlenverband.test/b">Guild shop</a>
+<a href="mailto:Laden@brotlinde.test?cc=x@y.test">Post</a><a href="tel:+49-341-7720415">Ring</a><style>.a{}</style>
+<div class="our address">Plot 5, Gerber Industrial Estate, Leipzig 04109</div>"""
+DEPOT = """<script type="application/LD+json">[{"@type":["Thing","Store"],"legalName":"Okapi Depot","telephone":["+27 21 555 0134","x"],"email":"mailto:Yard@okapi-depot.test","address":[{"streetAddress":"3 Quay Rd","addressCountry":{"name":"South Africa"}}]}]</script>
+<script type="application/ld+json">{broken</script><title>Service unavailable</title><h2>Crates</h2><h3>Menu</h3><h3>Pallets on loan</h3>"""
 
 
 def test_extraction():
-    got = html.extract(PAGE, "https://acmetalent.io/")
-    assert got["name"] == "Acme Talent Solutions" and got["email"][0] == "hello@acmetalent.io" and got["phone"] == ["+91 98765 43210"]
-    assert got["address"] == "12 MG Road, Mumbai, Maharashtra, India" and not got["blocked"]
-    assert got["contact_links"] == ["https://acmetalent.io/contact"] and got["external_links"] == ["https://other.example/x"]
-    assert got["services"].startswith("We place people.") and "Executive search" in got["services"]
+    got = html.extract(BAKERY, "https://brotlinde.co.uk/")
+    assert got["name"] == "Brotlinde Mühle" and got["email"] == ["laden@brotlinde.test", "x@y.test"]
+    # a tel link goes first, then what looks most like a number; plain counting and years are none
+    assert got["phone"] == ["+49 341 7720415", "(0341) 77 20 415"]
+    assert got["address"] == "Plot 5, Gerber Industrial Estate, Leipzig 04109" and not got["blocked"]
+    assert got["contact_links"] == ["https://brotlinde.co.uk/kontakt/contact.html", "https://brotlinde.co.uk/visit-us", "https://brotlinde.co.uk/team?x=1"]
+    # neither social sites nor a second page of one site
+    assert got["external_links"] == ["https://muehlenverband.test/a"] and not got["listing"]
+    assert got["services"] == "Bread since 1907. | Services: Rye loaves, Catering"
 
 
 def test_linked_data_comes_first():
-    got = html.extract(LD, "https://nimbus.example/")
-    assert got["name"] == "Nimbus Hiring" and got["phone"][0] == "+1 415 555 2671" and got["address"] == "1 Main St, Austin" and got["blocked"]
+    got = html.extract(DEPOT, "https://okapi-depot.test/")
+    assert got["name"] == "Okapi Depot" and got["phone"] == ["+27 21 555 0134"] and got["email"] == ["yard@okapi-depot.test"]
+    assert got["address"] == "3 Quay Rd, South Africa" and got["blocked"] and got["services"] == "Services: Crates, Pallets on loan"
+
+
+def test_sites_under_second_level_names_are_apart():
+    page = "<a href='https://other.co.uk/contact'>a</a><a href='https://www.mine.co.uk/locations'>b</a>"
+    got = html.extract(page, "http://mine.co.uk")
+    assert got["contact_links"] == ["https://www.mine.co.uk/locations"] and got["external_links"] == ["https://other.co.uk/contact"]
+
+
+def test_many_links_make_a_list():
+    page = "".join(f"<a href='https://firm{i}.test/'>x</a>" for i in range(html.LIST_LINKS))
+    assert html.extract(page, "http://list.test")["listing"] and not html.extract(page[: -len("<a href='https://firm11.test/'>x</a>")], "http://list.test")["listing"]
+
+
+def test_whole_pages_are_read_if_wanted():
+    late = "x " * 150_000 + "late@far.test"
+    assert html.extract(late, "")["email"] == [] and html.extract(late, "", scan=None)["email"] == ["late@far.test"]
 
 
 def test_pages_column(spark):
-    df = spark.createDataFrame([("https://acmetalent.io/", PAGE), ("https://x.example/", None), (None, "<p>broken <b"), ("https://y.example", "a" * 300_000)], "url string, html string")
+    df = spark.createDataFrame([("https://brotlinde.test/", BAKERY), ("https://x.test/", None), (None, "<p>broken <b"), ("https://[bad", "<a href='https://[bad/contact'>contact</a>"), ("https://y.test", "a" * 300_000)], "url string, html string")
     rows = html.extract_pages(df).select("page.*").collect()
-    assert rows[0].name == "Acme Talent Solutions" and rows[1].email == [] and rows[1].name == "x.example" and len(rows) == 4
+    assert rows[0].name == "Brotlinde Mühle" and rows[1].email == [] and rows[1].name == "x.test" and len(rows) == 5
 
 
 def test_replay_source(spark, tmp_path):
