@@ -58,32 +58,33 @@ def greedy_unique(records: DataFrame, seq: str, keys: str) -> DataFrame:
     """(seq, accepted, duplicate_of): in order of ``seq`` a record is accepted if no accepted one has one of its keys.
 
     ``keys`` is an array of (rank, kind, key). Rejected records keep no keys, so this is not one row
-    a key: in rounds, a record that comes first among the undecided in all its keys is accepted,
-    and undecided records that share a key with it are rejected. ``duplicate_of`` is the owner of
-    the first matching key by rank. Each round is a map-side aggregated group and a balanced join;
-    a record without keys is accepted.
+    a key. Records that share no key with another are accepted at once. The others are decided in
+    rounds: a record that comes first among the undecided in all its keys is accepted, and undecided
+    records that share a key with it are rejected. ``duplicate_of`` is the owner of the first
+    matching key by rank. Each round is a map-side aggregated group and two balanced joins; a record
+    without keys is accepted. The rounds are as many as the longest chain of records each of which
+    depends on the decision about the one before.
     """
+    kind = records.schema[seq].dataType.simpleString()
     all_rows = records.select(F.col(seq).alias("seq"), F.col(keys).alias("keys")).filter("seq is not null")
-    left = cut(all_rows.select("seq", F.explode("keys").alias("k")).select("seq", "k.rank", F.concat_ws("\u0001", "k.kind", "k.key").alias("key")).distinct())
-    accepted, rejected = [], []
-    while not left.isEmpty():
-        total = left.count()
+    keyed = cut(all_rows.select("seq", F.explode("keys").alias("k")).select("seq", "k.rank", F.concat_ws("\u0001", "k.kind", "k.key").alias("key")).distinct())
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    left = cut(join_group_facts(keyed, sizes, "key", "n", keyed.count()).drop("n"))
+    free = all_rows.select("seq").distinct().join(left.select("seq").distinct(), "seq", "left_anti")
+    parts, total = [free.select("seq", F.lit(True).alias("accepted"), F.lit(None).cast(kind).alias("duplicate_of"))], left.count()
+    while total:
         heads = left.groupBy("key").agg(F.min("seq").alias("head"), F.count("*").alias("n"))
-        seen = cut(join_group_facts(left, heads, "key", "n", total))
-        firm = cut(seen.groupBy("seq").agg(F.every(F.col("seq") == F.col("head")).alias("ok")).filter("ok").select("seq"))
-        owned = cut(seen.select("key", F.col("head").alias("seq"), "n").distinct().join(firm, "seq").select("key", F.col("seq").alias("owner"), "n"))
-        lost = join_group_facts(left, owned, "key", "n", total).filter("owner < seq").groupBy("seq").agg(F.min_by("owner", F.struct("rank", "owner")).alias("duplicate_of"))
-        lost = cut(lost)
-        accepted.append(firm)
-        rejected.append(lost)
-        decided = firm.unionByName(lost.select("seq"))
-        left = cut(left.join(decided, "seq", "left_anti"))
-    none = all_rows.filter(F.coalesce(F.size("keys"), F.lit(0)) < 1).select("seq").distinct()
-    out = none.select("seq", F.lit(True).alias("accepted"), F.lit(None).cast(all_rows.schema["seq"].dataType).alias("duplicate_of"))
-    for part in accepted:
-        out = out.unionByName(part.select("seq", F.lit(True).alias("accepted"), F.lit(None).cast(all_rows.schema["seq"].dataType).alias("duplicate_of")))
-    for part in rejected:
-        out = out.unionByName(part.select("seq", F.lit(False).alias("accepted"), "duplicate_of"))
+        seen = cut(join_group_facts(left, heads, "key", "n", total).drop("n"))
+        firm = seen.groupBy("seq").agg(F.every(F.col("seq") == F.col("head")).alias("ok")).filter("ok").select("seq")
+        led = seen.groupBy("head").agg(F.count("*").alias("n")).join(firm.withColumnRenamed("seq", "head"), "head")
+        lost = join_group_facts(seen, led, "head", "n", total).filter("head < seq").groupBy("seq").agg(F.min_by("head", F.struct("rank", "head")).alias("duplicate_of"))
+        decided = cut(firm.select("seq", F.lit(True).alias("accepted"), F.lit(None).cast(kind).alias("duplicate_of")).unionByName(lost.select("seq", F.lit(False).alias("accepted"), "duplicate_of")))
+        parts.append(decided)
+        left = cut(seen.drop("head").join(decided.select("seq"), "seq", "left_anti"))
+        total = left.count()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

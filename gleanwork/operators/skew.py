@@ -26,13 +26,23 @@ def join_group_facts(rows: DataFrame, groups: DataFrame, key: str, count: str, t
 
 
 def join_salted(rows: DataFrame, facts: DataFrame, key: str, sizes: DataFrame, size: str, total: int, most: int = 20_000) -> DataFrame:
-    """Inner join of ``rows`` with any number of ``facts`` per ``key``, hot keys cut into slices.
+    """Inner join of ``rows`` with any number of ``facts`` per ``key``; hot keys are cut into a grid of slices.
 
     ``sizes`` has the number of ``rows`` of each key. A key with at least ``HOT_SHARE`` of the
-    ``total`` rows is cut into slices of about ``most`` rows, and its facts are repeated for each;
-    there can be no more than ``1 / HOT_SHARE`` such keys, so their list is broadcast.
+    ``total`` rows, or of the facts, is cut into slices of about ``most`` rows on either side; each
+    slice of rows meets each slice of facts in a task of its own. No more than ``1 / HOT_SHARE``
+    keys can be hot on either side, so their list is broadcast. ``facts`` are read three times.
     """
-    hot = sizes.filter(F.col(size) >= max(1000.0, total * HOT_SHARE)).select(key, F.ceil(F.col(size) / most).cast("int").alias("_slices"))
-    sliced = rows.join(F.broadcast(hot), key, "left").withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_slices", F.lit(1))).cast("int")).drop("_slices")
-    spread = facts.join(F.broadcast(hot), key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
-    return sliced.join(spread, [key, "_slice"]).drop("_slice")
+    per_key = facts.groupBy(key).agg(F.count("*").alias("_facts"))
+    all_facts = facts.count()
+    slices = lambda n: F.ceil(F.col(n) / most).cast("int")
+    hot_rows = sizes.filter(F.col(size) >= max(1000.0, total * HOT_SHARE)).select(key, slices(size).alias("_across"))
+    hot_facts = per_key.filter(F.col("_facts") >= max(1000.0, all_facts * HOT_SHARE)).select(key, slices("_facts").alias("_down"))
+    hot = F.broadcast(hot_rows.join(hot_facts, key, "full_outer").select(key, F.coalesce("_across", F.lit(1)).alias("_across"), F.coalesce("_down", F.lit(1)).alias("_down")).filter("_across > 1 or _down > 1"))
+    one, cols = F.lit(1), lambda df: [c for c in df.columns if c != key]
+
+    def cut_up(df: DataFrame, own: str, other: str, mine: str, its: str) -> DataFrame:
+        x = df.join(hot, key, "left").withColumn(mine, F.pmod(F.xxhash64(*df.columns), F.coalesce(own, one)).cast("int"))
+        return x.withColumn(its, F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).select(key, "_x", "_y", *cols(df))
+
+    return cut_up(rows, "_across", "_down", "_x", "_y").join(cut_up(facts, "_down", "_across", "_y", "_x"), [key, "_x", "_y"]).drop("_x", "_y")

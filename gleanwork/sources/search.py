@@ -1,64 +1,39 @@
-"""Recorded search results as tables: a replay data source and the rules of reading results."""
+"""Recorded search results as tables, and the rules of reading them."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gleanwork.functions import text as X
 from gleanwork.operators.dedup import first_wins
+from gleanwork.operators.skew import join_group_facts
 
-RESULT = "kind string, query string, page int, pos int, link string, title string, website string, cid string, placeid string, phonenumber string, address string, category string"
+_RESULTS = "array<map<string,string>>"
+RESPONSE = f"struct<kind:string,query:string,page:int,places:{_RESULTS},organic:{_RESULTS}>"
 
 
-class ReplaySource(DataSource):
-    """``spark.read.format("search_replay").load(folder)``: recorded responses, one JSON file each.
+def replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """The results of recorded responses, JSON files in a folder of any file system: one row a result.
 
-    A file holds {"kind", "query", "page", "places": [...]} or {..., "organic": [...]}; keys that
-    the schema lacks are dropped, missing ones are null. Each file is a partition of its own.
+    A file holds {"kind", "query", "page", "places": [...]} or {..., "organic": [...]}; keys that are
+    not known are dropped, missing ones are null; a page that is missing is the first. Small files
+    share a partition. Broken files give no rows.
     """
+    said = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.from_json("value", RESPONSE).alias("r"))
+    held = F.when(F.size("r.places") > 0, F.col("r.places")).otherwise(F.col("r.organic"))
+    each = said.select("r.kind", "r.query", F.coalesce("r.page", F.lit(1)).alias("page"), F.posexplode(held).alias("pos", "x"))
+    of = lambda *names: F.coalesce(*[F.try_element_at("x", F.lit(n)) for n in names]).alias(names[-1])
+    return each.select("kind", "query", "page", "pos", of("link"), of("title"), of("website"), of("cid"), of("placeId", "placeid"), of("phoneNumber", "phonenumber"), of("address"), of("category"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "search_replay"
-
-    def schema(self) -> str:
-        return RESULT
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _ReplayReader(self.options["path"])
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _ReplayReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
 
-    def partitions(self) -> list[InputPartition]:
-        return [_File(str(p)) for p in sorted(Path(self.folder).glob("*.json"))] or [_File("")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        said = json.loads(Path(partition.path).read_text(encoding="utf-8"))
-        for pos, row in enumerate(said.get("places") or said.get("organic") or []):
-            get = lambda *names: next((str(row[n]) for n in names if row.get(n) is not None), None)  # noqa: E731, B023
-            yield (said.get("kind"), said.get("query"), said.get("page") or 1, pos, get("link"), get("title"), get("website"), get("cid"), get("placeId", "placeid"), get("phoneNumber", "phonenumber"), get("address"), get("category"))
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ReplaySource)
+def found_in_order(results: DataFrame, most: int = 16) -> DataFrame:
+    """(query, link): the distinct http links of each query over all its pages in their order, up to the page on which there are ``most``."""
+    links = results.filter(F.col("link").startswith("http")).groupBy("query", "link").agg(F.min(F.struct("page", "pos")).alias("at"))
+    upto = F.sum("n").over(W.partitionBy("query").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
+    pages = links.groupBy("query", F.col("at.page").alias("page")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(upto, F.lit(0)))
+    return links.withColumn("page", F.col("at.page")).join(pages.filter(F.col("before") < most), ["query", "page"]).select("query", "link", "at")
 
 
 def organic_links(results: DataFrame, most: int = 10) -> DataFrame:
@@ -77,9 +52,24 @@ def distinct_listings(results: DataFrame, page_keys: list[str], order: str) -> D
 
 
 def full_pages(pages: DataFrame, group: str, page: str, size: str, full: int = 10) -> DataFrame:
-    """The pages of each group up to and with the first that is not full."""
-    w = W.partitionBy(group).orderBy(page).rowsBetween(W.unboundedPreceding, -1)
-    return pages.withColumn("_least", F.min(size).over(w)).filter(F.coalesce(F.col("_least") >= full, F.lit(True))).drop("_least")
+    """The pages of each group up to and with the first that is not full, which is found by a map-side aggregate."""
+    short = pages.filter(F.col(size) < full).groupBy(group).agg(F.min(page).alias("_short"))
+    sizes = pages.groupBy(group).agg(F.count("*").alias("_n"))
+    ends = sizes.join(short, group, "left")
+    return join_group_facts(pages, ends, group, "_n", pages.count()).filter(F.col("_short").isNull() | (F.col(page) <= F.col("_short"))).select(*pages.columns)
+
+
+def first_answer(engines: DataFrame, results: DataFrame, now: str) -> DataFrame:
+    """The results (engine, query, ...) of each query from the first engine in order that may answer and has any.
+
+    ``engines`` has (engine, nr, failures, failed_at): after each failure an engine rests 30 seconds, twice as long after each further one, ten minutes at most.
+    """
+    rest = F.least(F.lit(600.0), 30.0 * F.pow(F.lit(2.0), F.col("failures") - 1))
+    free = (F.coalesce("failures", F.lit(0)) == 0) | (F.lit(now).cast("timestamp").cast("double") >= F.col("failed_at").cast("timestamp").cast("double") + rest)
+    usable = engines.filter(free).select("engine", "nr")
+    x = results.join(F.broadcast(usable), "engine")
+    first = x.groupBy("query").agg(F.min("nr").alias("nr"))
+    return x.join(first, ["query", "nr"]).drop("nr").select(*results.columns)
 
 
 def resolved(redirects: DataFrame, col: str) -> DataFrame:

@@ -61,8 +61,8 @@ def test_pages_column(spark):
 def test_replay_source(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"kind": "places", "query": "q", "page": 1, "places": [{"title": "A", "cid": "1", "thumbnailUrl": "x"}, {"title": "B", "cid": "1"}, {"title": "C"}]}))
     (tmp_path / "b.json").write_text(json.dumps({"kind": "organic", "query": "q", "organic": [{"link": "https://a.example"}, {"link": "ftp://b"}, {"link": "https://a.example"}]}))
-    search.register(spark)
-    df = spark.read.format("search_replay").load(str(tmp_path))
+    (tmp_path / "c.json").write_text("{broken")
+    df = search.replayed(spark, str(tmp_path))
     assert df.count() == 6
     assert sorted(r.title for r in search.distinct_listings(df.filter("kind = 'places'"), ["query", "page"], "pos").collect()) == ["A", "C"]
     assert [r.link for r in search.organic_links(df.filter("kind = 'organic'")).collect()] == ["https://a.example"]
@@ -82,9 +82,41 @@ def test_robots(spark):
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("=x", "a"), ("y", "b")], "name string, category string")
     assert files.write_if_changed(df, str(tmp_path / "t")) and not files.write_if_changed(df.orderBy(F.desc("name")), str(tmp_path / "t"))
+    assert files.write_if_changed(df.limit(1), str(tmp_path / "t"))
     files.by_category(df, str(tmp_path / "c"))
     assert sorted(p.name for p in (tmp_path / "c").glob("category=*")) == ["category=a", "category=b"]
     assert files.workbook(df, str(tmp_path / "w.xlsx"), "a/b") == 2
     assert " =x" in zipfile.ZipFile(tmp_path / "w.xlsx").read("xl/worksheets/sheet1.xml").decode()
     files.save_snapshot({"t": df}, str(tmp_path / "s"))
     assert files.load_snapshot(spark, str(tmp_path / "s"))["t"].count() == 2 and files.load_snapshot(spark, str(tmp_path / "none")) == {}
+    # a checkpoint may be written from the last one, and only the last two are kept
+    for _ in range(3):
+        files.save_snapshot({"t": files.load_snapshot(spark, str(tmp_path / "s"))["t"].unionByName(df)}, str(tmp_path / "s"))
+    assert files.load_snapshot(spark, str(tmp_path / "s"))["t"].count() == 8 and len(list((tmp_path / "s").glob("version=*"))) == 2
+
+
+def test_workbooks_go_on_with_further_sheets(spark, tmp_path):
+    path = str(tmp_path / "w.xlsx")
+    assert files.workbook({"Big": spark.range(25).select("id"), "big": spark.range(0).select("id")}, path, most=10) == 25
+    assert files.rows_held(path) == {"Big": 10, "Big 2": 10, "Big 3": 5, "big 4": 0}
+    df = spark.createDataFrame([("x", "a"), ("y", None)], "name string, category string")
+    assert files.category_workbooks(df, str(tmp_path)) == {"": 1, "a": 1}
+
+
+def test_ledger_csv(spark, tmp_path):
+    df = spark.createDataFrame([("k2", 2), ("k1", 1)], "key string, ts int")
+    files.ledger_csv(df, str(tmp_path / "l"))
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "l").glob("*.csv")))
+    assert text.startswith("\ufeffkey,ts\n") and text.index("k1") < text.index("k2")
+
+
+def test_engines_in_order(spark):
+    engines = spark.sql("select 'a' engine, 1 nr, 2 failures, timestamp'2026-01-01 00:00:00' failed_at union all select 'b', 2, 0, null union all select 'c', 3, 0, null")
+    results = spark.createDataFrame([("a", "q", "1"), ("b", "q", "2"), ("c", "q", "3"), ("c", "r", "4")], "engine string, query string, link string")
+    got = lambda now: sorted(r.link for r in search.first_answer(engines, results, now).collect())
+    assert got("2026-01-01 00:00:59") == ["2", "4"] and got("2026-01-01 00:01:00") == ["1", "4"]
+
+
+def test_links_until_there_are_enough(spark):
+    df = spark.createDataFrame([("q", 1, 0, "http://a"), ("q", 1, 1, "http://b"), ("q", 2, 0, "http://a"), ("q", 2, 1, "http://c"), ("q", 3, 0, "http://d")], "query string, page int, pos int, link string")
+    assert sorted(r.link for r in search.found_in_order(df, 3).collect()) == ["http://a", "http://b", "http://c"]
