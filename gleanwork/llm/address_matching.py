@@ -1,9 +1,11 @@
-"""Records whose addresses denote the same building, matched level by level.
-
-Region and city come from the gazetteer; an address without a city inherits the candidates of
-its postcode, or else of its region. Within a city records are linked by house number, kind and
-direction of the street, and by street names at most two typing errors apart, one if a name is
-short. The possible places of a city name stay a set until both addresses are compared.
+"""Records whose addresses denote the same building, matched level by level from the top.
+
+Region and city come from the gazetteer and are sets: the entries a name may mean, and all cities
+that an address without one may inherit, those of addresses with its postcode, or else of its
+region. Below, a building of a candidate city is its house number, kind and direction of the
+street, and a street name at most two typing errors away, one if a name is short; a text that can
+be read in two ways takes part with both street names. Ambiguous cities stay apart until the
+levels below decide. The unit is not compared.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from pyspark.sql import types as T
 
 from gleanwork.llm.addresses import near, parse_addresses
 from gleanwork.llm.names import sound
-from gleanwork.operators.skew import join_salted
+from gleanwork.operators.skew import join_group_facts, join_salted
 from gleanwork.session import cut
 
-PARTS = ["city", "places", "region", "parents", "postcode", "number", "street", "kind", "direction"]
+PARTS = ["city", "places", "region", "parents", "postcode", "number", "street", "other", "kind", "direction"]
 
 
 @F.pandas_udf(T.BooleanType())
@@ -33,34 +35,40 @@ def _sound(street: Column) -> Column:
     return F.translate(street, "yw", "iv")
 
 
-def _streets_meet(a: Column, b: Column) -> Column:
-    """Whether ``a`` and ``b`` (street, sound) are the same street; two swaps are four edits at most, which the JVM tells first."""
-    return (F.levenshtein(a["sound"], b["sound"], 4) >= 0) & _same_street(a["street"], b["street"])
+def _readings(df: DataFrame) -> DataFrame:
+    """Each address (place, ...) once for each reading of its street, with ``sound``."""
+    each = F.explode(F.array_compact(F.array("street", "other")))
+    return df.withColumn("street", each).withColumn("sound", _sound(F.col("street")))
+
 
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): addresses (place, key, number, kind, direction, street, sound) of one key at one building.
 
-def _inherit(known: DataFrame, lacking: DataFrame, key_known: Column, key_lacking: Column) -> DataFrame:
-    """The cities that ``lacking`` addresses (place, ...) may inherit from ``known`` ones of one key."""
-    side = lambda df, key, s: df.select(F.explode(key).alias("key"), "number", "kind", "direction", F.struct("place", "city", "places", "street", _sound(F.col("street")).alias("sound")).alias(s))
-    met = side(known, key_known, "k").join(side(lacking, key_lacking, "l"), ["key", "number", "kind", "direction"]).select("k", "l")
-    return met.filter(_streets_meet(F.col("k"), F.col("l"))).groupBy(F.col("l.place").alias("place")).agg(F.collect_set(F.struct("k.city", "k.places")).alias("cities"))
+    The four equal parts are joined as one hash, so a row is that, the id and the street's name.
+    Two swaps of neighbours are four edits at most, which the JVM tells first.
+    """
+    side = lambda df, s: df.select(F.xxhash64("key", "number", "kind", "direction").alias("k"), F.col("place").alias(s), F.col("street").alias(f"{s}_street"), F.col("sound").alias(f"{s}_sound"))
+    x = side(left, "l").join(side(right, "r"), "k").filter(F.levenshtein("l_sound", "r_sound", 4) >= 0)
+    return x.filter((F.col("l_sound") == F.col("r_sound")) | _same_street("l_street", "r_street")).select("l", "r").distinct()
 
 
-def _with_cities(at: DataFrame, everything: DataFrame) -> DataFrame:
-    """Distinct addresses with the city they name or inherit; several candidates give several rows.
+def _cities(every: DataFrame) -> DataFrame:
+    """(place, city, places): the city each distinct address names, or those it may inherit.
 
-    A missing city comes from addresses with the same postcode, or else, if that leaves one city
-    only, from those in the region named.
+    ``places`` are the entries that the city's name may mean. A missing city comes from addresses
+    of the same building with the same postcode, or else, if that leaves one city only, from those
+    in the region named.
     """
-    known, lacking = everything.filter("city is not null"), at.filter("city is null")
-    code = F.array_compact(F.array("postcode"))
-    by_code = _inherit(known, lacking, code, code)
-    by_region = _inherit(known, lacking.filter("size(region) > 0"), F.col("parents"), F.col("region"))
-    cities = lacking.select("place").join(by_code, "place", "left").join(by_region.withColumnRenamed("cities", "near"), "place", "left")
+    read = cut(_readings(every))
+    known, lacking = read.filter("city is not null"), read.filter("city is null")
+    by_code = _met(known.withColumn("key", F.col("postcode")).filter("key is not null"), lacking.withColumn("key", F.col("postcode")).filter("key is not null"))
+    by_region = _met(known.withColumn("key", F.explode("parents")), lacking.withColumn("key", F.explode("region")))
+    of = every.filter("city is not null").select(F.col("place").alias("l"), "city", "places")
+    given = lambda met, name: met.join(of, "l").groupBy(F.col("r").alias("place")).agg(F.collect_set(F.struct("city", "places")).alias(name))
+    both = given(by_code, "code").join(given(by_region, "near"), "place", "full_outer")
     one = F.when(F.size(F.array_distinct(F.transform("near", lambda c: c.city))) == 1, F.col("near"))
-    cities = cities.select("place", F.explode(F.coalesce("cities", one)).alias("c")).select("place", "c.city", F.col("c.places").alias("places"))
-    filled = lacking.drop("city", "places").join(cities, "place")
-    named = at.filter("city is not null")
-    return named.unionByName(filled.select(named.columns))
+    inherited = both.select("place", F.explode(F.coalesce("code", one)).alias("c")).select("place", "c.city", F.col("c.places").alias("places"))
+    return every.filter("city is not null").select("place", "city", "places").unionByName(inherited)
 
 
 def same_building(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: str, right_id: str, text_col: str = "address") -> DataFrame:
@@ -71,6 +79,29 @@ def same_building(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: st
     and blank ones take no part. Repeated ids count once. Pairs are found between the distinct
     addresses and then given to their records; an address shared by many records is cut into slices.
     """
+    a, b, pairs = _matched(left, right, geo, left_id, right_id, text_col)
+    size = lambda df, c: df.groupBy(F.col("place").alias(c)).agg(F.count("*").alias("n"))
+    first = cut(join_salted(a.select(F.col("place").alias("pl"), F.col("id").alias(left_id)), pairs, "pl", size(a, "pl"), "n", a.count()))
+    members = b.select(F.col("place").alias("pr"), F.col("id").alias(right_id))
+    out = join_salted(members, first.select("pr", left_id), "pr", size(b, "pr"), "n", b.count())
+    return out.select(left_id, right_id).distinct()
+
+
+def building_links(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: str, right_id: str, text_col: str = "address") -> DataFrame:
+    """(side, id, class, links): each record with a street and number, its class of equal addresses and its number of links.
+
+    Records of one class have the same links; ``links`` counts the records of the other side.
+    """
+    a, b, pairs = _matched(left, right, geo, left_id, right_id, text_col)
+    size = lambda df, c: df.groupBy(F.col("place").alias(c)).agg(F.count("*").alias("n"))
+    of_left = pairs.join(size(b, "pr"), "pr").groupBy(F.col("pl").alias("place")).agg(F.sum("n").alias("links"))
+    of_right = pairs.join(size(a, "pl"), "pl").groupBy(F.col("pr").alias("place")).agg(F.sum("n").alias("links"))
+    told = lambda rows, links, side: join_group_facts(rows.select("id", "place"), size(rows, "place").join(links, "place", "left").withColumn("links", F.coalesce("links", F.lit(0))), "place", "n", rows.count()).select(F.lit(side).alias("side"), "id", F.col("place").alias("class"), "links")
+    return told(a, of_left, left_id).unionByName(told(b, of_right, right_id))
+
+
+def _matched(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: str, right_id: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, place) of either side and the pairs (pl, pr) of distinct addresses at one building."""
 
     def parsed(df: DataFrame, id_col: str) -> DataFrame:
         rows = parse_addresses(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and trim(text) != ''").distinct(), "text", geo)
@@ -78,18 +109,15 @@ def same_building(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: st
         return cut(rows.withColumn("place", F.xxhash64(*PARTS)))
 
     a, b = parsed(left, left_id), parsed(right, right_id)
-    distinct = lambda df: df.groupBy("place").agg(*[F.first(p).alias(p) for p in PARTS], F.count("*").alias("n"))
-    pa, pb = cut(distinct(a)), cut(distinct(b))
-    everything = pa.unionByName(pb)
-    side = lambda df, s: cut(_with_cities(df, everything)).select("city", "number", "kind", "direction", F.struct("place", "places", "street", _sound(F.col("street")).alias("sound")).alias(s))
-    met = side(pa, "l").join(side(pb, "r"), ["city", "number", "kind", "direction"]).select("l", "r")
-    met = met.filter(F.arrays_overlap("l.places", "r.places") & _streets_meet(F.col("l"), F.col("r")))
+    one = [F.first(p).alias(p) for p in PARTS]
+    every = cut(a.withColumn("is_left", F.lit(True)).unionByName(b.withColumn("is_left", F.lit(False))).groupBy("place").agg(*one, F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right")))
+    cities = cut(_cities(every))
+    read = _readings(every.drop("places", "region", "parents", "city")).join(cities.select("place", "city"), "place").withColumn("key", F.col("city"))
+    met = _met(read.filter("in_left"), read.filter("in_right"))
+    # two places of one city name are apart until here
+    sets = cities.groupBy("place").agg(F.flatten(F.collect_list("places")).alias("ids"))
+    met = met.join(sets.select(F.col("place").alias("l"), F.col("ids").alias("l_ids")), "l").join(sets.select(F.col("place").alias("r"), F.col("ids").alias("r_ids")), "r").filter(F.arrays_overlap("l_ids", "r_ids"))
     # without a city to inherit, two addresses with one postcode still are one building
-    bare = lambda df, s: df.filter("city is null and postcode is not null").select("postcode", "number", "kind", "direction", F.struct("place", "street", _sound(F.col("street")).alias("sound")).alias(s))
-    coded = bare(pa, "l").join(bare(pb, "r"), ["postcode", "number", "kind", "direction"]).select("l", "r").filter(_streets_meet(F.col("l"), F.col("r")))
-    ends = [F.col("l.place").alias("pl"), F.col("r.place").alias("pr")]
-    pairs = cut(met.select(*ends).unionByName(coded.select(*ends)).distinct())
-    first = join_salted(a.select(F.col("place").alias("pl"), F.col("id").alias(left_id)), pairs, "pl", pa.select(F.col("place").alias("pl"), "n"), "n", a.count())
-    members = b.select(F.col("place").alias("pr"), F.col("id").alias(right_id))
-    out = join_salted(members, first.select("pr", left_id), "pr", pb.select(F.col("place").alias("pr"), "n"), "n", b.count())
-    return out.select(left_id, right_id).distinct()
+    bare = _readings(every.filter("city is null and postcode is not null")).withColumn("key", F.col("postcode"))
+    pairs = met.select("l", "r").unionByName(_met(bare.filter("in_left"), bare.filter("in_right"))).distinct()
+    return a.select("id", "place"), b.select("id", "place"), cut(pairs.select(F.col("l").alias("pl"), F.col("r").alias("pr")))

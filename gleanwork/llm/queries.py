@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanwork.llm.address_matching import same_building
+from gleanwork.llm.address_matching import building_links, same_building
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
 from gleanwork.llm.leakage import leaked_items
 from gleanwork.llm.linkage import link_businesses
@@ -57,6 +57,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_building(table(spark, sf, "places"), table(spark, sf, "extracted"), table(spark, sf, "geo_list"), "place_key", "extract_id")
 
 
+def p6_links(spark: SparkSession, sf: str) -> DataFrame:
+    return building_links(table(spark, sf, "places"), table(spark, sf, "extracted"), table(spark, sf, "geo_list"), "place_key", "extract_id")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
@@ -74,7 +78,7 @@ def p9_posteriors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_confidence, p3_found, p3_fused, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_posteriors)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_confidence, p3_found, p3_fused, p4_found, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_posteriors)}
 
 
 _P1_WORDS = r"""words AS (
