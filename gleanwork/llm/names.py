@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.llm.addresses import near, plain
-from gleanwork.operators.skew import join_group_facts
+from gleanwork.operators.skew import join_group_facts, join_salted
 from gleanwork.session import cut
 
 #: Short forms in names of organisations.
@@ -63,6 +63,7 @@ def name_words(names: pd.Series) -> pd.Series:
     return names.map(words_of)
 
 
+@lru_cache(1 << 17)
 def alike(a: str, b: str) -> float:
     """Likeness of two words: 1 if equal, less for a typing error or an initial, else 0."""
     if a == b:
@@ -76,10 +77,16 @@ def alike(a: str, b: str) -> float:
     return 0.85 if min(len(a), len(b)) >= LONG_WORD and near(a, b, 2) else 0.0
 
 
+@lru_cache(1 << 17)
+def one_error(torn: str, whole: str) -> float:
+    """Likeness of a word torn apart and a whole one."""
+    return 1.0 if torn == whole else 0.95 if len(whole) > 4 and near(torn, whole, 1) else 0.0
+
+
 def soft_similarity(a: list[str], b: list[str], weight_a: list[float], weight_b: list[float]) -> float:
     """Weight of the words that have a like word on the other side, as a share of all weight.
 
-    Two words next to each other may stand for one that was torn apart.
+    Two words next to each other may stand for one that was torn apart, with one typing error at most.
     """
     if not a or not b:
         return 0.0
@@ -94,7 +101,9 @@ def soft_similarity(a: list[str], b: list[str], weight_a: list[float], weight_b:
             if min(len(p[i]), len(p[i + 1])) < 2 or len(torn) < 5:
                 continue
             for j, y in enumerate(q):
-                if not alike(p[i], y) and not alike(p[i + 1], y) and (s := alike(torn, y)):
+                if abs(len(torn) - len(y)) > 1 or torn[0] != y[0] and torn[-1] != y[-1]:
+                    continue
+                if (s := one_error(torn, y)) and not alike(p[i], y) and not alike(p[i + 1], y):
                     x = (s * (2 * wq[j] + wp[i] + wp[i + 1]) * 0.999, (i, i + 1), (j,))
                     options.append(x if not swapped else (x[0], x[2], x[1]))
     used_a, used_b, got = set(), set(), 0.0
@@ -119,12 +128,6 @@ def _similarity(a: pd.Series, b: pd.Series, weight_a: pd.Series, weight_b: pd.Se
     return pd.Series([soft_similarity(list(p), list(q), list(x), list(y)) for p, q, x, y in zip(a, b, weight_a, weight_b)])
 
 
-def _grams(words: Column) -> Column:
-    """The distinct 3-letter pieces of the words, with a mark before each word."""
-    pieces = F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(F.concat(F.lit("^"), w), i, F.lit(3))))
-    return F.array_distinct(F.flatten(pieces))
-
-
 def weigh(names: DataFrame) -> DataFrame:
     """``names`` (block, words) with ``weights``: the rarer a word among the distinct names, the more."""
     total = names.count()
@@ -135,40 +138,192 @@ def weigh(names: DataFrame) -> DataFrame:
     return weighed.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weight"))), lambda x: x.weight).alias("weights")).select("name.*", "weights")
 
 
-def word_blocks(names: DataFrame, overlap: float = 0.6) -> DataFrame:
-    """``names`` (words, ...) once for each of their rarest words, as ``block``.
+#: Pieces of a word that one typing error can change: three, or four if neighbours are swapped.
+PIECE, CHANGED = 3, 4
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pieces(words: pd.Series) -> pd.Series:
+    """The 3-letter pieces of words with two marks on either side, each numbered by its occurrence."""
+
+    def of(word: str) -> list[str]:
+        seen: dict[str, int] = {}
+        marked = f"^^{word}$$"
+        return [f"{p}{seen.setdefault(p, 0)}" for i in range(len(marked) - PIECE + 1) if (p := marked[i : i + PIECE]) and seen.update({p: seen.get(p, -1) + 1}) is None]
+
+    return words.map(of)
+
+
+def _letters(word: Column) -> Column:
+    """A bit for each letter of the word."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(61)))))
+
+
+def like_words(words: DataFrame) -> DataFrame:
+    """(word, like) for the distinct ``words`` (word, whole) that may be one word mistyped; not for equal ones.
+
+    Set-similarity join on the 3-letter pieces: k errors change CHANGED * k pieces at most, so with
+    pieces in order of frequency two such words share one of their CHANGED * k + 1 rarest. Pairs
+    are verified by edit distance. Words from LONG_WORD letters on may be two errors apart, others
+    one. At least one of a pair is ``whole``; words that are not are joined neighbours, for which
+    one error counts.
+    """
+    fit = words.groupBy("word").agg(F.max("whole").alias("whole")).filter(F.length("word") >= 4)
+    pieces = cut(fit.withColumn("p", _pieces("word"))).select("word", "whole", F.posexplode("p").alias("at", "piece"))
+    counts = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    ranked = join_group_facts(pieces, counts, "piece", "n", pieces.count())
+    own = cut(ranked.groupBy("word", "whole").agg(F.array_sort(F.collect_list(F.struct("n", "piece", "at"))).alias("p")).withColumn("letters", _letters(F.col("word"))))
+    found = None
+    for errors, fits in ((1, F.lit(True)), (2, (F.length("word") >= LONG_WORD) & F.col("whole"))):
+        first = own.filter(fits).select("word", "whole", "letters", F.length("word").alias("size"), F.explode(F.slice("p", 1, CHANGED * errors + 1)).alias("p")).select("word", "whole", "letters", "size", "p.piece", "p.at")
+        # a piece both share stands at most as many places apart as there are errors
+        a = first.withColumn("at", F.explode(F.sequence(F.col("at") - errors, F.col("at") + errors)))
+        b = first.select("piece", "at", *[F.col(c).alias(f"like_{c}") for c in ("word", "whole", "letters", "size")])
+        met = a.join(b, ["piece", "at"]).filter((F.abs(F.col("size") - F.col("like_size")) <= errors) & (F.col("whole") | F.col("like_whole")))
+        # an error changes two letters of the alphabet at most
+        met = met.filter((F.bit_count(F.col("letters").bitwiseXOR(F.col("like_letters"))) <= 2 * errors) & (F.col("word") < F.col("like_word"))).select("word", F.col("like_word").alias("like"))
+        # a swap of neighbours is two edits; two swaps are four
+        near_by = met.filter(F.levenshtein("word", "like", 2 * errors) >= 0).select("word", "like").distinct()
+        found = near_by if found is None else found.unionByName(near_by)
+    pairs = cut(found.distinct().filter(_alike_or_torn("word", "like")))
+    return pairs.unionByName(pairs.select(F.col("like").alias("word"), F.col("word").alias("like")))
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike_or_torn(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([near(x, y, 1) or bool(alike(x, y)) for x, y in zip(a, b)], dtype="bool")
+
+
+def joined_words(words: list[str], at: int) -> str | None:
+    """The word at a place and the next as one, if they may be one torn apart."""
+    torn = words[at] + words[at + 1]
+    return torn if min(len(words[at]), len(words[at + 1])) >= 2 and len(torn) >= 5 else None
 
-    Two names that overlap by ``overlap`` (Jaccard over words) share a block.
+
+def all_joined(words: list[str]) -> list[str | None]:
+    return [joined_words(words, k) for k in range(len(words) - 1)]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _torn(words: pd.Series) -> pd.Series:
+    return pd.Series([[t for t in all_joined(list(w)) if t] for w in words])
+
+
+def heavy_keys(words: list[str], weights: list[float], least: float) -> list[tuple[str, float]]:
+    """Words of which a lighter name must have a like one to reach ``least``, each with the weight of those before it.
+
+    Of two names the heavier has half of their weight or more, so what neither side may lack is at
+    most 2 (1 - least) of its weight; its heaviest words that together weigh more cannot all be
+    without a like. They are given with what they may be parts of and with their initials.
     """
-    distinct = names.filter("size(words) > 0").select(F.lit("").alias("block"), "words").distinct()
-    ordered = F.array_sort(F.arrays_zip(F.transform("weights", lambda w: -w).alias("w"), F.col("words").alias("word")))
-    few = weigh(distinct).select("words", ordered.alias("o"))
-    blocks = few.select("words", F.explode(F.array_distinct(F.slice("o", 1, (F.size("o") - F.ceil(overlap * F.size("o")) + 1).cast("int")))).alias("o")).select("words", F.col("o.word").alias("block"))
-    return names.join(blocks.distinct(), "words")
+    most, before, out = 2 * (1 - least) * sum(weights) + 1e-6, 0.0, {}
+    torn = all_joined(words)
+    for at in sorted(range(len(words)), key=lambda k: (-weights[k], k)):
+        if before > most:
+            break
+        w = words[at]
+        for key in (w, "." + w[0] if len(w) > 1 else "*" + w, *(torn[k] for k in (at - 1, at) if 0 <= k < len(torn) and torn[k])):
+            out.setdefault(key, before)
+        before += weights[at]
+    return list(out.items())
+
+
+def light_keys(words: list[str]) -> list[str]:
+    """All words of a name, its joined neighbours and its initials."""
+    out = dict.fromkeys(words)
+    out |= dict.fromkeys("." + w if len(w) == 1 else "*" + w[0] for w in words)
+    return list(out | dict.fromkeys(t for t in all_joined(words) if t))
+
+
+def sign(words: list[str], weights: list[float], facts: dict[str, dict]) -> tuple:
+    """What tells two names apart at a glance, the SIGN.
+
+    ``reach`` (two parts) has a bit for each word and joined pair of the name, ``initials`` one for
+    each of its single letters. Its two heaviest words weigh w1 and w2; another name without any
+    bit of m1 or m2, and without the initial l1 or l2, has nothing like them. ``facts`` has for each
+    word and joined pair its bits (own) and those of what is like it (like), and whether it is, or
+    is like, a whole word (known).
+    """
+    torn = all_joined(words)
+    bit = lambda letter: 1 << (ord(letter) % 61)
+    reach, initials = [0, 0], 0
+    for t in [*words, *(t for t in torn if t and facts[t]["known"])]:
+        for k in (0, 1):
+            reach[k] |= facts[t][f"own{k}"]
+    for w in words:
+        if len(w) == 1:
+            initials |= bit(w)
+    tops = []
+    for at in sorted((k for k in range(len(words)) if len(words[k]) > 1), key=lambda k: (-weights[k], k))[:2]:
+        near_by = [words[at], *(torn[k] for k in (at - 1, at) if 0 <= k < len(torn) and torn[k] and facts[torn[k]]["known"])]
+        mask = [0, 0]
+        for t in near_by:
+            for k in (0, 1):
+                mask[k] |= facts[t][f"own{k}"] | facts[t][f"like{k}"]
+        tops += [weights[at], *mask, bit(words[at][0])]
+    return (*reach, initials, *tops, *[0.0, 0, 0, 0] * (2 - len(tops) // 4))
+
+
+_SIGN = [("reach0", T.LongType()), ("reach1", T.LongType()), ("initials", T.LongType())] + [(f"{c}{i}", T.FloatType() if c == "w" else T.LongType()) for i in (1, 2) for c in ("w", "m0", "m1", "l")]
+_HEAVY = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("before", T.FloatType())]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("light", T.ArrayType(T.StringType())), T.StructField("heavy", _HEAVY), *[T.StructField(*x) for x in _SIGN]]))
+def _keys(words: pd.Series, weights: pd.Series, facts: pd.Series, least: pd.Series) -> pd.DataFrame:
+    out = []
+    for w, x, f, t in zip(words, weights, facts, least):
+        w, x = list(w), list(x)
+        out.append((light_keys(w), heavy_keys(w, x, t), *sign(w, x, {e["word"]: e for e in f})))
+    return pd.DataFrame(out, columns=["light", "heavy", *[c for c, _ in _SIGN]])
+
+
+def _facts(vocabulary: DataFrame, likes: DataFrame) -> DataFrame:
+    """(word, own0, own1, like0, like1, known): the bit of each word of ``vocabulary`` (word, whole) among 122 and those of what is like it."""
+    nr = lambda c: F.pmod(F.xxhash64(c), F.lit(122)).cast("int")
+    bit = lambda c, k: F.when((nr(c) >= 61 * k) & (nr(c) < 61 * (k + 1)), F.call_function("shiftleft", F.lit(1).cast("long"), nr(c) - 61 * k)).otherwise(0)
+    near_by = likes.groupBy("word").agg(*[F.bit_or(bit("like", k)).alias(f"like{k}") for k in (0, 1)])
+    zero = F.lit(0).cast("long")
+    return vocabulary.join(near_by, "word", "left").select("word", *[bit("word", k).alias(f"own{k}") for k in (0, 1)], *[F.coalesce(f"like{k}", zero).alias(f"like{k}") for k in (0, 1)], (F.col("whole") | F.col("like0").isNotNull()).alias("known"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float, overlap: float = 0.35) -> DataFrame:
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(block, left, right, score) for the distinct names of one block that score ``least`` or more.
 
-    ``left`` and ``right`` have (block, words). Names of one block are compared if they share one
-    of their rarest 3-letter pieces: with pieces in order of frequency, two sets that overlap by
-    ``overlap`` (Jaccard) share one among the first |x| - ceil(overlap |x|) + 1. Pairs that do
-    overlap are verified by ``soft_similarity``. Names without words and null blocks match nothing.
+    ``left`` and ``right`` have (block, words). Names are sets of words, and words sets of 3-letter
+    pieces. A prefix-filtered join on the pieces of the distinct words of all names tells which
+    words may be one (``like_words``). Names of one block are then joined by a prefix filter on
+    their words in order of weight (``heavy_keys``): the heavier name's rarest words against all
+    words of the lighter, equal or alike. A pair is dropped in the join if the heaviest words that
+    one has and the other surely lacks (``sign``) outweigh what may be lacking. Other pairs are
+    verified by ``soft_similarity``. Names without words and null blocks match nothing. Keys of
+    many names are cut into slices.
     """
     sides = left.select("block", "words", F.lit(True).alias("is_left")).unionByName(right.select("block", "words", F.lit(False).alias("is_left")))
     sides = cut(sides.filter("block is not null and size(words) > 0").groupBy("block", "words").agg(F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right")))
+    # a block with names of one side only has no pairs
+    both = sides.groupBy("block").agg(F.max("in_left").alias("a"), F.max("in_right").alias("b")).filter("a and b").select("block")
+    sides = sides.join(both, "block", "left_semi")
     weighed = weigh(sides.select("block", "words")).withColumn("nr", F.xxhash64("block", "words")).join(sides, ["block", "words"])
-    names = cut(weighed.withColumn("grams", F.transform(_grams(F.col("words")), lambda g: F.hash(g))))
-    pieces = names.select("nr", "block", "in_left", "in_right", F.explode("grams").alias("gram"))
-    counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = join_group_facts(pieces, counts, "gram", "n", pieces.count())
-    own = ranked.groupBy("nr", "block", "in_left", "in_right").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    first = own.select("nr", "block", "in_left", "in_right", F.explode(F.slice("g", 1, (F.size("g") - F.ceil(overlap * F.size("g")) + 1).cast("int"))).alias("g")).select("nr", "block", "in_left", "in_right", "g.gram")
-    a = first.filter("in_left").select("block", "gram", F.col("nr").alias("l"))
-    b = first.filter("in_right").select("block", "gram", F.col("nr").alias("r"))
-    pairs = a.join(b, ["block", "gram"]).select("l", "r").distinct()
-    of = lambda side: names.select(F.col("nr").alias(side[0]), "block", F.col("words").alias(side), F.col("weights").alias(f"{side}_weights"), F.col("grams").alias(f"{side}_grams"))
+    names = cut(weighed.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)).withColumn("joined", _torn("words")))
+    tokens = names.select("nr", F.explode("words").alias("word"), F.lit(True).alias("whole")).unionByName(names.select("nr", F.explode("joined").alias("word"), F.lit(False).alias("whole")))
+    vocabulary = cut(tokens.groupBy("word").agg(F.max("whole").alias("whole"), F.count_distinct("nr").alias("n")))
+    likes = cut(like_words(vocabulary.select("word", "whole")))
+    facts = cut(_facts(vocabulary, likes).join(vocabulary.select("word", "n"), "word"))
+    told = join_group_facts(tokens.select("nr", "word").distinct(), facts, "word", "n", tokens.count()).groupBy("nr").agg(F.collect_list(F.struct("word", "own0", "own1", "like0", "like1", "known")).alias("facts"))
+    keyed = cut(names.drop("joined").join(told, "nr").withColumn("keys", _keys("words", "weights", "facts", F.lit(float(least)))).drop("facts"))
+    base = ["nr", "block", "in_left", "in_right", F.col("total").cast("float").alias("total"), *[f"keys.{c}" for c, _ in _SIGN]]
+    heavy = cut(keyed.select(*base, F.explode("keys.heavy").alias("x")).select("*", "x.*").drop("x"))
+    also = join_salted(heavy, likes, "word", heavy.groupBy("word").agg(F.count("*").alias("n")), "n", heavy.count()).withColumn("word", F.col("like")).drop("like")
+    carried = ["nr", "in_left", "in_right", "total", *[c for c, _ in _SIGN]]
+    side = lambda df, s, *more: cut(df.select(F.xxhash64("block", "word").alias("k"), *[F.col(c).alias(f"{s}_{c}") for c in (*carried, *more)]))
+    h, g = side(heavy.unionByName(also.select(heavy.columns)), "h", "before"), side(keyed.select(*base, F.explode("keys.light").alias("word")), "g")
+    none = lambda s, o, i: (F.col(f"{s}_m0{i}").bitwiseAND(F.col(f"{o}_reach0")) == 0) & (F.col(f"{s}_m1{i}").bitwiseAND(F.col(f"{o}_reach1")) == 0) & (F.col(f"{s}_l{i}").bitwiseAND(F.col(f"{o}_initials")) == 0)
+    lacking = lambda s, o: sum(F.when(none(s, o, i), F.col(f"{s}_w{i}")).otherwise(0.0) for i in (1, 2))
+    may_lack = (1 - least) * (F.col("h_total") + F.col("g_total")) + 1e-3
+    met = join_salted(h, g, "k", h.groupBy("k").agg(F.count("*").alias("n")), "n", h.count(), 2_000).filter("h_total >= g_total and (h_in_left and g_in_right or h_in_right and g_in_left)")
+    met = met.filter((F.col("h_before") <= may_lack) & (lacking("h", "g") + lacking("g", "h") <= may_lack))
+    way = lambda ok, l, r: F.when(ok, F.struct(F.col(l).alias("l"), F.col(r).alias("r")))
+    pairs = met.select(F.explode(F.array_compact(F.array(way(F.col("h_in_left") & F.col("g_in_right"), "h_nr", "g_nr"), way(F.col("h_in_right") & F.col("g_in_left"), "g_nr", "h_nr")))).alias("p")).select("p.*").distinct()
+    of = lambda side: names.select(F.col("nr").alias(side[0]), "block", F.col("words").alias(side), F.col("weights").alias(f"{side}_weights"))
     full = pairs.join(of("left"), "l").join(of("right").drop("block"), "r")
-    common = F.size(F.array_intersect("left_grams", "right_grams"))
-    full = full.filter(common >= overlap * (F.size("left_grams") + F.size("right_grams") - common)).drop("left_grams", "right_grams")
     return cut(full.withColumn("score", _similarity("left", "right", "left_weights", "right_weights")).filter(F.col("score") >= least).select("block", "left", "right", "score"))
