@@ -1,9 +1,10 @@
 """Records that differ only in white space, letter case, punctuation or the order of their parts.
 
 Two saturating Bloom filters (bits hit by one record, bits hit by several) are built per task over
-the hashes of the canonical texts and merged by saturating addition. A text whose bits were all
-hit several times may be repeated and is shuffled for exact grouping; any other text is certainly
-unique and is emitted as it is read.
+the hashes of the canonical texts and merged, block by block, by saturating addition. A text whose
+bits were all hit several times may be repeated and is shuffled for exact grouping; any other text
+is certainly unique and is emitted as it is read. The filter goes to every task; a corpus for which
+it would be too large is grouped without one.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from gleanwork.operators.skew import join_group_facts
 
 #: Apostrophes, hyphens and full stops; between two letters or digits they do not count.
 JOINERS = "'’‘ʼ＇`´‛′.．․\\-‐‑‒–−﹣－­"
-#: Bits per record, and the bounds of the filter: 8 KB and 32 MB. A corpus beyond the upper
-#: bound gives more false candidates, which only cost shuffle; the groups stay exact.
-BITS_PER_ROW, LEAST_LOG2, MOST_LOG2, PROBES = 16, 16, 28, 3
-BLOCK_BITS = 1 << 17
+#: Bits per record, probes, and the size of the filter from 8 KB to 64 MB. It gets fewer bits per record when it is full:
+#: unique records are then taken for possible repeats at 0.5 % (16 bits a record), 3 % (8), 15 % (4) or 47 % (2).
+BITS_PER_ROW, LEAST_LOG2, MOST_LOG2, PROBES = 16, 16, 29, 3
+#: With fewer bits a record than this (beyond 268 million records) the filter says 'maybe' to most, so all are grouped.
+LEAST_BITS = 2
+BLOCK_LOG2 = 17
+#: Hashes a task holds at a time; the parts of the filter it makes of them are merged like those of other tasks.
+HELD = 1 << 19
 #: Canonical texts above this length are grouped by their SHA-256.
 LONG_KEY = 96
 
@@ -51,52 +56,73 @@ def _positions(hashes: np.ndarray, log2: int) -> np.ndarray:
     return np.stack([(h + np.uint64(i) * step) & mask for i in range(PROBES)], axis=1).astype(np.int64)
 
 
+def worth_filtering(rows: int) -> bool:
+    """Whether a filter of the largest size still tells most unique records from repeats."""
+    return rows * LEAST_BITS <= 1 << MOST_LOG2
+
+
 def _build(log2: int):
+    """A task's filter in blocks: packed bits for blocks of which much is hit, else the places alone."""
+    block = min(BLOCK_LOG2, log2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(1 << log2, np.bool_), np.zeros(1 << log2, np.bool_)
+        held, n = [], 0
         for batch in batches:
-            values, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            at = _positions(values, log2)
-            flat, hits = np.unique(at, return_counts=True)
-            again[flat[(hits > 1) | once[flat]]] = True
-            again[at[counts > 1].ravel()] = True
-            once[flat] = True
-        size = min(BLOCK_BITS, 1 << log2)
-        for block in range((1 << log2) // size):
-            part = slice(block * size, (block + 1) * size)
-            if once[part].any():
-                one, two = np.packbits(once[part]).tobytes(), np.packbits(again[part]).tobytes()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "part": pa.array([0], pa.int32()), "once": [one], "again": [two]})
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            n += batch.num_rows
+            if n >= HELD:
+                yield from filled(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from filled(np.concatenate(held))
+
+    def filled(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(values, return_counts=True)
+        at = _positions(values, log2)
+        # a place is hit again by two texts, or by one that occurs twice
+        places, hits = np.unique(np.concatenate([at.ravel(), at[counts > 1].ravel()]), return_counts=True)
+        edges = np.flatnonzero(np.diff(places >> block)) + 1
+        for part, n in zip(np.split(places, edges), np.split(hits, edges)):
+            if len(part):
+                within = (part & ((1 << block) - 1)).astype(np.uint32)
+                packed = len(within) * 4 >= (1 << block) // 8
+                pack = lambda x: _packed(x, block).tobytes() if packed else x.tobytes()  # noqa: E731, B023
+                cols = {"block": pa.array([int(part[0] >> block)], pa.int32()), "packed": [packed], "once": [pack(within)], "again": [pack(within[n > 1])]}
+                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    once = again = None
-    for a, b in zip(pdf["once"], pdf["again"]):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        if once is None:
-            once, again = a.copy(), b.copy()
-        else:
+def _packed(places: np.ndarray, block: int) -> np.ndarray:
+    bits = np.zeros(1 << block, np.bool_)
+    bits[places] = True
+    return np.packbits(bits)
+
+
+def _merge(block: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        once, again = (np.zeros((1 << block) // 8, np.uint8) for _ in range(2))
+        for packed, a, b in zip(pdf["packed"], pdf["once"], pdf["again"]):
+            a, b = (np.frombuffer(x, np.uint8) if packed else _packed(np.frombuffer(x, np.uint32), block) for x in (a, b))
             again |= b | (once & a)
             once |= a
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [pdf["part"].iloc[0]], "once": [once.tobytes()], "again": [again.tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "packed": [True], "once": [once.tobytes()], "again": [again.tobytes()]})
+
+    return run
 
 
 def repeat_filter(hashes: DataFrame, log2: int) -> np.ndarray:
     """The merged filter of repeatedly hit bits, packed; ``hashes`` has one long column.
 
-    Returned to the driver: 2^log2 bits, at most 32 MB.
+    Parts of a block are merged in groups of about a hundred first, so that no task merges all of
+    them. Returned to the driver: 2^log2 bits, at most 64 MB.
     """
-    schema = "block int, part int, once binary, again binary"
-    tasks = hashes.rdd.getNumPartitions()
-    if tasks > 256:
-        hashes = hashes.coalesce(max(256, hashes.sparkSession.sparkContext.defaultParallelism * 2))
+    schema = "block int, packed boolean, once binary, again binary"
+    block = min(BLOCK_LOG2, log2)
     parts = hashes.mapInArrow(_build(log2), schema)
-    if tasks > 64:
-        parts = parts.withColumn("part", (F.rand(7) * 32).cast("int")).groupBy("block", "part").applyInPandas(_merge, schema)
-    merged = parts.withColumn("part", F.lit(0)).groupBy("block").applyInPandas(_merge, schema)
-    size = min(BLOCK_BITS, 1 << log2) // 8
+    groups = parts.withColumn("part", F.spark_partition_id() % 128).groupBy("block", "part").applyInPandas(_merge(block), schema)
+    merged = groups.groupBy("block").applyInPandas(_merge(block), schema)
+    size = (1 << block) // 8
     bits = np.zeros((1 << log2) // 8, np.uint8)
     for row in merged.select("block", "again").toLocalIterator():
         bits[row[0] * size : (row[0] + 1) * size] = np.frombuffer(row[1], np.uint8)
@@ -108,6 +134,8 @@ def _flagged(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
     rows = df.select(F.col(id_col).alias("id"), canonical_text(F.col(text_col)).alias("canonical")).filter("canonical != '' and id is not null")
     rows = rows.select("id", _key(F.col("canonical")).alias("key"), F.xxhash64("canonical").alias("h"))
     total = df.count()
+    if not worth_filtering(total):
+        return rows.withColumn("repeated", F.lit(True)), total
     log2 = filter_log2(total)
     bits = spark.sparkContext.broadcast(repeat_filter(rows.select("h"), log2))
 

@@ -3,16 +3,15 @@
 Each sentence is compared with each subject on its own: the log odds of its words under the
 subject against its complement, within the sentence's language. The first model comes from the
 labelled documents. Expectation-maximization then spreads it over all documents: a document's
-shares of sentences about each subject (E) weigh the counts of its words (M). Words that most
-documents of a language use count little. The shares are turned into a calibrated posterior, for
-each subject independently, on the labelled documents.
+shares of sentences about each subject, and what is left for none, (E) weigh the counts of its
+words (M). Words that most documents of a language use count little. The shares are turned into a
+calibrated posterior, for each subject independently, on labelled documents held out for it.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,10 +31,16 @@ LANGUAGES = {
     "fr": "le la les et de des pour nous vous est avec sur un une du ne à qu depuis notre puis rien même au en chez",
     "es": "el los las y de para nos con es un una por su que se lo en del al nada desde no sin nuestro demás después usted",
 }
-STOP_WORDS = {g: {plain(w) for w in s.split()} for g, s in LANGUAGES.items()}
-#: Words are hashed into this many buckets a language, so the model has a fixed size.
-BUCKETS = 1 << 16
-ROUNDS = 3
+#: The languages (by number) that each frequent word tells.
+STOP_WORDS: dict[str, list[int]] = {}
+for _nr, _said in enumerate(LANGUAGES.values()):
+    for _word in {plain(w) for w in _said.split()}:
+        STOP_WORDS.setdefault(_word, []).append(_nr)
+#: Words are hashed into buckets of each language: 2^16 for up to FEW_DOCUMENTS, twice as many for four times the
+#: documents, up to 2^19, so that the model, which every task holds, stays under 8 MB a subject.
+LOG2_BUCKETS, FEW_DOCUMENTS = (16, 19), 200_000
+#: Rounds of EM at most; it ends when the counts move by less than this share.
+ROUNDS, MOVED = 4, 0.01
 #: Pseudo-documents of a word, and the log odds and lead from which a sentence is about a subject.
 SMOOTHING, ABOUT, LEAD = 4.0, 1.3, 0.7
 #: A word in this share of a language's documents does not count at all.
@@ -44,8 +49,12 @@ COMMON = 1 / 3
 QUOTED = 4.0
 #: Share of a document's own sentences from which it is about a subject.
 LEAST_SHARE = 1 / 6
-#: Labelled documents that fit the first model and the calibration, at most, and subjects.
-MOST_LABELLED, MOST_SUBJECTS = 200_000, 200
+#: Slope of the posterior over the share before it is calibrated.
+SLOPE = 40.0
+#: A document counts for no subject if none is likelier than this; one in between is left to its subjects.
+NONE = 0.05
+#: Labelled documents that fit the first model and the calibration, at most; of these one of HELD_OUT calibrates only.
+MOST_LABELLED, HELD_OUT = 200_000, 10
 _TAG = re.compile(r"<[^<>]*>")
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
 _END = re.compile(r"(?<=[.!?])[\"”»']?\s+(?=[^\W\d_]|[\"“«¿¡\d*•-])|\n+")
@@ -53,9 +62,21 @@ _LISTING = re.compile(r"https?://|www\.|\breviews\)|@|\+\d|\btel\b|\||[{}]|©|\d
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 
 
-@lru_cache(1 << 16)
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % BUCKETS
+@lru_cache(1 << 17)
+def _hash(feature: str) -> int:
+    return zlib.crc32(feature.encode())
+
+
+@lru_cache(1 << 17)
+def _plain_word(word: str) -> tuple[str, bool, bool]:
+    """A word without accents, whether it is written small, and whether it counts by itself."""
+    p = plain(word)
+    return p, word[0].islower(), len(p) > 1
+
+
+def filter_buckets(documents: int) -> int:
+    """Buckets of a language for a number of documents."""
+    return 1 << int(min(LOG2_BUCKETS[1], LOG2_BUCKETS[0] + max(0.0, np.ceil(np.log2(max(1, documents) / FEW_DOCUMENTS) / 2))))
 
 
 def sentences(text: str | None) -> list[str]:
@@ -70,96 +91,124 @@ def sentences(text: str | None) -> list[str]:
 
 def languages(parts: list[str]) -> list[int]:
     """A language for each sentence, the document's where a sentence tells too little."""
-    names = list(STOP_WORDS)
-    each = [Counter(g for w in re.findall(r"[^\W\d_]+", plain(s)) for g in names if w in STOP_WORDS[g]) for s in parts]
-    whole: Counter = sum(each, Counter())
-    main = max(names, key=lambda g: (whole[g], -names.index(g)))
-    return [names.index(max(names, key=lambda g: (c[g], g == main, -names.index(g)))) if c and max(c.values()) >= 2 else names.index(main) for c in each]
+    n = len(LANGUAGES)
+    each = []
+    for s in parts:
+        c = [0] * n
+        for w in re.findall(r"[^\W\d_]+", plain(s)):
+            for g in STOP_WORDS.get(w, ()):
+                c[g] += 1
+        each.append(c)
+    whole = [sum(c[g] for c in each) for g in range(n)]
+    main = max(range(n), key=lambda g: (whole[g], -g))
+    return [max(range(n), key=lambda g: (c[g], g == main, -g)) if max(c) >= 2 else main for c in each]
+
+
+def features(sentence: str, language: int, buckets: int) -> list[int]:
+    """Buckets of the words and word pairs in lower case (in German, of all words)."""
+    words = [_plain_word(w) for w in _WORD.findall(sentence)]
+    own = {_hash(w) % buckets for w, low, counts in words if counts and (low or language == 1)}
+    own |= {_hash(f"{a} {b}") % buckets for (a, x, _), (b, y, _) in zip(words, words[1:]) if x and y}
+    return [language * buckets + f for f in sorted(own)]
 
 
-def features(sentence: str, language: int) -> np.ndarray:
-    """Buckets of the words and word pairs in lower case (in German, of all words)."""
-    words = [(plain(w), w[0].islower()) for w in _WORD.findall(sentence)]
-    own = {_bucket(w) for w, low in words if len(w) > 1 and (low or language == 1)}
-    own |= {_bucket(f"{a} {b}") for (a, x), (b, y) in zip(words, words[1:]) if x and y}
-    return np.array(sorted(own), np.int64) + language * BUCKETS
+class Batch:
+    """Sentences of documents as flat arrays: ``at`` the features one after another, ``sizes`` of the
+    sentences, their languages, and ``doc`` the row of each sentence."""
 
+    def __init__(self, pdf: pd.DataFrame):
+        self.rows = len(pdf)
+        flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in pdf[c]]) if len(pdf) else np.zeros(0, kind)
+        self.at, self.sizes, self.langs = flat("at", np.int64), flat("sizes", np.int64), flat("langs", np.int64)
+        self.doc = np.repeat(np.arange(self.rows), [len(x) for x in pdf["sizes"]])
 
-def taken_apart(text: str | None) -> list[tuple[int, np.ndarray]]:
-    parts = sentences(text)
-    return [(g, features(s, g)) for s, g in zip(parts, languages(parts))]
+    def presence(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, feature) of each feature a document has, once."""
+        size = 1 << 40
+        both = np.unique(np.repeat(self.doc, self.sizes) * size + self.at)
+        return both // size, both % size
+
+    def spoken(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, language) of each language a document has, once."""
+        both = np.unique(self.doc * len(LANGUAGES) + self.langs)
+        return both // len(LANGUAGES), both % len(LANGUAGES)
 
 
 class Model:
-    """Log odds of each bucket for each class: the subjects in order, then quoted items."""
+    """Log odds of each bucket for each class: none, the subjects in order, quoted items."""
 
     def __init__(self, counts: np.ndarray, totals: np.ndarray):
-        classes = counts.shape[1]
+        classes, buckets = counts.shape[1], counts.shape[0] // len(LANGUAGES)
         totals = totals + 0.5
-        share = np.repeat(totals / totals.sum(1, keepdims=True), BUCKETS, axis=0)
-        number = np.repeat(totals.sum(1), BUCKETS)
+        share = np.repeat(totals / totals.sum(1, keepdims=True), buckets, axis=0)
+        number = np.repeat(totals.sum(1), buckets)
         seen = counts.sum(1)
         p = (counts + SMOOTHING * share) / (seen + SMOOTHING)[:, None]
         weight = np.clip(1 - seen / (COMMON * number), 0, 1)[:, None]
         odds = (np.log(p / (1 - p)) - np.log(share / (1 - share))) * weight
         self.odds, self.subjects = odds.astype(np.float32), classes - 2
 
-    def shares(self, parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """Share of the own sentences about each subject."""
-        about, own = np.zeros(self.subjects), 0
-        for _, at in parts:
-            s = self.odds[at].sum(0)
-            if s[-1] >= QUOTED:
-                continue
-            own += 1
-            k = int(s[1:-1].argmax())
-            second = np.partition(s[1:-1], -2)[-2] if self.subjects > 1 else 0.0
-            if s[1 + k] >= ABOUT and s[1 + k] - second >= LEAD:
-                about[k] += 1
-        return about / max(own, 1)
-
-
-def _read_back(langs, sizes, at) -> list[tuple[int, np.ndarray]]:
-    return list(zip(langs, np.split(np.asarray(at, np.int64), np.cumsum(sizes)[:-1]))) if len(langs) else []
-
-
-def _taken_apart(texts: DataFrame) -> DataFrame:
-    """``texts`` (doc_id, text) as (doc_id, langs, sizes, at): languages and features of the sentences."""
+    def shares(self, batch: Batch) -> np.ndarray:
+        """Share of each document's own sentences about each subject."""
+        scores = np.zeros((len(batch.sizes), self.subjects + 2), np.float32)
+        some = np.flatnonzero(batch.sizes)
+        if len(some):
+            starts = (np.cumsum(batch.sizes) - batch.sizes)[some]
+            scores[some] = np.add.reduceat(self.odds[batch.at], starts, axis=0)
+        own = scores[:, -1] < QUOTED
+        s, doc = scores[own, 1:-1], batch.doc[own]
+        number = np.bincount(doc, minlength=batch.rows)
+        about = np.zeros((batch.rows, self.subjects))
+        if len(s):
+            best = s.argmax(1)
+            top = s[np.arange(len(s)), best]
+            second = np.partition(s, -2, axis=1)[:, -2] if self.subjects > 1 else np.zeros(len(s))
+            hit = (top >= ABOUT) & (top - second >= LEAD)
+            np.add.at(about, (doc[hit], best[hit]), 1)
+        return about / np.maximum(number, 1)[:, None]
+
+
+def _taken_apart(texts: DataFrame, buckets: int) -> DataFrame:
+    """``texts`` (doc_id, text, labels) as (doc_id, labels, langs, sizes, at): languages and features of the sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [taken_apart(t) for t in batch["text"]]
-            cols = {"langs": [[g for g, _ in p] for p in parts], "sizes": [[len(x) for _, x in p] for p in parts], "at": [np.concatenate([x for _, x in p]) if p else [] for p in parts]}
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **cols})
+            langs, sizes, at = [], [], []
+            for text in batch["text"]:
+                parts = sentences(text)
+                spoken = languages(parts)
+                found = [features(s, g, buckets) for s, g in zip(parts, spoken)]
+                langs.append(spoken)
+                sizes.append([len(f) for f in found])
+                at.append([x for f in found for x in f])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "labels": batch["labels"], "langs": langs, "sizes": sizes, "at": at})
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInPandas(run, f"doc_id {kind}, langs array<int>, sizes array<int>, at array<int>")
+    return texts.mapInPandas(run, f"doc_id {kind}, labels array<int>, langs array<int>, sizes array<int>, at array<int>")
 
 
-def _counts(rows: DataFrame, weigh, classes: int, quoted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _counts(rows: DataFrame, weigh, classes: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents of each class a bucket occurs in, and of each class a language has, over all rows.
 
-    Each task adds up its rows; what comes to the driver has a fixed size.
+    ``weigh`` gives a batch's documents by classes. Each task adds up its rows; what comes to the
+    driver has the size of the model.
     """
-    size, n_lang = BUCKETS * len(LANGUAGES), len(LANGUAGES)
+    n_lang = len(LANGUAGES)
+    size = buckets * n_lang
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((size + n_lang, classes), np.float64)
-        for batch in batches:
-            for langs, sizes, feats, labels in zip(batch["langs"], batch["sizes"], batch["at"], batch["labels"]):
-                parts = _read_back(langs, sizes, feats)
-                w = weigh(parts, labels)
-                if w is None or not parts:
-                    continue
-                at = np.unique(np.concatenate([x for _, x in parts]))
-                for k in np.flatnonzero(w):
-                    sums[at, k] += w[k]
-                    sums[[size + g for g in {g for g, _ in parts}], k] += w[k]
-        for start in range(0, size, BUCKETS):
-            used = start + np.flatnonzero(sums[start : start + BUCKETS].any(1))
-            yield pd.DataFrame({"at": used, **{f"c{k}": sums[used, k] for k in range(classes)}})
-        tail = np.arange(size, size + n_lang)
-        yield pd.DataFrame({"at": tail, **{f"c{k}": sums[tail, k] for k in range(classes)}})
+        for pdf in batches:
+            batch = Batch(pdf)
+            w = weigh(batch, pdf["labels"])
+            (doc, at), (speaker, lang) = batch.presence(), batch.spoken()
+            for k in np.flatnonzero(w.any(0)):
+                sums[:size, k] += np.bincount(at, weights=w[doc, k], minlength=size)
+                sums[size:, k] += np.bincount(lang, weights=w[speaker, k], minlength=n_lang)
+        used = np.flatnonzero(sums.any(1))
+        for start in range(0, len(used), 1 << 16):
+            part = used[start : start + (1 << 16)]
+            yield pd.DataFrame({"at": part, **{f"c{k}": sums[part, k] for k in range(classes)}})
 
     parts = rows.mapInPandas(run, "at long, " + ", ".join(f"c{k} double" for k in range(classes)))
     got = parts.groupBy("at").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)]).toArrow()
@@ -167,98 +216,113 @@ def _counts(rows: DataFrame, weigh, classes: int, quoted: list[str]) -> tuple[np
     at = got["at"].to_numpy()
     for k in range(classes):
         sums[at, k] = got[f"c{k}"].to_numpy()
-    counts, totals = sums[:size], sums[size:]
-    for text in quoted:
-        parts = taken_apart(text)
-        if parts:
-            counts[np.unique(np.concatenate([x for _, x in parts])), -1] += 1
-            for g in {g for g, _ in parts}:
-                totals[g, -1] += 1
-    return counts, totals
+    return sums[:size], sums[size:]
 
 
-def _from_labels(labels, classes: int) -> np.ndarray | None:
-    if labels is None:
-        return None
-    w = np.zeros(classes)
-    for k in labels if len(labels) else [-1]:
-        w[k + 1] = 1 / max(1, len(labels))
-    return w
+def _from_labels(labels: pd.Series, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the labelled documents of a batch, evenly, and which those are; -1 is no subject."""
+    w, known = np.zeros((len(labels), classes)), np.zeros(len(labels), bool)
+    for row, own in enumerate(labels):
+        if own is not None:
+            known[row] = True
+            for k in own:
+                w[row, k + 1] = 1 / len(own)
+    return w, known
 
 
-def calibrate(shares: np.ndarray, truth: np.ndarray, slope: float = 40.0) -> np.ndarray:
-    """For each subject the share at which its posterior 1 / (1 + exp(-slope (share - cut))) is a half.
+def calibrate(shares: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each subject the slope and the share of half posterior of 1 / (1 + exp(-slope (share - cut))).
 
-    Fitted by likelihood near LEAST_SHARE, with a prior of 20 documents on each side of it.
+    Both are fitted by likelihood on held-out documents, some labels of which are taken to be wrong:
+    first for all subjects together, near the stated limit LEAST_SHARE and SLOPE, then for each
+    subject near what all have in common.
     """
-    grid = np.linspace(LEAST_SHARE * 0.75, LEAST_SHARE * 1.25, 21)
-    cuts = np.full(shares.shape[1], LEAST_SHARE)
-    for k in range(shares.shape[1]):
-        close = np.abs(shares[:, k] - LEAST_SHARE) < 0.12
-        x, y = shares[close, k], truth[close, k]
-        value = [np.sum(np.log(np.where(y, p, 1 - p) * 0.9 + 0.05)) - 20 * ((c - LEAST_SHARE) / 0.02) ** 2 * 0.1 for c in grid for p in [1 / (1 + np.exp(-slope * (x - c)))]]
-        cuts[k] = grid[int(np.argmax(value))]
-    return cuts
+    cuts, slopes = np.linspace(LEAST_SHARE * 0.75, LEAST_SHARE * 1.25, 21), np.array([15.0, 25.0, 40.0, 60.0, 90.0])
+
+    def fit(x: np.ndarray, y: np.ndarray, slope: float, cut_: float) -> tuple[float, float]:
+        z = slopes[:, None, None] * (x[None, None] - cuts[None, :, None])
+        p = np.clip(1 / (1 + np.exp(-z)), 1e-6, 1 - 1e-6) * 0.9 + 0.05
+        value = np.log(np.where(y, p, 1 - p)).sum(-1) - 2 * ((cuts - cut_) / 0.02)[None] ** 2 - 2 * np.log(slopes / slope)[:, None] ** 2
+        i, j = np.unravel_index(int(value.argmax()), value.shape)
+        return float(slopes[i]), float(cuts[j])
+
+    some = (shares > 0) | truth
+    common = fit(shares[some], truth[some], SLOPE, LEAST_SHARE) if some.any() else (SLOPE, LEAST_SHARE)
+    each = [fit(shares[some[:, k], k], truth[some[:, k], k], *common) for k in range(shares.shape[1])]
+    return np.array([s for s, _ in each]), np.array([c for _, c in each])
 
 
 def subject_posteriors(documents: DataFrame, labels: DataFrame, items: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, subject_id, share, posterior) of each document and subject with any sentence about it.
 
     ``labels`` has (doc_id, subject_id), null for a document without subject; at most
-    MOST_LABELLED labelled documents are used to fit the first model and the calibration.
-    ``items`` are evaluation items whose quotes do not count. Null and empty texts have no
-    subject; no labels at all give no rows. Repeated labels count once.
+    MOST_LABELLED labelled documents are used to fit the first model and the calibration, each for
+    one of the two. ``items`` are evaluation items whose quotes do not count. Null and empty texts
+    have no subject; no labels at all give no rows. Repeated labels count once.
     """
     spark = documents.sparkSession
-    subjects = sorted(r[0] for r in labels.select("subject_id").distinct().limit(MOST_SUBJECTS + 2).collect() if r[0] is not None)
-    if len(subjects) > MOST_SUBJECTS:
-        raise ValueError(f"there may be {MOST_SUBJECTS} subjects")
+    subjects = sorted(r[0] for r in labels.filter("subject_id is not null").select("subject_id").distinct().collect())
     doc_kind, subject_kind = (f.schema[c].dataType.simpleString() for f, c in ((documents, "doc_id"), (labels, "subject_id")))
     schema = f"doc_id {doc_kind}, subject_id {subject_kind}, share double, posterior double"
     if not subjects:
         return spark.createDataFrame([], schema)
     number = {s: k for k, s in enumerate(subjects)}
     classes = len(subjects) + 2
-    mine = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("names")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    given = {r[0]: [number[s] for s in r[1]] for r in mine.collect()}
-    known = spark.sparkContext.broadcast(given)
-    quoted = [r[0] for r in items.select("text").filter("text is not null").limit(MOST_LABELLED).collect()] if items is not None else []
+    order = F.xxhash64("doc_id")
+    mine = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("names")).orderBy(order, "doc_id").limit(MOST_LABELLED).withColumn("aside", F.pmod(order, F.lit(HELD_OUT)) == 0)
+    given = {r["doc_id"]: ([number[s] for s in r["names"]] or [-1], r["aside"]) for r in mine.collect()}
+    taught = {d: own for d, (own, aside) in given.items() if not aside} or {d: own for d, (own, _) in given.items()}
+    table = pa.table({"doc_id": pa.array(list(taught), type=_arrow(documents, "doc_id")), "labels": pa.array(list(taught.values()), pa.list_(pa.int32()))})
     texts = documents.filter("doc_id is not null and text is not null and text != ''").select("doc_id", "text")
-    texts = cut(_taken_apart(spread_rows(texts)))  # read again in each round
-    labelled = texts.join(F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array(list(given), type=_arrow(documents, "doc_id")), "labels": pa.array(list(given.values()), pa.list_(pa.int32()))}))), "doc_id", "left")
-    counts = _counts(labelled.filter("labels is not null"), lambda parts, own: _from_labels(own, classes), classes, quoted)
+    buckets = filter_buckets(texts.count())
+    rows = spread_rows(texts).join(F.broadcast(spark.createDataFrame(table)), "doc_id", "left")
+    apart = cut(_taken_apart(rows, buckets))  # read again in each round
+    teaching = apart.filter("labels is not null")
+    quoted = None
+    if items is not None:
+        # quoted items are a class of their own, the last one
+        quoted = items.filter("text is not null").select(F.lit(None).cast(doc_kind).alias("doc_id"), "text", F.array(F.lit(len(subjects))).alias("labels"))
+        quoted = cut(_taken_apart(quoted, buckets))
+    with_items = lambda df: df if quoted is None else df.unionByName(quoted)
+    counts = _counts(with_items(teaching), lambda batch, own: _from_labels(own, classes)[0], classes, buckets)
     for _ in range(rounds):
         spread = spark.sparkContext.broadcast(Model(*counts))
 
-        def weigh(parts, own, spread=spread):
-            if own is not None:
-                return _from_labels(own, classes)
-            share = spread.value.shares(parts)
-            share = np.where(share >= LEAST_SHARE, share, 0)
-            return np.concatenate([[0], share / share.sum(), [0]]) if share.any() else None
+        def weigh(batch, own, spread=spread):
+            w, known = _from_labels(own, classes)
+            share = spread.value.shares(batch)
+            # a document counts for its subjects, by their shares, as far as one is likely, and for none by what is left
+            post = np.where(share > 0, 1 / (1 + np.exp(-SLOPE * (share - LEAST_SHARE))), 0)
+            some, parts = post.max(1, keepdims=True, initial=0), share * post
+            soft = np.concatenate([np.where(some < NONE, 1.0, 0.0), parts / np.maximum(parts.sum(1, keepdims=True), 1e-9) * some, np.zeros((len(share), 1))], axis=1)
+            return np.where(known[:, None], w, soft)
 
-        counts = _counts(labelled, weigh, classes, quoted)
+        before, counts = counts, _counts(with_items(apart), weigh, classes, buckets)
         spread.unpersist()
+        of = lambda c: c[0] / max(c[0].sum(), 1e-9)
+        if np.abs(of(counts) - of(before)).sum() < MOVED:
+            break
     last = spark.sparkContext.broadcast(Model(*counts))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(d, k, x) for d, g, n, a in zip(batch["doc_id"], batch["langs"], batch["sizes"], batch["at"]) for k, x in enumerate(last.value.shares(_read_back(g, n, a))) if x > 0]
-            yield pd.DataFrame(out, columns=["doc_id", "k", "share"])
-
-    found = texts.mapInPandas(score, f"doc_id {doc_kind}, k int, share double")
-    tried = found.join(F.broadcast(labelled.filter("labels is not null").select("doc_id").distinct()), "doc_id", "left_semi").collect()
-    place = {d: i for i, d in enumerate(given)}
-    shares, truth = np.zeros((len(given), len(subjects))), np.zeros((len(given), len(subjects)), bool)
-    for d, k, x in tried:
+        for pdf in batches:
+            share = last.value.shares(Batch(pdf))
+            row, k = np.nonzero(share)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "k": k.astype(np.int32), "share": share[row, k]})
+
+    found = apart.mapInPandas(score, f"doc_id {doc_kind}, k int, share double")
+    held = {d: own for d, (own, aside) in given.items() if aside} or {d: own for d, (own, _) in given.items()}
+    place = {d: i for i, d in enumerate(held)}
+    asked = spark.createDataFrame(pa.table({"doc_id": pa.array(list(held), type=_arrow(documents, "doc_id"))}))
+    shares, truth = np.zeros((len(held), len(subjects))), np.zeros((len(held), len(subjects)), bool)
+    for d, k, x in found.join(F.broadcast(asked), "doc_id", "left_semi").collect():
         shares[place[d], k] = x
-    for d, own in given.items():
-        truth[place[d], own] = True
-    cuts = calibrate(shares, truth)
-    table = F.array(*[F.lit(s) for s in subjects])
-    cut_of = F.array(*[F.lit(float(c)) for c in cuts])
-    posterior = 1 / (1 + F.exp(-40.0 * (F.col("share") - F.get(cut_of, F.col("k")))))
-    return found.select("doc_id", F.get(table, F.col("k")).cast(subject_kind).alias("subject_id"), "share", posterior.alias("posterior"))
+    for d, own in held.items():
+        truth[place[d], [k for k in own if k >= 0]] = True
+    slopes, cuts = calibrate(shares, truth)
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("k"))
+    posterior = 1 / (1 + F.exp(-pick([float(x) for x in slopes]) * (F.col("share") - pick([float(x) for x in cuts]))))
+    return found.select("doc_id", pick(subjects).cast(subject_kind).alias("subject_id"), "share", posterior.alias("posterior"))
 
 
 def _arrow(df: DataFrame, col: str) -> pa.DataType:
