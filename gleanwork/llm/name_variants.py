@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.functions.text import root_domain
 from gleanwork.llm.addresses import parse_addresses
 from gleanwork.llm.names import name_words, similar_names
 from gleanwork.operators.skew import join_salted
@@ -12,14 +13,15 @@ from gleanwork.session import cut
 
 #: Similarity of names from which two spellings belong to one organisation.
 SAME_NAME = 0.82
+#: Names times cities of a site, above which the two are not paired.
+MOST_NAMES = 10_000
 
 
 def site_of(url: Column) -> Column:
-    """Host without subdomain, scheme, port and path; null if there is none."""
-    host = F.lower(F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]+)", 1))
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    two = F.array_join(F.slice(labels, -2, 2), ".")
-    return F.when(F.size(labels) >= 2, two)
+    """The registrable part of the host, without scheme, user, subdomain, port and path; null if there is none."""
+    host = F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]+)", 1)
+    site = root_domain(host)
+    return F.when(site.contains("."), site)
 
 
 def blank(col: Column) -> Column:
@@ -27,13 +29,14 @@ def blank(col: Column) -> Column:
 
 
 def _places_of_sites(mine: DataFrame, sites: DataFrame) -> DataFrame:
-    """(place_key, site) whose names are variants; ``mine`` (place_key, block, words), ``sites`` (site, block, words)."""
+    """(place_key, site, block) whose names are variants; ``mine`` (place_key, block, words), ``sites`` (site, block, words)."""
     links = similar_names(mine, sites, SAME_NAME)
     key = F.xxhash64("block", "words")
     rows = mine.select(key.alias("k"), "place_key")
     sizes = cut(rows.groupBy("k").count())
-    named = join_salted(rows, links.select(F.xxhash64("block", F.col("left")).alias("k"), F.xxhash64("block", F.col("right")).alias("s")), "k", sizes, "count", rows.count())
-    return named.join(sites.select(key.alias("s"), "site"), "s").select("place_key", "site").distinct()
+    named = cut(join_salted(rows, links.select(F.xxhash64("block", F.col("left")).alias("k"), F.xxhash64("block", F.col("right")).alias("s"), "block"), "k", sizes, "count", rows.count()))
+    of = sites.select(key.alias("s"), "site")
+    return join_salted(of, named.select("s", "place_key", "block"), "s", of.groupBy("s").agg(F.count("*").alias("n")), "n", of.count()).select("place_key", "site", "block").distinct()
 
 
 def variant_links(places: DataFrame, extracted: DataFrame, geo: DataFrame) -> DataFrame:
@@ -52,17 +55,25 @@ def variant_links(places: DataFrame, extracted: DataFrame, geo: DataFrame) -> Da
     pages = extracted.filter("extract_id is not null").select("extract_id", site_of(F.col("url")).alias("site"), "name", "address").filter("site is not null").distinct()
     pages = cut(parse_addresses(pages, "address", geo).select("extract_id", "site", name_words("name").alias("words"), F.col("at.city").alias("block")))
     cities = cut(pages.select("site", "block").filter("block is not null").unionByName(located.select(site_of(F.col("website")).alias("site"), "block").filter("site is not null and block is not null")).distinct())
-    spelled = pages.filter("size(words) > 0").select("site", "words").distinct()
-    sites = cut(spelled.join(cities, "site"))
-    to_site = cut(_places_of_sites(mine, sites))
-    # a site without a city: a name that is found in one city only, at no site there; all are compared in one block
-    adrift = spelled.join(cities, "site", "left_anti")
-    open_places = mine.join(to_site, "place_key", "left_anti")
-    everywhere = F.lit("").alias("block")
-    at_large = cut(_places_of_sites(cut(open_places.select("place_key", "words", everywhere)), cut(adrift.select("site", "words", everywhere))))
-    where = at_large.join(open_places.select("place_key", F.col("block").alias("city")), "place_key")
-    one_city = where.groupBy("site").agg(F.countDistinct("city").alias("cities")).filter("cities = 1").select("site")
-    to_site = cut(to_site.unionByName(at_large.join(one_city, "site", "left_semi")).distinct())
+    spelled = cut(pages.filter("size(words) > 0").select("site", "words").distinct())
+    # a platform has too many names for too many cities to pair them: its names are compared anywhere, its cities afterwards
+    many = spelled.groupBy("site").agg(F.count("*").alias("a")).join(cities.groupBy("site").agg(F.count("*").alias("b")), "site")
+    platforms = cut(many.filter(F.col("a") * F.col("b") > MOST_NAMES).select("site"))
+    adrift, anywhere = F.lit("").alias("block"), F.lit("*").alias("block")
+    sites = cut(
+        spelled.join(platforms, "site", "left_anti").join(cities, "site").select("site", "block", "words")
+        .unionByName(spelled.join(platforms, "site", "left_semi").select("site", anywhere, "words"))
+        .unionByName(spelled.join(cities, "site", "left_anti").select("site", adrift, "words"))
+    )
+    asked = cut(mine.unionByName(mine.select("place_key", anywhere, "words")).unionByName(mine.select("place_key", adrift, "words")).filter("block is not null"))
+    met = cut(_places_of_sites(asked, sites))
+    where = mine.select("place_key", F.col("block").alias("city"))
+    there = met.filter("block = '*'").join(where, "place_key").join(cities.withColumnRenamed("block", "city"), ["site", "city"], "left_semi").select("place_key", "site")
+    to_site = cut(met.filter("block not in ('', '*')").select("place_key", "site").unionByName(there).distinct())
+    # a site without a city: its names are met in one city only, at places that have no site there
+    at_large = cut(met.filter("block = ''").join(to_site, "place_key", "left_anti").join(where, "place_key"))
+    one_city = at_large.groupBy("site").agg(F.min("city").alias("a"), F.max("city").alias("b")).filter("a = b").select("site")
+    to_site = cut(to_site.unionByName(at_large.join(one_city, "site", "left_semi").select("place_key", "site")).distinct())
     per_site = pages.groupBy("site").count()
     out = join_salted(pages.select("site", "extract_id"), to_site, "site", per_site, "count", pages.count())
     return out.select("place_key", "extract_id").distinct()

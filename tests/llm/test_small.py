@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gleanwork.llm import leakage, linkage, names, subjects, survivors
-from gleanwork.llm.address_matching import same_building
-from gleanwork.llm.addresses import Gazetteer, near, parse
+from gleanwork.llm import addresses, format_duplicates, leakage, linkage, names, subjects, survivors
+from gleanwork.llm.address_matching import building_links, same_building
+from gleanwork.llm.addresses import Gazetteer, near, parse, parse_addresses
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
 from gleanwork.llm.name_variants import variant_links
 from gleanwork.llm.place_mapping import map_places
@@ -55,6 +55,20 @@ def test_format_duplicates_against_brute_force(spark):
     assert pairs(format_duplicate_pairs(spark.createDataFrame(rows, "seq long, query string").repartition(7), "seq", "query")) == sorted(want)
 
 
+def test_format_duplicates_at_every_filter_size(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, f"{rng.choice(['a', 'A'])}-{rng.randrange(4000)}!") for i in range(6000)]
+    df = spark.createDataFrame(rows, "seq long, query string").repartition(9)
+    want = pairs(format_duplicate_pairs(df, "seq", "query"))
+    groups = pairs(format_duplicate_groups(df, "seq", "query"))
+    assert sum(c for _, c in groups) == 6000 and len(groups) + len(want) == 6000
+    for least, most in ((12, 12), (10, 29), (4, 8)):  # full, with several blocks, and too full to be of use
+        monkeypatch.setattr(format_duplicates, "LEAST_LOG2", least)
+        monkeypatch.setattr(format_duplicates, "MOST_LOG2", most)
+        monkeypatch.setattr(format_duplicates, "BLOCK_LOG2", 8)
+        assert pairs(format_duplicate_pairs(df, "seq", "query")) == want and pairs(format_duplicate_groups(df, "seq", "query")) == groups
+
+
 def test_format_duplicates_of_nothing_and_long(spark):
     assert pairs(format_duplicate_pairs(spark.createDataFrame([], "seq long, query string"), "seq", "query")) == []
     long = " ".join(f"w{i}" for i in range(20_000))
@@ -96,11 +110,48 @@ def test_near():
     assert near("abcd", "abdc", 1) and near("abcd", "abd", 1) and not near("abcd", "badc", 1) and near("abcd", "badc", 2)
 
 
-def test_endless_words_are_no_names():
+def test_near_equals_the_full_table():
+    def full(a, b):
+        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(9)
+    for _ in range(4000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        assert all(near(a, b, k) == (full(a, b) <= k) for k in (1, 2)), (a, b)
+
+
+def test_endless_words():
     word = "x" * 200_000
-    assert near(word, word, 1) and not near(word, "y" + word, 1)
+    assert near(word, word, 1) and near(word, "y" + word, 1) and not near(word, "yz" + word, 1) and not near("ab" * 50_000, "ba" * 49_999 + "cc", 2)
     assert parse(f"12 {word} Street, {word}", Gazetteer(GEO))[5] == "12"
-    assert names.alike(word, word + "x") == 0
+    assert names.alike(word, word + "x") == 0.95
+
+
+def test_candidates_of_names_are_complete(spark):
+    rng = random.Random(12)
+    stems = ["grugarult", "pildambilt", "crestevax", "haldubund", "ostrefal", "dombuk", "frederik", "f", "tax", "school", "services", "roofing"]
+
+    def noisy(w):
+        if len(w) > 4 and rng.random() < 0.4:
+            i = rng.randrange(1, len(w) - 1)
+            w = rng.choice((w[:i] + w[i + 1 :], w[:i] + rng.choice("aeou") + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], f"{w[:i]} {w[i:]}"))
+        return w.split()
+
+    made = lambda: [x for w in rng.sample(stems, rng.randrange(1, 4)) for x in noisy(w)]
+    left, right = [made() for _ in range(70)], [made() for _ in range(70)]
+    frame = lambda rows: spark.createDataFrame([(b, w) for w in rows for b in "xy"], "block string, words array<string>")
+    every = names.weigh(frame(left).unionByName(frame(right)).distinct()).collect()
+    weight = {tuple(r.words): r.weights for r in every}
+    for least in (0.72, 0.82):
+        want = {(tuple(a), tuple(b)) for a in left for b in right if names.soft_similarity(a, b, weight[tuple(a)], weight[tuple(b)]) >= least}
+        got = {(tuple(r.left), tuple(r.right)) for r in names.similar_names(frame(left), frame(right), least).collect()}
+        assert got == want
 
 
 def test_parse():
@@ -111,6 +162,36 @@ def test_parse():
     assert parse(None, g)[5] is None and parse("Sendevam, Quellia", g)[5] is None
 
 
+@pytest.mark.parametrize(
+    ("text", "postcode", "number", "street", "kind", "direction"),
+    [
+        ("5 Upper Baker Street", None, "5", "upper baker", "street", ""), ("9 Martin Luther King Drive", None, "9", "martin luther king", "drive", ""), ("12 Rue de Rivoli, 75001 Paris", "75001", "12", "rivoli", "rue", ""),
+        ("Hauptstrasse 5", None, "5", "haupt", "street", ""), ("5 42nd Street", None, "5", "42nd", "street", ""), ("7 Foo Gardens", None, "7", "foo", "gardens", ""), ("12345 Ventura Boulevard", None, "12345", "ventura", "boulevard", ""),
+        ("12-14 Foo Street", None, "12-14", "foo", "street", ""), ("221B Baker St, London NW1 6XE", "nw16xe", "221b", "baker", "street", ""), ("Keizersgracht 12, 1012 AB Amsterdam", "1012ab", "12", "keizers", "gracht", ""),
+        ("12 St James Street", None, "12", "st james", "street", ""), ("3rd Floor, 8 North Street", None, "8", "north", "street", ""), ("100 Queen St W, Toronto M5H 2N2", "m5h2n2", "100", "queen", "street", "w"), ("5 Park Place Mews", None, "5", "park place", "mews", ""),
+    ],
+)
+def test_streets_of_all_kinds(text, postcode, number, street, kind, direction):
+    assert parse(text, Gazetteer(GEO))[4:9] == (postcode, number, street, kind, direction)
+
+
+def test_both_readings_of_a_street_match(spark, geo):
+    a = spark.createDataFrame([(1, "Sendevam Upper Foobar Street 5"), (2, "Foobar Street 5, Sendevam")], "place_key long, address string")
+    b = spark.createDataFrame([(11, "5 Upper Foobar Street, Sendevam"), (12, "5 Foobar St, Sendevam")], "extract_id long, address string")
+    assert pairs(same_building(a, b, geo, "place_key", "extract_id")) == [(1, 11), (1, 12), (2, 12)]
+    links = {(r.side, r.id): r.links for r in building_links(a, b, geo, "place_key", "extract_id").collect()}
+    assert links == {("place_key", 1): 2, ("place_key", 2): 1, ("extract_id", 11): 1, ("extract_id", 12): 2}
+
+
+def test_large_gazetteers_are_joined(spark, geo, monkeypatch):
+    texts = ["Unit 5, 12B North Foo Street, Sendevam, WS", "NO 12B N FOO STR SENDEVVAM", "Port Trekallix, BA, VDR", "W. Tullidud", None, " ", "12 Foo Street", "Sendevam Sendevam", "Brasuskal"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = lambda: {r.id: r["at"] for r in parse_addresses(df, "text", geo).collect()}
+    want = rows()
+    monkeypatch.setattr(addresses, "MOST_PLACES", 2)
+    assert rows() == want
+
+
 def test_same_building(spark, geo):
     left = [(1, "12 Foobar Street, Sendevam"), (2, "Foobar Rd 12, Sendevam"), (3, "12 Foobar St, 1009999"), (4, None), (5, " "), (6, "12 Foobar Street, Port Trekallix, VDR"), (1, "12 Foobar Street, Sendevam")]
     right = [(11, "Suite 9, Foobra Str. 12, Sendevam, QLA"), (12, "12A Foobar Street, Sendevam"), (13, "12 Foobar Street, Sendevam 1009999"), (14, "12 Foobar Street, Port Trekallix, QLA"), (15, "Sendevam")]
@@ -163,12 +244,14 @@ def test_linkage(spark, geo):
 
 def test_best_value_is_the_minimum():
     import numpy as np
+    import pandas as pd
 
     rng = random.Random(2)
     low = [[{"w": rng.random(), "v": rng.random()} for _ in range(3)] for _ in range(20)]
     up = [[{"w": rng.random(), "v": rng.random()} for _ in range(3)] for _ in range(20)]
     pull = np.array([4 * rng.random() for _ in range(20)])
-    got = linkage._best(low, up, pull, 4)
+    table = lambda rules: pd.DataFrame({k: [np.array([r[k] for r in x]) for x in rules] for k in "wv"})
+    got = linkage._best(table(low), table(up), pull, 4)
     grid = np.linspace(0, 1, 2001)
     for k in range(20):
         cost = sum(r["w"] * np.maximum(0, r["v"] - grid) ** 2 for r in low[k]) + sum(r["w"] * np.maximum(0, grid - r["v"]) ** 2 for r in up[k]) + linkage.STEP / 2 * (4 * grid**2 - 2 * pull[k] * grid)
@@ -191,17 +274,23 @@ def test_survivors(spark, geo):
     assert survivors.surviving_values(recs.limit(0), origins, geo).count() == 0 and survivors.fused_values(recs.limit(0), origins, geo).count() == 0
 
 
-def test_no_origin_is_dropped(spark, geo, monkeypatch):
-    monkeypatch.setattr(survivors, "MOST_ORIGINS", 1)
-    rows = [(k, "http://a.example", None, f"o{k}", "n", [f"m{k}@a.example"], [f"555 123 456{k}"], "5 Foobar St, Sendevam", "tax") for k in range(1, 7)]
-    recs, origins = spark.createDataFrame(rows, REC), spark.createDataFrame([(f"o{k}", k) for k in range(1, 7)], "origin string, trust int")
-    assert {r.extract_id for r in survivors.surviving_values(recs, origins, geo).collect()} == {6}
-    with pytest.raises(ValueError):
-        survivors.fused_values(recs, origins, geo)
+def test_no_origin_is_dropped(spark, geo):
+    rows = [(k, "http://a.co.uk", None, f"o{k}", "n", [f"m{k}@a.example"], [f"555 123 4{k:03d}"], "5 Foobar St, Sendevam", "tax") for k in range(1, 1200)] + [(5000, "http://b.co.uk", None, "o1", "n", ["x@b.example"], None, None, None)]
+    recs, origins = spark.createDataFrame(rows, REC), spark.createDataFrame([(f"o{k}", k) for k in range(1, 1200)], "origin string, trust int")
+    assert {(r.group_id, r.extract_id) for r in survivors.surviving_values(recs, origins, geo, 1).collect()} == {(1, 1199)}
 
 
-def test_copies_are_found():
-    assert survivors.dependence(0.7, 0.7, 40, 30, 5) > 0.95 > 0.2 > survivors.dependence(0.7, 0.7, 50, 0, 50)
+def test_all_entries_vote(spark, geo):
+    rows = [(1, "http://a.example", None, "x", "n", ["one@a.example", "two@a.example"], None, None, None), (2, "http://a.example", None, "y", "n", ["two@a.example"], None, None, None), (3, "http://a.example", None, "z", "n", ["three@a.example"], None, None, None)]
+    recs, origins = spark.createDataFrame(rows, REC), spark.createDataFrame([("z", 9)], "origin string, trust int")
+    assert [(r.value, r.extract_id) for r in survivors.fused_values(recs, origins, geo).collect()] == [("two@a.example", 1)]
+    assert pairs(survivors.surviving_values(recs, origins, geo)) == [(1, "email", 3)]
+
+
+def test_copies_are_found(spark):
+    rows = [(0.7, 0.7, 40.0, 30.0, 5.0), (0.7, 0.7, 50.0, 0.0, 50.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a double, b double, t double, f double, d double").select(survivors.dependence(*[F.col(c) for c in "abtfd"])).collect()]
+    assert got[0] > 0.95 > 0.2 > got[1]
 
 
 # leaked items
@@ -217,6 +306,16 @@ def test_leaks(spark):
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, h int")
     assert pairs(leakage.leaked_items(df, spark.createDataFrame(items, "item_id long, text string"))) == [(1, 2), (2, 2), (3, 2), (8, 2)]
     assert leakage.leaked_items(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert leakage.leaked_items(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_short_long_and_dense_items(spark):
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500))
+    items = [(1, "Quorvelt beats Zundrik"), (2, long), (3, "東京都の人口は千四百万人である。調査は毎年行われる"), (4, "plain words stand here for nothing in particular today")]
+    docs = [(1, "He said that Quorvelt beats Zundrik, indeed."), (2, "x " + " ".join(long.split()[100:300]) + " y"), (3, "報告:東京都の人口は千四百万人である。以上"), (4, "nothing of all that"), (5, " ".join(long.split()[:100]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert pairs(leakage.leaked_items(df, spark.createDataFrame(items, "item_id long, text string"))) == [(1, 1), (2, 2), (3, 3)]
 
 
 def test_winnowing_keeps_every_shared_run(spark):
@@ -224,6 +323,8 @@ def test_winnowing_keeps_every_shared_run(spark):
     rows = [([rng.randrange(1000) for _ in range(30)], [rng.randrange(1000) for _ in range(30)], [rng.randrange(1000, 2000) for _ in range(2)]) for _ in range(50)]
     df = spark.createDataFrame([(a + run, run + b) for a, b, run in rows] + [([5], [5])], "a array<long>, b array<long>")
     assert df.filter(~F.arrays_overlap(leakage.winnow(F.col("a")), F.col("b"))).count() == 0
+    longer = spark.createDataFrame([(a + run * 2, run * 2 + b) for a, b, run in rows] + [([5], [5])], "a array<long>, b array<long>")
+    assert longer.filter(~F.arrays_overlap(leakage.winnow(F.col("a"), 4), leakage.winnow(F.col("b"), 4))).count() == 0
 
 
 # subjects
