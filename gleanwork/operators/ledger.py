@@ -82,10 +82,27 @@ def positional_percentile(df: DataFrame, group: str, value: str, share: float) -
     return hit.groupBy(group).agg(F.max("n").alias("n"), F.min(value).alias("at"))
 
 
+#: Rows of a client are worked on in blocks of so many numbers, so that a client of many rows is not one task.
+BLOCK = 1 << 16
+
+
+def rolling(df: DataFrame, group: str, at: str, seconds: int, value: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: an aggregate over the rows of the group in the ``seconds`` up to each row.
+
+    A group is cut into spans of ``seconds``; a row is given to its own span and, as what came
+    before, to the next, so that a group of many rows is spread by time. Rows without a time are left out.
+    """
+    t = F.col(at).cast("timestamp").cast("long")
+    x = df.withColumn("_t", t).withColumn("_own", F.floor(F.col("_t") / seconds))
+    both = x.withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = W.partitionBy(group, "_span").orderBy("_t").rangeBetween(-seconds, 0)
+    return both.withColumn(out, value.over(w)).filter("_span = _own").drop("_t", "_own", "_span")
+
+
 def rolling_credits(log: DataFrame, hours: int = 24) -> DataFrame:
-    """(seq, client, spent): credits of the client in the hours up to each paid request."""
-    w = W.partitionBy("client").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-hours * 3600, 0)
-    return log.filter(paid() & F.col("client").isNotNull()).select("seq", "client", F.sum(F.coalesce("credits", F.lit(0))).over(w).cast("long").alias("spent"))
+    """(seq, client, spent): credits of the client in the hours up to each paid request. Requests without a time are left out."""
+    x = log.filter(paid() & F.col("client").isNotNull() & F.col("ts").isNotNull()).select("seq", "client", "ts", F.coalesce("credits", F.lit(0)).alias("credits"))
+    return rolling(x, "client", "ts", hours * 3600, F.sum("credits"), "spent").select("seq", "client", F.col("spent").cast("long").alias("spent"))
 
 
 def request_source(requests: DataFrame, now: str, cache_days: int = 7, executed_days: int = 30) -> DataFrame:
@@ -98,21 +115,34 @@ def request_source(requests: DataFrame, now: str, cache_days: int = 7, executed_
 
 
 def failure_streaks(log: DataFrame) -> DataFrame:
-    """(seq, streak, pause): failures in a row for a client up to each request, and the pause they call for."""
-    ok = F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0))
-    w = W.partitionBy("client").orderBy("seq")
-    x = log.filter(F.col("client").isNotNull()).withColumn("ok", ok).withColumn("island", F.sum("ok").over(w))
-    s = x.withColumn("streak", F.sum(1 - F.col("ok")).over(W.partitionBy("client", "island").orderBy("seq")))
+    """(seq, streak, pause): failures in a row for a client up to each request, and the pause they call for.
+
+    Streaks are counted within blocks; what a block ends with is added up over the blocks of a
+    client and carried to the next, up to the block's first success.
+    """
+    x = log.filter(F.col("client").isNotNull()).select("seq", "client", F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0)).alias("ok")).withColumn("block", F.floor(F.col("seq") / BLOCK))
+    x = x.withColumn("island", F.sum("ok").over(W.partitionBy("client", "block").orderBy("seq")))
+    s = x.withColumn("run", F.sum(1 - F.col("ok")).over(W.partitionBy("client", "block", "island").orderBy("seq")))
+    ends = s.groupBy("client", "block").agg(F.max("ok").alias("ok"), F.max_by("run", "seq").alias("tail"))
+    w = W.partitionBy("client").orderBy("block")
+    since = ends.withColumn("part", F.sum("ok").over(w)).withColumn("upto", F.sum("tail").over(W.partitionBy("client", "part").orderBy("block")))
+    carried = since.select("client", "block", F.coalesce(F.lag("upto").over(w), F.lit(0)).alias("carry"))
+    y = s.join(carried, ["client", "block"]).withColumn("streak", F.col("run") + F.when(F.col("island") == 0, F.col("carry")).otherwise(0))
     pause = F.when(F.col("streak") >= 3, F.least(F.lit(30.0), 2 * F.pow(F.lit(2.0), F.least(F.lit(8), F.floor((F.col("streak") - 3) / 2))))).otherwise(0.0)
-    return s.select("seq", F.col("streak").cast("long").alias("streak"), pause.alias("pause"))
+    return y.select("seq", F.col("streak").cast("long").alias("streak"), pause.alias("pause"))
 
 
 def stalls(log: DataFrame, idle_seconds: int = 300) -> DataFrame:
-    """(seq, idle): requests that came more than ``idle_seconds`` after the client's previous one."""
+    """(seq, idle): requests that came more than ``idle_seconds`` after the client's previous one.
+
+    Requests are compared within days; the last one of each day is carried to the next with any.
+    """
     t = F.col("ts").cast("timestamp").cast("long")
-    w = W.partitionBy("client").orderBy("ts", "seq")
-    x = log.filter("client is not null and ts is not null").select("seq", (t - F.lag(t).over(w)).alias("idle"))
-    return x.filter(F.col("idle") > idle_seconds)
+    x = log.filter("client is not null and ts is not null").select("seq", "client", "ts", t.alias("t")).withColumn("day", F.floor(F.col("t") / 86_400))
+    days = x.groupBy("client", "day").agg(F.max("t").alias("last"))
+    before = days.select("client", "day", F.lag("last").over(W.partitionBy("client").orderBy("day")).alias("before"))
+    y = x.withColumn("same", F.lag("t").over(W.partitionBy("client", "day").orderBy("ts", "seq"))).join(before, ["client", "day"])
+    return y.select("seq", (F.col("t") - F.coalesce("same", "before")).alias("idle")).filter(F.col("idle") > idle_seconds)
 
 
 def dry_spells(log: DataFrame, last: int = 10, least: int = 5) -> DataFrame:
@@ -137,8 +167,7 @@ def since(df: DataFrame, cursor: int, order: str = "seq", held: int = 300) -> Da
 
 def restarts_allowed(events: DataFrame, group: str, at: str, most: int = 5, seconds: int = 600) -> DataFrame:
     """``events`` with ``recent``, those of the group in the last ``seconds``, and ``allowed``, whether they are few enough."""
-    w = W.partitionBy(group).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
-    return events.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
+    return rolling(events, group, at, seconds, F.count("*"), "recent").withColumn("allowed", F.col("recent") <= most)
 
 
 def access_stats(events: DataFrame, group: str, value: str, failed: Column, throttled: Column, minutes: Column) -> DataFrame:

@@ -68,6 +68,24 @@ def test_failure_streaks(spark):
     assert [r.streak for r in ledger.failure_streaks(df).orderBy("seq").collect()] == [0, 1, 2, 3, 0, 1]
 
 
+def test_streaks_and_stalls_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "BLOCK", 4)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice(["ok", "x", "x", "x"]), i * 50_000 + rng.randrange(100)) for i in range(80)]
+    df = spark.createDataFrame(rows, "seq long, client string, status string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    streak, last, want, idle = {"a": 0, "b": 0}, {}, {}, {}
+    for seq, c, status, t in rows:
+        streak[c] = 0 if status == "ok" else streak[c] + 1
+        want[seq] = streak[c]
+        if c in last and t - last[c] > 60_000:
+            idle[seq] = t - last[c]
+        last[c] = t
+    assert {r.seq: r.streak for r in ledger.failure_streaks(df).collect()} == want
+    assert {r.seq: r.idle for r in ledger.stalls(df, 60_000).collect()} == idle
+    recent = {r.seq: r.recent for r in ledger.restarts_allowed(df, "client", "ts", 5, 200_000).collect()}
+    assert recent == {s: sum(1 for q, d, _, u in rows if d == c and t - 200_000 <= u <= t) for s, c, _, t in rows}
+
+
 def test_merge_missing(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c", "d"]), (["a", "b", "c", "d"], ["e"]), (None, ["x"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(dedup.merge_missing(F.col("a"), F.col("b"), 3)).collect()] == [["a", "b", "c"], ["a", "b", "c", "d"], ["x"]]
