@@ -54,7 +54,7 @@ def _plain(words: str) -> str:
 _FORMS = f"""
 WITH listed AS (
   SELECT min(geo_id) AS geo_id, country, state, city, CASE WHEN city IS NOT NULL THEN 3 WHEN state IS NOT NULL THEN 2 ELSE 1 END AS level,
-    first(country_code) AS country_code, first(state_code) AS state_code
+    min(country_code) AS country_code, min(state_code) AS state_code
   FROM {{geo}} WHERE geo_id IS NOT NULL AND country IS NOT NULL GROUP BY country, state, city),
 named AS (SELECT *, {_words(_clean("coalesce(city, state, country)"))} AS words FROM listed),
 forms AS (
@@ -66,12 +66,13 @@ SELECT form, fuzzy, collect_list(struct(geo_id, level, country, state)) AS entri
 """
 
 # A span is a whole piece of a typed value (cut 0) or one of the two sides of a cut of it, with words
-# spelled out and folded by sound, and as they are written.
+# spelled out and folded by sound, and as they are written. A piece longer than any two listed
+# names has no cut that could be read.
 _SPANS = f"""
 WITH pieces AS (
   SELECT value, piece, {_words("text")} AS words FROM (
     SELECT value, posexplode(split(regexp_replace({_clean("value")}, 'o/ ?sea', 'on sea'), '[,/;|()]')) AS (piece, text) FROM (SELECT DISTINCT value FROM {{typed}}))),
-cuts AS (SELECT *, explode(sequence(0, size(words) - 1)) AS cut FROM pieces WHERE size(words) > 0),
+cuts AS (SELECT *, explode(sequence(0, CASE WHEN length({_plain("words")}) <= 4 * ({{longest}} + {EDITS}) THEN size(words) - 1 ELSE 0 END)) AS cut FROM pieces WHERE size(words) > 0),
 sides AS (
   SELECT value, piece, cut, 0 AS side, words FROM cuts WHERE cut = 0
   UNION ALL SELECT value, piece, cut, 1, slice(words, 1, cut) FROM cuts WHERE cut > 0
@@ -159,7 +160,7 @@ def map_places(requests: DataFrame, geo: DataFrame) -> DataFrame:
     typed = spark.sql("SELECT country, state, city, value, at + 1 AS box FROM (SELECT country, state, city, posexplode(array(country, state, city)) AS (at, value) FROM {triples}) WHERE value IS NOT NULL", triples=triples)
     forms = cut(spark.sql(_FORMS, geo=geo))
     longest = forms.selectExpr("coalesce(max(length(form)), 0)").first()[0]
-    spans = cut(spark.sql(_SPANS, typed=typed))
+    spans = cut(spark.sql(_SPANS, typed=typed, longest=longest))
     matches = cut(spark.sql(_MATCHES, probes=spark.sql(_PROBES, spans=spans, longest=longest), segments=spark.sql(_SEGMENTS, forms=forms), spans=spans, forms=forms))
     readings = spark.sql(_READINGS, spans=spans, matches=matches)
     facts = spark.sql("SELECT value, mentions, n FROM {readings} JOIN (SELECT value, count(*) AS n FROM {typed} GROUP BY value) USING (value)", readings=readings, typed=typed)
