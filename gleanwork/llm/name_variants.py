@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanwork.functions.text import root_domain
 from gleanwork.llm.addresses import parse_addresses
 from gleanwork.llm.names import name_words, similar_names
-from gleanwork.operators.skew import join_salted
+from gleanwork.operators.skew import join_group_facts, join_salted
 from gleanwork.session import cut
 
 #: Similarity of names from which two spellings belong to one organisation.
@@ -49,6 +49,27 @@ def variant_links(places: DataFrame, extracted: DataFrame, geo: DataFrame) -> Da
     one city only. Null and blank names and places without a city
     match nothing; repeated keys count once; ties are all kept.
     """
+    _, pages, to_site = _matched(places, extracted, geo)
+    per_site = pages.groupBy("site").count()
+    out = join_salted(pages.select("site", "extract_id"), to_site, "site", per_site, "count", pages.count())
+    return out.select("place_key", "extract_id").distinct()
+
+
+def variant_classes(places: DataFrame, extracted: DataFrame, geo: DataFrame) -> DataFrame:
+    """(side, id, class, links): each place without website and phone by its name and city, each record by its site, and its number of links."""
+    mine, pages, to_site = _matched(places, extracted, geo)
+    records = pages.select("extract_id", "site").distinct()
+    per_site = records.groupBy("site").agg(F.count("*").alias("n"))
+    met = to_site.groupBy("site").agg(F.count("*").alias("links"))
+    facts = per_site.join(met, "site", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    of_records = join_group_facts(records, facts, "site", "n", records.count()).select(F.lit("extract_id").alias("side"), F.col("extract_id").alias("id"), F.xxhash64("site").alias("class"), "links")
+    of_places = to_site.join(per_site, "site").groupBy("place_key").agg(F.sum("n").alias("links"))
+    own = mine.select("place_key", F.xxhash64("block", "words").alias("class")).join(of_places, "place_key", "left")
+    return own.select(F.lit("place_key").alias("side"), F.col("place_key").alias("id"), "class", F.coalesce("links", F.lit(0)).alias("links")).unionByName(of_records)
+
+
+def _matched(places: DataFrame, extracted: DataFrame, geo: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The places asked for (place_key, block, words), the records (extract_id, site, ...), and (place_key, site) that are one organisation."""
     rows = places.filter("place_key is not null").select("place_key", "title", "website", "phonenumber", "address").distinct()
     located = cut(parse_addresses(rows, "address", geo).select("place_key", "title", "website", "phonenumber", F.col("at.city").alias("block")))
     mine = cut(located.filter(blank(F.col("website")) & blank(F.col("phonenumber"))).select("place_key", "block", name_words("title").alias("words")))
@@ -74,6 +95,4 @@ def variant_links(places: DataFrame, extracted: DataFrame, geo: DataFrame) -> Da
     at_large = cut(met.filter("block = ''").join(to_site, "place_key", "left_anti").join(where, "place_key"))
     one_city = at_large.groupBy("site").agg(F.min("city").alias("a"), F.max("city").alias("b")).filter("a = b").select("site")
     to_site = cut(to_site.unionByName(at_large.join(one_city, "site", "left_semi").select("place_key", "site")).distinct())
-    per_site = pages.groupBy("site").count()
-    out = join_salted(pages.select("site", "extract_id"), to_site, "site", per_site, "count", pages.count())
-    return out.select("place_key", "extract_id").distinct()
+    return mine, pages, to_site

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanwork.llm.address_matching import building_links, same_building
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
 from gleanwork.llm.leakage import leaked_items
-from gleanwork.llm.linkage import link_businesses
-from gleanwork.llm.name_variants import variant_links
+from gleanwork.llm.linkage import business_links, link_businesses
+from gleanwork.llm.name_variants import variant_classes, variant_links
 from gleanwork.llm.place_mapping import map_places
 from gleanwork.llm.place_oracle import SQL as PLACES_SQL
 from gleanwork.llm.subjects import subject_posteriors, subjects_of
@@ -37,6 +37,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_confidence(spark, sf).select("place_key", "listing_id")
 
 
+def p2_links(spark: SparkSession, sf: str) -> DataFrame:
+    return business_links(table(spark, sf, "places"), table(spark, sf, "partner_places"), table(spark, sf, "geo_list"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return surviving_values(table(spark, sf, "extracted"), table(spark, sf, "page_origins"), table(spark, sf, "geo_list"))
 
@@ -53,6 +57,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return variant_links(table(spark, sf, "places"), table(spark, sf, "extracted"), table(spark, sf, "geo_list"))
 
 
+def p5_links(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_classes(table(spark, sf, "places"), table(spark, sf, "extracted"), table(spark, sf, "geo_list"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_building(table(spark, sf, "places"), table(spark, sf, "extracted"), table(spark, sf, "geo_list"), "place_key", "extract_id")
 
@@ -78,7 +86,7 @@ def p9_posteriors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_confidence, p3_found, p3_fused, p4_found, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_posteriors)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_confidence, p2_links, p3_found, p3_fused, p4_found, p5_found, p5_links, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_posteriors)}
 
 
 _P1_WORDS = r"""words AS (

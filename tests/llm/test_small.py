@@ -6,11 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gleanwork.llm import addresses, format_duplicates, leakage, linkage, names, subjects, survivors
+from gleanwork.llm import addresses, format_duplicates, leakage, linkage, name_variants, names, subjects, survivors
 from gleanwork.llm.address_matching import building_links, same_building
 from gleanwork.llm.addresses import Gazetteer, near, parse, parse_addresses
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
-from gleanwork.llm.name_variants import variant_links
+from gleanwork.llm.name_variants import variant_classes, variant_links
 from gleanwork.llm.place_mapping import map_places
 from gleanwork.llm.tokenize import VOCABULARIES, encode_corpus, encoder
 
@@ -225,6 +225,16 @@ def test_variant_links(spark, geo):
     pages = [(11, "http://www.cres.example/a", "Crestevvax Language School", "Sendevam, WS"), (12, "https://cres.example:443/b", "Home", None), (13, "http://other.example", "Dombuk Haulage", "Sendevam"), (14, None, "Crestevax Language School", "Sendevam"), (12, "https://cres.example:443/b", "Home", None)]
     a, b = spark.createDataFrame(places, PLACES), spark.createDataFrame(pages, "extract_id long, url string, name string, address string")
     assert pairs(variant_links(a, b, geo)) == [(1, 11), (1, 12), (2, 11), (2, 12)]
+    assert {(r.side, r.id): r.links for r in variant_classes(a, b, geo).collect() if r.links} == {("place_key", 1): 2, ("place_key", 2): 2, ("extract_id", 11): 2, ("extract_id", 12): 2}
+
+
+def test_platforms_are_matched_too(spark, geo, monkeypatch):
+    places = [(1, "Crestevax Language School", None, None, "Sendevam"), (2, "Dombukil Haulage", None, None, "Port Trekallix, VDR"), (3, "Tevaxil Roofing", None, None, "Sendevam")]
+    pages = [(11, "http://platform.co.uk/a", "Crestevax Language School", "Sendevam"), (12, "http://platform.co.uk/b", "Dombukil Haulage", None), (13, "http://other.co.uk/", "Tevaxil Roofing", "Sendevam")]
+    a, b = spark.createDataFrame(places, PLACES), spark.createDataFrame(pages, "extract_id long, url string, name string, address string")
+    want = pairs(variant_links(a, b, geo))
+    monkeypatch.setattr(name_variants, "MOST_NAMES", 1)
+    assert want == pairs(variant_links(a, b, geo)) == [(1, 11), (1, 12), (3, 13)]
 
 
 def test_variants_of_mistyped_names_without_city(spark, geo):
@@ -238,7 +248,9 @@ def test_linkage(spark, geo):
     places = [(1, "Crestevax Language School", "http://cres.example", "555 123 4567", "12 Foobar St, Sendevam"), (2, "Crestevax Language School", "http://cres.example", "555 123 4567", "9 Other Rd, Port Trekallix, VDR"), (3, "Dombukil Haulage", None, None, "Sendevam"), (4, None, None, None, None)]
     listings = [(11, "The Crestevax Lang. School Ltd", None, "+1 555 123 4567", "Foobar Street 12, Sendevam"), (12, "Crestevax Roofing", None, None, "Sendevam"), (13, "Dombukil Haulage LLC", None, None, "Sendevam"), (14, "", None, None, "Sendevam"), (13, "Dombukil Haulage LLC", None, None, "Sendevam")]
     kind = PLACES.replace("place_key", "listing_id")
-    rows = linkage.link_businesses(spark.createDataFrame(places, PLACES), spark.createDataFrame(listings, kind), geo).collect()
+    left, right = spark.createDataFrame(places, PLACES), spark.createDataFrame(listings, kind)
+    rows = linkage.link_businesses(left, right, geo).collect()
+    assert {(r.side, r.id) for r in linkage.business_links(left, right, geo).collect() if r.links} == {("place_key", 1), ("place_key", 3), ("listing_id", 11), ("listing_id", 13)}
     assert sorted((r.place_key, r.listing_id) for r in rows) == [(1, 11), (3, 13)] and all(0.5 <= r.confidence <= 1 for r in rows)
 
 
