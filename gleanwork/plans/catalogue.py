@@ -15,6 +15,7 @@ from gleanwork.functions import html as H
 from gleanwork.functions import rules
 from gleanwork.functions import text as X
 from gleanwork.operators import dedup, folds, ledger, phrases, planner, summary
+from gleanwork.plans import record_sql
 from gleanwork.plans import records as R
 from gleanwork.session import table
 from gleanwork.sources import search
@@ -355,8 +356,9 @@ def _unique(spark: SparkSession, sf: str) -> DataFrame:
 _query("unique_records", _unique,
        f"WITH RECURSIVE {_PLACES}, k AS (SELECT row_number() OVER (ORDER BY place_key) AS i, place_key, list_filter([CASE WHEN {_host('website')} <> '' THEN 'd' || {_host('website')} WHEN coalesce(cid, '') <> '' THEN 'dcid:' || cid ELSE '' END, CASE WHEN {_name('title')} <> '' THEN 'n' || {_name('title')} ELSE '' END, CASE WHEN {_phone('phonenumber')} <> '' THEN 'p' || {_phone('phonenumber')} ELSE '' END], lambda x: x <> '') AS keys FROM pl), "
        "f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS place_key, false AS accepted, []::VARCHAR[] AS acc UNION ALL SELECT k.i, k.place_key, NOT list_has_any(f.acc, k.keys), CASE WHEN list_has_any(f.acc, k.keys) THEN f.acc ELSE list_concat(f.acc, k.keys) END FROM f JOIN k ON k.i = f.i + 1) SELECT place_key, accepted FROM f WHERE i > 0")
-_query("company_records", flagship)
-_query("rejected_candidates", lambda s, d: R.judged(R.candidates(table(s, d, "places"), table(s, d, "search_log"), pages(s, d))).groupBy("reason").agg(F.count("*").alias("n"), F.avg("score").alias("score")))
+_query("company_records", flagship, record_sql.company_records(_host, _root, _skip, _clean, _name, _phone, _PLACES, _LOG))
+_query("rejected_candidates", lambda s, d: R.judged(R.candidates(table(s, d, "places"), table(s, d, "search_log"), pages(s, d))).groupBy("reason").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score")),
+       record_sql.company_records(_host, _root, _skip, _clean, _name, _phone, _PLACES, _LOG, reasons=True))
 
 
 def queries() -> dict[str, Query]:
