@@ -305,8 +305,8 @@ def _names_of(geo_id: int, country: str, code: str | None, state: str | None, st
     return [*g.city, *g.region, *(f"~{f}" for f in g.off)]
 
 
-def _asked(text: str | None) -> list[str]:
-    """All keys that ``parse`` may look up for a text."""
+def _asked(text: str | None, longest: int) -> list[str]:
+    """All keys that ``parse`` may look up for a text; none of a city has more than ``longest`` letters."""
     t = re.findall(r"[a-z0-9]+|,", re.sub(r"['’]", "", re.sub(r"[|;·•\n\r\t()/]", ",", plain(text or ""))))
     out = {}
     for at in range(len(t)):
@@ -318,15 +318,11 @@ def _asked(text: str | None) -> list[str]:
             out[key] = None
             if size == 1:
                 out["." + span[0]] = None
-            if size <= 4 and 6 <= len(key) <= MOST_LETTERS:
+            if size <= 4 and 6 <= len(key) <= longest + 1:
                 out |= dict.fromkeys(f"~{f}" for f in shortened(key))
     return list(out)
 
 
-#: No name of a place is longer; names are read whole from larger lists too.
-MOST_LETTERS = 120
-
-
 def _with_entries(df: DataFrame, text_col: str, geo: DataFrame) -> DataFrame:
     """(text, entries): the distinct texts with the entries of the gazetteer that they may name, and those around them.
 
@@ -334,8 +330,10 @@ def _with_entries(df: DataFrame, text_col: str, geo: DataFrame) -> DataFrame:
     spans of the texts, which costs some hundred keys for each distinct text.
     """
     keys = F.pandas_udf(lambda *c: pd.Series([_names_of(*[None if pd.isna(v) else v for v in r]) for r in zip(*c)]), "array<string>")
-    spans = F.pandas_udf(lambda c: c.map(_asked), "array<string>")
     entries = _entries(geo)
+    # short forms are spelled out in keys, which at most triples their letters
+    longest = 3 * (entries.agg(F.max(F.length("city"))).first()[0] or 0)
+    spans = F.pandas_udf(lambda c: c.map(lambda t: _asked(t, longest)), "array<string>")
     named = entries.select(*GEO, F.explode(keys(*GEO)).alias("key"))
     texts = df.select(F.col(text_col).alias("text")).filter("text is not null").distinct()
     met = texts.select("text", F.explode(spans("text")).alias("key")).join(named, "key").select("text", *GEO).distinct()
