@@ -299,6 +299,13 @@ def test_all_entries_vote(spark, geo):
     assert pairs(survivors.surviving_values(recs, origins, geo)) == [(1, "email", 3)]
 
 
+def test_no_stage_without_effect_on_survivors(spark, geo, monkeypatch):
+    rows = [(k, f"http://{s}.example", None, o, "n", [f"m{k}@a.example"], None, None, None) for k, (s, o) in enumerate([("a", "x"), ("a", "y"), ("a", "y"), ("b", "x"), ("b", "z")])]
+    recs, origins = spark.createDataFrame(rows, REC), spark.createDataFrame([("x", 1), ("z", 9)], "origin string, trust int")
+    monkeypatch.setattr(survivors, "_rated", lambda *_: pytest.fail("the order alone decides"))
+    assert pairs(survivors.surviving_values(recs, origins, geo)) == [(0, "email", 0), (3, "email", 4)]
+
+
 def test_copies_are_found(spark):
     rows = [(0.7, 0.7, 40.0, 30.0, 5.0), (0.7, 0.7, 50.0, 0.0, 50.0)]
     got = [r[0] for r in spark.createDataFrame(rows, "a double, b double, t double, f double, d double").select(survivors.dependence(*[F.col(c) for c in "abtfd"])).collect()]
