@@ -5,7 +5,7 @@ that an address without one may inherit, those of addresses with its postcode, o
 region. Below, a building of a candidate city is its house number, kind and direction of the
 street, and a street name at most two typing errors away, one if a name is short; a text that can
 be read in two ways takes part with both street names. Ambiguous cities stay apart until the
-levels below decide. The unit is not compared.
+levels below decide. The unit is not compared. All joins of addresses are shuffled, none is a broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from gleanwork.llm.addresses import near, parse_addresses
 from gleanwork.llm.names import sound
-from gleanwork.operators.skew import join_group_facts, join_salted
+from gleanwork.operators.skew import join_group_facts, join_salted, shuffled
 from gleanwork.session import cut
 
 PARTS = ["city", "places", "region", "parents", "postcode", "number", "street", "other", "kind", "direction"]
@@ -48,7 +48,7 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     Two swaps of neighbours are four edits at most, which the JVM tells first.
     """
     side = lambda df, s: df.select(F.xxhash64("key", "number", "kind", "direction").alias("k"), F.col("place").alias(s), F.col("street").alias(f"{s}_street"), F.col("sound").alias(f"{s}_sound"))
-    x = side(left, "l").join(side(right, "r"), "k").filter(F.levenshtein("l_sound", "r_sound", 4) >= 0)
+    x = side(left, "l").join(shuffled(side(right, "r")), "k").filter(F.levenshtein("l_sound", "r_sound", 4) >= 0)
     return x.filter((F.col("l_sound") == F.col("r_sound")) | _same_street("l_street", "r_street")).select("l", "r").distinct()
 
 
@@ -64,8 +64,8 @@ def _cities(every: DataFrame) -> DataFrame:
     by_code = _met(known.withColumn("key", F.col("postcode")).filter("key is not null"), lacking.withColumn("key", F.col("postcode")).filter("key is not null"))
     by_region = _met(known.withColumn("key", F.explode("parents")), lacking.withColumn("key", F.explode("region")))
     of = every.filter("city is not null").select(F.col("place").alias("l"), "city", "places")
-    given = lambda met, name: met.join(of, "l").groupBy(F.col("r").alias("place")).agg(F.collect_set(F.struct("city", "places")).alias(name))
-    both = given(by_code, "code").join(given(by_region, "near"), "place", "full_outer")
+    given = lambda met, name: met.join(shuffled(of), "l").groupBy(F.col("r").alias("place")).agg(F.collect_set(F.struct("city", "places")).alias(name))
+    both = given(by_code, "code").join(shuffled(given(by_region, "near")), "place", "full_outer")
     one = F.when(F.size(F.array_distinct(F.transform("near", lambda c: c.city))) == 1, F.col("near"))
     inherited = both.select("place", F.explode(F.coalesce("code", one)).alias("c")).select("place", "c.city", F.col("c.places").alias("places"))
     return every.filter("city is not null").select("place", "city", "places").unionByName(inherited)
@@ -94,9 +94,9 @@ def building_links(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: s
     """
     a, b, pairs = _matched(left, right, geo, left_id, right_id, text_col)
     size = lambda df, c: df.groupBy(F.col("place").alias(c)).agg(F.count("*").alias("n"))
-    of_left = pairs.join(size(b, "pr"), "pr").groupBy(F.col("pl").alias("place")).agg(F.sum("n").alias("links"))
-    of_right = pairs.join(size(a, "pl"), "pl").groupBy(F.col("pr").alias("place")).agg(F.sum("n").alias("links"))
-    told = lambda rows, links, side: join_group_facts(rows.select("id", "place"), size(rows, "place").join(links, "place", "left").withColumn("links", F.coalesce("links", F.lit(0))), "place", "n", rows.count()).select(F.lit(side).alias("side"), "id", F.col("place").alias("class"), "links")
+    of_left = pairs.join(shuffled(size(b, "pr")), "pr").groupBy(F.col("pl").alias("place")).agg(F.sum("n").alias("links"))
+    of_right = pairs.join(shuffled(size(a, "pl")), "pl").groupBy(F.col("pr").alias("place")).agg(F.sum("n").alias("links"))
+    told = lambda rows, links, side: join_group_facts(rows.select("id", "place"), size(rows, "place").join(shuffled(links), "place", "left").withColumn("links", F.coalesce("links", F.lit(0))), "place", "n", rows.count()).select(F.lit(side).alias("side"), "id", F.col("place").alias("class"), "links")
     return told(a, of_left, left_id).unionByName(told(b, of_right, right_id))
 
 
@@ -112,11 +112,12 @@ def _matched(left: DataFrame, right: DataFrame, geo: DataFrame, left_id: str, ri
     one = [F.first(p).alias(p) for p in PARTS]
     every = cut(a.withColumn("is_left", F.lit(True)).unionByName(b.withColumn("is_left", F.lit(False))).groupBy("place").agg(*one, F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right")))
     cities = cut(_cities(every))
-    read = _readings(every.drop("places", "region", "parents", "city")).join(cities.select("place", "city"), "place").withColumn("key", F.col("city"))
+    read = _readings(every.drop("places", "region", "parents", "city")).join(shuffled(cities.select("place", "city")), "place").withColumn("key", F.col("city"))
     met = _met(read.filter("in_left"), read.filter("in_right"))
     # two places of one city name are apart until here
     sets = cities.groupBy("place").agg(F.flatten(F.collect_list("places")).alias("ids"))
-    met = met.join(sets.select(F.col("place").alias("l"), F.col("ids").alias("l_ids")), "l").join(sets.select(F.col("place").alias("r"), F.col("ids").alias("r_ids")), "r").filter(F.arrays_overlap("l_ids", "r_ids"))
+    of = lambda side: shuffled(sets.select(F.col("place").alias(side), F.col("ids").alias(f"{side}_ids")))
+    met = met.join(of("l"), "l").join(of("r"), "r").filter(F.arrays_overlap("l_ids", "r_ids"))
     # without a city to inherit, two addresses with one postcode still are one building
     bare = _readings(every.filter("city is null and postcode is not null")).withColumn("key", F.col("postcode"))
     pairs = met.select("l", "r").unionByName(_met(bare.filter("in_left"), bare.filter("in_right"))).distinct()

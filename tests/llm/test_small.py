@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gleanwork.llm import addresses, format_duplicates, leakage, linkage, name_variants, names, subjects, survivors
+from gleanwork.llm import address_matching, addresses, format_duplicates, leakage, linkage, name_variants, names, subjects, survivors
 from gleanwork.llm.address_matching import building_links, same_building
 from gleanwork.llm.addresses import Gazetteer, near, parse, parse_addresses
 from gleanwork.llm.format_duplicates import format_duplicate_groups, format_duplicate_pairs
@@ -208,6 +208,16 @@ def test_streets_two_errors_apart(spark, geo):
     assert pairs(same_building(a, b, geo, "place_key", "extract_id")) == [(1, 11), (2, 11), (3, 12)]
 
 
+def test_no_address_is_broadcast(spark, geo, monkeypatch):
+    a = spark.createDataFrame([(1, "12 Foobar Street, Sendevam"), (3, "12 Foobar St, 1009999")], "place_key long, address string")
+    b = spark.createDataFrame([(11, "Foobra Str. 12, Sendevam, QLA"), (13, "12 Foobar Street, Sendevam 1009999")], "extract_id long, address string")
+    plans = []
+    cut = address_matching.cut
+    monkeypatch.setattr(address_matching, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    address_matching._matched(a, b, geo, "place_key", "extract_id", "address")
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 # names
 def test_words_and_similarity():
     assert names.words_of("The Dr. Liz Hald-ubund Health Svcs Pvt Ltd | Sleep studies") == ["elizabeth", "haldubund", "health", "services"]
