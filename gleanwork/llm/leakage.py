@@ -3,8 +3,8 @@
 Every text is reduced to runs of k words; of each window of w runs the one with the smallest hash
 is kept, so any k + w - 1 words in a row that a document shares with an item leave a common
 fingerprint. Fingerprints that several items share (stock instructions, forms of questions) are no
-evidence. Documents and items are joined on the others, and pairs with enough in common are
-aligned word by word.
+evidence, unless an item has hardly a word of its own. Documents and items are joined on the others,
+and pairs with enough in common are aligned word by word. Items of equal words are one until the end.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from gleanwork.session import cut, spread_rows
 
 #: Share of an item's words that make a case, common fingerprints from which a pair is aligned, and words of a passage.
 LEAST_SHARE, LEAST_HITS, LEAST_WORDS = 1 / 3, 2, 4
+#: The same share for an item that has neither words nor runs of its own: only the whole item makes a case.
+WHOLE_SHARE = 0.9
 #: Words of an item from which on its runs and windows have the given lengths. A passage of a short item may be left with
 #: three words in a row when it is reworded; one of a long item has longer runs, which are rarer by chance.
 TIERS = ((0, 2, 2), (300, 4, 4))
@@ -149,44 +151,69 @@ class Passages:
 LONGEST_FORM = 200
 
 
-def _item_table(texts: DataFrame, least: float) -> DataFrame:
-    """(item_id, words, own): the words of each item in order, and which of them few items have."""
+def _classes(items: DataFrame) -> DataFrame:
+    """(class, ids, texts, words): the items by their words in order; copies of an item are not several items."""
     split = F.pandas_udf(lambda c: c.map(words_of), T.ArrayType(T.StringType()))
-    items = cut(texts.select("item_id", split("text").alias("words")))
-    each = items.select("item_id", F.explode(F.array_distinct("words")).alias("word"))
+    texts = items.filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    read = cut(texts.withColumn("words", split("text")))
+    return cut(read.groupBy(F.xxhash64("words").alias("class")).agg(F.first("words").alias("words"), F.collect_set("item_id").alias("ids"), F.collect_set("text").alias("texts")))
+
+
+def _item_table(classes: DataFrame, least: float) -> DataFrame:
+    """(class, ids, words, own, plain, whole): the words of each item in order, and which of them few items have.
+
+    An item with fewer than two such words is ``plain``: its own are the words of the runs that few
+    items have. If there are none either, all words count and only the ``whole`` item makes a case.
+    """
+    each = classes.select("class", F.explode(F.array_distinct("words")).alias("word"))
     used = each.groupBy("word").agg(F.count("*").alias("n"))
-    rare = join_group_facts(each, used, "word", "n", each.count()).filter(F.col("n") <= least).groupBy("item_id").agg(F.collect_set("word").alias("rare"))
-    return items.join(rare, "item_id", "left").select("item_id", "words", F.transform("words", lambda w: F.coalesce(F.array_contains("rare", w), F.lit(False))).alias("own"))
+    rare = join_group_facts(each, used, "word", "n", each.count()).filter(F.col("n") <= least).groupBy("class").agg(F.collect_set("word").alias("rare"))
+    few = F.least(F.lit(2), F.size(F.array_distinct("words")))
+    owning = classes.join(rare, "class", "left").select("class", "ids", "words", F.transform("words", lambda w: F.coalesce(F.array_contains("rare", w), F.lit(False))).alias("own"), (F.coalesce(F.size("rare"), F.lit(0)) < few).alias("plain"))
+    owning = cut(owning)
+    if not owning.filter("plain").limit(1).count():
+        return owning.withColumn("whole", F.lit(False))
+    runs = owning.select("class", "plain", F.explode(F.array_distinct(_runs(F.col("words"), 2))).alias("h"))
+    few_have = runs.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") <= least).select("h")
+    of_runs = runs.filter("plain").join(few_have, "h").groupBy("class").agg(F.collect_set("h").alias("runs"))
+    held = lambda w, at: F.coalesce(F.array_contains("runs", F.xxhash64(F.get("words", at), F.get("words", at + 1))), F.lit(False))
+    owning = owning.join(of_runs, "class", "left").withColumn("in_runs", F.transform("words", lambda w, at: held(w, at) | held(w, at - 1))).drop("runs")
+    mine = F.size(F.array_distinct(F.filter("words", lambda w, at: F.get("in_runs", at))))
+    owning = owning.withColumn("whole", F.col("plain") & (mine < few))
+    own = F.when(F.col("whole"), F.transform("words", lambda w: F.lit(True))).when(F.col("plain"), F.col("in_runs")).otherwise(F.col("own"))
+    return owning.withColumn("own", own).drop("in_runs")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) for each document with a passage of a third or more of an item's words.
 
     Passages may be reformatted, lightly reworded, mistyped or broken by other text; what several
-    items share and quotes of a few words do not count, unless they are the whole item. Null and
-    empty texts have no passages. Whole texts are read, whatever their length. Of the documents
+    items share and quotes of a few words do not count, unless they are the whole item. Items of the
+    same words are found together, however many they are. Null and empty texts have no passages. Whole texts are read, whatever their length. Of the documents
     only those with fingerprints in a small table of the items' are shuffled; fingerprints and
     items that many documents share are cut into slices or broadcast by ``operators.skew``.
     """
-    texts = cut(items.filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text")))
-    least = max(COMMON_LEAST, COMMON_SHARE * texts.count())
-    table = cut(_item_table(texts, least))
+    classes = _classes(items)
+    least = max(COMMON_LEAST, COMMON_SHARE * classes.count())
+    table = cut(_item_table(classes, least))
     longest = table.agg(F.max(F.size("words"))).first()[0] or 0
     tiers = [t for t in TIERS if t[0] <= longest]
-    said = texts.join(table.select("item_id", F.size("words").alias("n")), "item_id").withColumn("w", _words(F.col("text")))
+    said = classes.select("class", F.size("words").alias("n"), F.explode("texts").alias("text")).withColumn("w", _words(F.col("text")))
     docs = spread_rows(documents.filter("doc_id is not null and text is not null").select("doc_id", "text"))
     prints = hashes = None
     for at, (start, k, window) in enumerate(tiers):
         end = TIERS[at + 1][0] if at + 1 < len(TIERS) else 1 << 31
         # all runs of an item, of which a document's winnowed ones are a part
-        own = said.filter((F.col("n") >= start) & (F.col("n") < end)).select("item_id", F.explode(F.array_distinct(_runs(F.col("w"), k))).alias("h"))
+        own = said.filter((F.col("n") >= start) & (F.col("n") < end)).select("class", "n", F.explode(F.array_distinct(_runs(F.col("w"), k))).alias("h"))
         prints = own if prints is None else prints.unionByName(own)
         kept = winnow(_runs(_words(F.col("text")), k), window)
         hashes = kept if hashes is None else F.array_distinct(F.concat(hashes, kept))
-    few = prints.groupBy("h").agg(F.count("*").alias("shared")).filter(F.col("shared") <= least).select("h")
-    prints = cut(prints.join(few, "h"))
-    # a run is needed twice, but once if the item has no two windows
-    needed = prints.groupBy("item_id").agg(F.when(F.count("*") > 2, F.lit(LEAST_HITS)).otherwise(1).alias("needed"))
+    prints = cut(prints.distinct().join(table.select("class", "plain"), "class"))
+    few = prints.groupBy("h").agg(F.count("*").alias("shared")).filter(F.col("shared") <= least).select("h", F.lit(True).alias("few"))
+    # all runs of an item without words of its own, as those that few have may not be among the kept ones of a document
+    prints = cut(prints.join(few, "h", "left").filter("few or plain").select("class", "n", "h"))
+    # a run is needed twice, but once if the item has no two windows or a third of it may leave one only
+    needed = prints.groupBy("class").agg(F.when((F.count("*") > 2) & (F.max("n") > 3 * LEAST_WORDS), F.lit(LEAST_HITS)).otherwise(1).alias("needed"))
     any_short = needed.filter("needed = 1").limit(1).count() > 0
     size = 1 << BITMAP_LOG2
     byte = lambda h, probe: F.shiftright(h, 24 * probe).bitwiseAND(F.lit(size - 1)).cast("int")
@@ -201,21 +228,21 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     close = cut(marked)
     each = close.select("doc_id", F.explode("h").alias("h"))
     counts = each.groupBy("h").agg(F.count("*").alias("n"))
-    common = join_salted(each, prints, "h", counts, "n", each.count()).groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("hits"))
-    pairs = cut(common.join(needed, "item_id").filter("hits >= needed").select("doc_id", "item_id"))
-    per_item = pairs.groupBy("item_id").agg(F.count("*").alias("n"))
-    told = join_group_facts(pairs, table.join(per_item, "item_id"), "item_id", "n", pairs.count()).select("doc_id", "item_id", "words", "own")
+    common = join_salted(each, prints.select("class", "h"), "h", counts, "n", each.count()).groupBy("doc_id", "class").agg(F.count_distinct("h").alias("hits"))
+    pairs = cut(common.join(needed, "class").filter("hits >= needed").select("doc_id", "class"))
+    per_item = pairs.groupBy("class").agg(F.count("*").alias("n"))
+    told = join_group_facts(pairs, table.join(per_item, "class"), "class", "n", pairs.count()).select("doc_id", "ids", "words", "own", "whole")
     both = told.join(close.select("doc_id", "text"), "doc_id")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, passages = None, None
         for batch in batches:
             found = []
-            for doc, item, words, own, text in zip(batch["doc_id"], batch["item_id"], batch["words"], batch["own"], batch["text"]):
+            for doc, ids, words, own, whole, text in zip(batch["doc_id"], batch["ids"], batch["words"], batch["own"], batch["whole"], batch["text"]):
                 if text != last:
                     last, passages = text, Passages(text)
-                if passages.share(list(words), list(own)) >= LEAST_SHARE:
-                    found.append((doc, item))
+                if passages.share(list(words), list(own)) >= (WHOLE_SHARE if whole else LEAST_SHARE):
+                    found += [(doc, item) for item in ids]
             yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
     kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"

@@ -208,9 +208,12 @@ def test_streets_two_errors_apart(spark, geo):
     assert pairs(same_building(a, b, geo, "place_key", "extract_id")) == [(1, 11), (2, 11), (3, 12)]
 
 
-def test_no_address_is_broadcast(spark, geo, monkeypatch):
+def test_no_address_is_broadcast(spark, geo, monkeypatch, tmp_path):
     a = spark.createDataFrame([(1, "12 Foobar Street, Sendevam"), (3, "12 Foobar St, 1009999")], "place_key long, address string")
     b = spark.createDataFrame([(11, "Foobra Str. 12, Sendevam, QLA"), (13, "12 Foobar Street, Sendevam 1009999")], "extract_id long, address string")
+    for name, df in (("a", a), ("b", b)):
+        df.write.parquet(f"{tmp_path}/{name}")  # only files have an estimated size
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in "ab")
     plans = []
     cut = address_matching.cut
     monkeypatch.setattr(address_matching, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
@@ -347,6 +350,23 @@ def test_short_long_and_dense_items(spark):
     assert pairs(leakage.leaked_items(df, spark.createDataFrame(items, "item_id long, text string"))) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_items_of_shared_words_are_found(spark):
+    stock = ["Wamendom lists quiet plates today.", "Bretisturt sends amber slips often.", "Kotalmast keeps stale badges here.", "Losurvost wants sealed pins again.", "Stivulek finds blank rosters twice."]
+    two = [(10 * i + j, f"{stock[i]} {stock[j]}") for i in range(5) for j in range(i + 1, 5)]
+    docs = [(1, "Before all that. " + ITEM + " After."), (2, f"He wrote: {stock[0]} {stock[1]} And so on."), (3, f"He wrote: {stock[0]} And so on."), (4, f"{stock[3]} That is all.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([*[(100 + k, ITEM if k % 2 else ITEM.upper()) for k in range(6)], *two, (200, stock[3])], "item_id long, text string")
+    assert pairs(leakage.leaked_items(df, items)) == [*[(1, 100 + k) for k in range(6)], (2, 1), (4, 200)]
+
+
+def test_a_third_of_a_short_item_is_found(spark):
+    rng = random.Random(11)
+    items = [["".join(rng.choice("abcdefghklmnoprstu") for _ in range(7)) for _ in range(12)] for _ in range(30)]
+    docs = [(k, f"so it was {' '.join(w[3:7])} as they say") for k, w in enumerate(items)]
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    assert pairs(got) == [(k, k) for k in range(30)]
+
+
 def test_winnowing_keeps_every_shared_run(spark):
     rng = random.Random(4)
     rows = [([rng.randrange(1000) for _ in range(30)], [rng.randrange(1000) for _ in range(30)], [rng.randrange(1000, 2000) for _ in range(2)]) for _ in range(50)]
