@@ -154,6 +154,36 @@ def test_candidates_of_names_are_complete(spark):
         assert got == want
 
 
+
+def test_like_words_are_complete(spark):
+    rng = random.Random(4)
+    words = {"brondodron": True, "brodnodron": False, "x" * 29: True, "y" + "x" * 30: True, "x" * 31: True, "services": True, "srevices": False, "servcies": False}
+    for _ in range(150):
+        w = "".join(rng.choice(("bro", "dron", "nod", "tal")) for _ in range(rng.randrange(1, 5)))
+        i = rng.randrange(1, len(w) - 1)
+        words[w] = words[w[:i] + w[i + 1] + w[i] + w[i + 2 :]] = True
+        words.setdefault(w[:i] + w[i + 1 :], rng.random() < 0.5)
+    like = lambda a, b: near(a, b, 1) or words[a] and words[b] and names.alike(a, b)
+    want = {(a, b) for a in words for b in words if a != b and len(a) > 3 < len(b) and (words[a] or words[b]) and like(a, b)}
+    got = {tuple(r) for r in names.like_words(spark.createDataFrame(list(words.items()), "word string, whole boolean")).collect()}
+    assert want <= got and all(near(a, b, 1) or names.alike(a, b) for a, b in got)
+
+
+def test_typing_errors_of_common_words_do_not_hide_that_names_differ(spark, monkeypatch):
+    typed = [["services"], *(["services"[:i] + "services"[i + 1 :]] for i in range(8))]
+    left = [[f"{a}{b}ldorvan", "services"] for a in "bdfgklmnprst" for b in "aeiou"] * 4
+    rows = [*left, *([w, "jane"] for (w,) in typed)]
+    frame = lambda x: spark.createDataFrame([("x", w) for w in x], "block string, words array<string>")
+    asked = []
+    cut = names.cut
+    monkeypatch.setattr(names, "cut", lambda df: asked.append(cut(df)) or asked[-1])
+    names.similar_names(frame(rows), frame(left[:1]), 0.72)
+    facts = {r.word: r for df in asked if "like0" in df.columns and "known" in df.columns for r in df.collect()}
+    bits = lambda r, c: {(k, i) for k in (0, 1) for i in range(61) if getattr(r, f"{c}{k}") >> i & 1}
+    assert len(bits(facts["services"], "like")) == 1  # not those of its eight misspellings too
+    assert all(bits(facts["services"], "like") <= bits(facts[w], "own") for (w,) in typed)
+
+
 def test_parse():
     g = Gazetteer(GEO)
     for text in ("Unit 5, 12B North Foo Street, Sendevam, WS", "Foo St. N. 12B #5 | 1001234 Sendevam", "NO 12B N FOO STR SENDEVVAM"):
