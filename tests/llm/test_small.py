@@ -184,6 +184,16 @@ def test_typing_errors_of_common_words_do_not_hide_that_names_differ(spark, monk
     assert all(bits(facts["services"], "like") <= bits(facts[w], "own") for (w,) in typed)
 
 
+
+def test_a_name_is_told_once_for_all_its_blocks(spark, monkeypatch):
+    rows = [["grugarult", "school"], ["pildambilt", "tax"], ["dombuk", "roofing"]]
+    frame = spark.createDataFrame([(b, w) for w in rows for b in "xyz"], "block string, words array<string>")
+    cuts, cut = [], names.cut
+    monkeypatch.setattr(names, "cut", lambda df: cuts.append(cut(df)) or cuts[-1])
+    assert names.similar_names(frame, frame, 0.82).count() == 9
+    assert [df.count() for df in cuts if "keys" in df.columns] == [3]
+
+
 def test_parse():
     g = Gazetteer(GEO)
     for text in ("Unit 5, 12B North Foo Street, Sendevam, WS", "Foo St. N. 12B #5 | 1001234 Sendevam", "NO 12B N FOO STR SENDEVVAM"):
