@@ -194,6 +194,25 @@ def test_a_name_is_told_once_for_all_its_blocks(spark, monkeypatch):
     assert [df.count() for df in cuts if "keys" in df.columns] == [3]
 
 
+def test_names_and_words_of_one_side_are_never_compared(spark, monkeypatch):
+    words = [("crestevax", True, names.LEFT), ("crestevvax", True, names.LEFT), ("dombuki", True, names.RIGHT), ("dombuka", True, names.RIGHT), ("dombuko", True, names.LEFT | names.RIGHT)]
+    got = {tuple(r) for r in names.like_words(spark.createDataFrame(words, "word string, whole boolean, sides int")).collect()}
+    assert got == {(a, "dombuko") for a in ("dombuki", "dombuka")} | {("dombuko", a) for a in ("dombuki", "dombuka")}
+    frame = lambda rows: spark.createDataFrame([("x", w) for w in rows], "block string, words array<string>")
+    met, join = [], names.join_salted
+    monkeypatch.setattr(names, "join_salted", lambda *x: met.append((x[2], join(*x))) or met[-1][1])
+    assert names.similar_names(frame([["ostrefal", "school"]]), frame([["ostrefal", w] for w in ("school", *(f"school{i:02}" for i in range(40)))]), 0.72).count()
+    assert sum(df.count() for key, df in met if key == "k") < 200
+
+
+@pytest.mark.parametrize("text", ["brondodron", "aab", "x" * 30, "äöß2"])
+def test_forms(spark, text):
+    df = spark.createDataFrame([(text, False), (text, True), ("other", True)], "w string, t boolean")
+    one, two = (len(r.f) for r in df.withColumn("f", names._forms("w", "t")).collect()[:2])
+    without = lambda words: words | {w[:i] + w[i + 1 :] for w in words for i in range(len(w))}
+    assert (one, two) == (len(without({text})), len(without(without({text}))))
+
+
 def test_parse():
     g = Gazetteer(GEO)
     for text in ("Unit 5, 12B North Foo Street, Sendevam, WS", "Foo St. N. 12B #5 | 1001234 Sendevam", "NO 12B N FOO STR SENDEVVAM"):
